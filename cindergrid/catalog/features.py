@@ -62,7 +62,7 @@ def _depth_sql() -> str:
     weights = surface.depth_weights()
     inner = ", ".join([f"{at('swvl', r)} AS w{i}, {at('stl', r)} AS t{i}" for i, r in enumerate(weights)])
     total = {p: " + ".join(f"{p}{i}" for i in range(10)) for p in "wt"}
-    ratios = ", ".join(f"round(CAST(CAST(w{i} AS DOUBLE) / t{i} AS DOUBLE), 6) AS surface_water_heat_{i}" for i in range(10))
+    ratios = ", ".join(f"round(CAST(CAST(CAST(w{i} AS DOUBLE) / t{i} AS FLOAT) AS DOUBLE), 6) AS surface_water_heat_{i}" for i in range(10))
     return f"""WITH {OBS_SQL}, deep AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {inner} FROM obs)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CAST({total['w']} AS DOUBLE), 3) AS daily_water_sum,
   round(CAST({total['t']} AS DOUBLE), 2) AS daily_temp_sum, {ratios} FROM deep"""

@@ -73,7 +73,7 @@ long AS (
 SELECT date, cell_r, cell_c, CAST(count(*) AS INTEGER) AS width, round(sum(v * (pos + 1)), 4) AS weighted FROM long GROUP BY ALL""")
 def flat_inputs(spark, d):
     out = windows.lookback_samples(celldays(spark, d), ["tp", "n_events"], 4, 2)
-    flat = windows.flatten_window(out, ["tp", "n_events"], 4, ["user_id"])
+    flat = windows.flatten_window(out, ["tp", "n_events"], ["user_id"])
     weighted = F.aggregate(F.transform("inputs", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
     return rounded(flat.select(*g.CELL_DAY, F.size("inputs").alias("width"), weighted.alias("weighted")), "weighted", digits=4)
 
@@ -229,11 +229,12 @@ codes AS (
          800 * exp(-c / 400) + 3.937 * (0.83 * p - 1.27) AS q
     FROM (SELECT n.*, s.f, s.d, s.c, 147.27723 * (101 - s.f) / (59.5 + s.f) AS m0
           FROM codes s JOIN days_n n ON n.cell_r = s.cell_r AND n.cell_c = s.cell_c AND n.i = s.i + 1)))),
+content AS (SELECT * EXCLUDE (m), 147.27723 * (101 - f) / (59.5 + f) AS m FROM codes WHERE i > 0),
 spread AS (
   SELECT *, 0.208 * exp(0.05039 * w) * 91.9 * exp(-0.1386 * m) * (1 + power(m, 5.31) / 4.93e7) AS isi,
-    CASE WHEN d <= 0.4 * c THEN 0.8 * d * c / (d + 0.4 * c)
+    CASE WHEN d + 0.4 * c <= 0 THEN 0 WHEN d <= 0.4 * c THEN 0.8 * d * c / (d + 0.4 * c)
          ELSE greatest(0, d - (1 - 0.8 * c / (d + 0.4 * c)) * (0.92 + power(0.0114 * d, 1.7))) END AS bui
-  FROM codes WHERE i > 0),
+  FROM content),
 danger AS (
   SELECT *, 0.1 * isi * CASE WHEN bui <= 80 THEN 0.626 * power(bui, 0.809) + 2 ELSE 1000 / (25 + 108.64 * exp(-0.023 * bui)) END AS bb FROM spread)
 SELECT date, cell_r, cell_c, {', '.join(f'CASE WHEN active = 1 THEN round({e}, 5) END AS {n}' for n, e in [

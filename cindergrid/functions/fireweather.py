@@ -8,6 +8,7 @@ cell and year, because the codes restart each year.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +19,7 @@ FFMC_START, DMC_START, DC_START = 85.0, 6.0, 15.0
 DMC_DAY_LENGTH = [6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0]
 DC_DAY_LENGTH = [-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6]
 MOISTURE = 147.27723
+INPUTS = ["temp_c", "humidity", "wind_kmh", "rain_mm"]
 
 
 def _by_month(values: list[float], month: Column) -> Column:
@@ -31,7 +33,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _day_terms() -> dict[str, Column]:
     """What one day's weather contributes, independent of the codes of the day before."""
-    t, h, w, p, month = (F.col(c) for c in ("temp_c", "humidity", "wind_kmh", "rain_mm", "_month"))
+    t, h, w, p, month = (F.col(c) for c in (*INPUTS, "_month"))
     r = p - 0.5
     wet = p > 0.5
     tail = 0.18 * (21.1 - t) * (1 - F.exp(-0.115 * h))
@@ -54,12 +56,18 @@ def _day_terms() -> dict[str, Column]:
     }
 
 
+def moisture_content(ffmc: Column) -> Column:
+    """Fine fuel moisture content in percent that a fine fuel moisture code stands for."""
+    return MOISTURE * (101 - ffmc) / (59.5 + ffmc)
+
+
 def _fine(m0: Column, x: Column) -> Column:
-    """Fine fuel moisture content after the day."""
+    """Fine fuel moisture code after the day, from the moisture content before it."""
     soaked = F.least(F.lit(250.0), m0 + x["rain"] * F.exp(-100 / (251 - m0)) + F.when(
         m0 > 150, 0.0015 * (m0 - 150) * (m0 - 150) * x["root"]).otherwise(0.0))
-    return _let(soaked, lambda m: F.when(m > x["ed"], x["ed"] + (m - x["ed"]) * x["drying"])
-                .when(m < x["ew"], x["ew"] - (x["ew"] - m) * x["wetting"]).otherwise(m))
+    after = _let(soaked, lambda m: F.when(m > x["ed"], x["ed"] + (m - x["ed"]) * x["drying"])
+                 .when(m < x["ew"], x["ew"] - (x["ew"] - m) * x["wetting"]).otherwise(m))
+    return _let(after, lambda m: 59.5 * (250 - m) / (MOISTURE + m))
 
 
 def _duff(p0: Column, x: Column) -> Column:
@@ -78,13 +86,13 @@ def _deep(d0: Column, x: Column) -> Column:
     return F.when(x["deep_rain"] > 0, rained).otherwise(d0) + x["deep_dry"]
 
 
-def indices(moisture: Column, duff: Column, deep: Column, wind: Column) -> dict[str, Column]:
-    """The six published codes and indices from the three moisture states and the wind."""
-    ffmc = 59.5 * (250 - moisture) / (MOISTURE + moisture)
+def indices(ffmc: Column, duff: Column, deep: Column, wind: Column) -> dict[str, Column]:
+    """The six published codes and indices from the three codes and the wind."""
+    moisture = moisture_content(ffmc)
     isi = 0.208 * F.exp(0.05039 * wind) * 91.9 * F.exp(-0.1386 * moisture) * (
         1 + F.pow(moisture, F.lit(5.31)) / 4.93e7)
     both = duff + 0.4 * deep
-    bui = F.when(both <= 0, 0.0).when(duff <= 0.4 * deep, 0.8 * duff * deep / both).otherwise(
+    bui = F.when(both.isNull(), None).when(both <= 0, 0.0).when(duff <= 0.4 * deep, 0.8 * duff * deep / both).otherwise(
         F.greatest(F.lit(0.0), duff - (1 - 0.8 * deep / both) * (0.92 + F.pow(0.0114 * duff, F.lit(1.7)))))
     fd = F.when(bui <= 80, 0.626 * F.pow(bui, F.lit(0.809)) + 2).otherwise(
         1000 / (25 + 108.64 * F.exp(-0.023 * bui)))
@@ -99,33 +107,38 @@ def fire_weather(df: DataFrame, by: Sequence[str] = tuple(CELL), season: str | N
     """Add the six indices to daily rows with ``date, temp_c, humidity, wind_kmh, rain_mm``.
 
     Codes run day by day within a cell and year from ``starts``. With ``season`` (a 0/1 column) they run
-    only on days in season, start anew at the first day of each season, and are NULL outside it.
+    only on days in season, start anew at the first day of each season, and are NULL outside it. A day with missing weather has
+    NULL codes and leaves the state as it was.
     """
     keep = df.columns
     weather = df.withColumns({"_month": F.month("date"), "_year": F.year("date")}).withColumns(
         {f"_t_{k}": v for k, v in _day_terms().items()})
     terms = F.struct(*[F.col(f"_t_{k}").alias(k) for k in _day_terms()])
-    on = F.col(season).cast("int") if season else F.lit(1)
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in INPUTS])
+    # 0 off season, 1 a day to compute, NULL a day without complete weather.
+    on = F.when(F.coalesce(F.col(season), F.lit(0)) == 0, 0).when(known, 1) if season else F.when(known, 1)
     # The original columns other than the keys travel inside the array, so nothing is joined back.
     rest = F.struct(*[F.col(f"`{c}`") for c in keep if c not in by])
     days = weather.groupBy(*by, "_year").agg(F.array_sort(F.collect_list(F.struct(
         F.col("date").alias("_d"), on.alias("on"), terms.alias("x"), rest.alias("row")))).alias("_days"))
 
-    f0 = MOISTURE * (101 - starts[0]) / (59.5 + starts[0])
-    code = F.struct(F.lit(f0).alias("m"), F.lit(starts[1]).alias("p"), F.lit(starts[2]).alias("d"))
-    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("m", "p", "d")])
-    empty = F.filter(F.array(code), lambda _: F.lit(False))
+    nullable = "struct<f: double, p: double, d: double>"
+    code = F.struct(F.lit(starts[0]).alias("f"), F.lit(starts[1]).alias("p"), F.lit(starts[2]).alias("d")).cast(nullable)
+    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("f", "p", "d")])
+    empty = F.array().cast(f"array<{nullable}>")
 
     def step(acc: Column, day: Column) -> Column:
         x, s = day["x"], acc["s"]
-        new = F.struct(_fine(s["m"], x).alias("m"), _duff(s["p"], x).alias("p"), _deep(s["d"], x).alias("d"))
-        return F.when(day["on"] == 1, _let(new, lambda n: F.struct(
-            n.alias("s"), F.concat(acc["out"], F.array(n)).alias("out")))).otherwise(
-            F.struct(code.alias("s"), F.concat(acc["out"], F.array(none)).alias("out")))
+        new = F.struct(_let(moisture_content(s["f"]), lambda m: _fine(m, x)).alias("f"), _duff(s["p"], x).alias("p"), _deep(s["d"], x).alias("d"))
+        blank = F.concat(acc["out"], F.array(none)).alias("out")
+        return (F.when(day["on"] == 0, F.struct(code.alias("s"), blank))
+                .when(day["on"] == 1, _let(new, lambda n: F.struct(
+                    n.alias("s"), F.concat(acc["out"], F.array(n)).alias("out"))))
+                .otherwise(F.struct(s.alias("s"), blank)))
 
     folded = F.aggregate("_days", F.struct(code.alias("s"), empty.alias("out")), step, lambda acc: acc["out"])
     rows = days.select(*by, F.explode(F.arrays_zip(F.col("_days.row").alias("row"), folded.alias("code"))).alias("z"))
-    out = rows.select(*by, "z.row.*", F.col("z.code.m").alias("_m"), F.col("z.code.p").alias("_p"),
+    out = rows.select(*by, "z.row.*", F.col("z.code.f").alias("_f"), F.col("z.code.p").alias("_p"),
                       F.col("z.code.d").alias("_dc"))
-    six = indices(F.col("_m"), F.col("_p"), F.col("_dc"), F.col("wind_kmh"))
+    six = indices(F.col("_f"), F.col("_p"), F.col("_dc"), F.col("wind_kmh"))
     return out.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in six.items()])

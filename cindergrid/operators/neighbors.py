@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cindergrid.session import cut_lineage
+
 BLOCK = 4096
 MAX_PIVOTS = 1024
 
@@ -66,7 +68,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     points = (base.select(F.col(id).cast("bigint").alias("id"), as_vector)
               .withColumn("_copy", F.row_number().over(by_vector.orderBy("id")))
               .filter(F.col("_copy") <= kk).drop("_copy"))
-    asked = queries.groupBy("v").agg(F.min("id").alias("q"))
+    # Both are read several times below: keep them as tables instead of running their plans again.
+    points, asked = cut_lineage(points), cut_lineage(queries.groupBy("v").agg(F.min("id").alias("q")))
 
     # A bounded sample of vectors and one row of statistics per pivot are all the driver sees.
     wanted = min(max_pivots, max(1, math.ceil(points.count() / block)))

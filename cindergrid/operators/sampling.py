@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.neighbors import nearest
 from cindergrid.operators.ranking import ranked
+from cindergrid.session import cut_lineage
 
 
 def key_hash(keys: Sequence[Column | str], seed: int = 42) -> Column:
@@ -113,7 +114,7 @@ def edited_neighbours(df: DataFrame, id: str = "id", vector: str = "vector", lab
 def smote_enn(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "label", k: int = 5,
               clean_k: int = 3, seed: int = 42, **options) -> DataFrame:
     """:func:`smote`, then :func:`edited_neighbours` over originals and synthetic rows together."""
-    grown = smote(df, id, vector, label, k, seed, **options)
+    grown = cut_lineage(smote(df, id, vector, label, k, seed, **options))
     # One number per row: copies of a base row are numbered below it.
     widest = grown.agg((F.max("copy") + 1).cast("bigint")).scalar()
     keyed = grown.withColumn("_row", F.col(id) * widest + F.col("copy"))

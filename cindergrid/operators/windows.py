@@ -91,12 +91,10 @@ def lookback_samples(df: DataFrame, features: Sequence[str], days: int = 14, hor
     return out.filter((F.size("window") == days) & F.col("target_date").isNotNull())
 
 
-def flatten_window(samples: DataFrame, features: Sequence[str], days: int, static: Sequence[str] = (),
+def flatten_window(samples: DataFrame, features: Sequence[str], static: Sequence[str] = (),
                    name: str = "inputs") -> DataFrame:
     """One ``array<double>`` per sample: features day by day, then the static columns."""
-    parts = [F.transform("window", lambda x, f=f: x[f].cast("double")) for f in features]
-    steps = F.sequence(F.lit(0), F.lit(days - 1))
-    dynamic = F.flatten(F.transform(steps, lambda i: F.array(*[p[i] for p in parts])))
+    dynamic = F.flatten(F.transform("window", lambda x: F.array(*[x[f].cast("double") for f in features])))
     fixed = F.array(*[F.col(f"`{c}`").cast("double") for c in static]) if static else None
     return samples.withColumn(name, F.concat(dynamic, fixed) if static else dynamic)
 

@@ -21,7 +21,7 @@ def samples(cell_days: DataFrame, features: Sequence[str], days: int = 14, horiz
     """One row per cell and start day: ``inputs`` (look-back features, then static columns), ``target``
     and ``target_date``."""
     out = lookback_samples(cell_days, features, days, horizon, label, day=day)
-    flat = flatten_window(out, features, days, static)
+    flat = flatten_window(out, features, static)
     return as_features(flat.select(*CELL_DAY, "inputs", "target", "target_date"), "inputs").drop("inputs")
 
 
