@@ -211,7 +211,7 @@ codes AS (
       85::DOUBLE AS f, 6::DOUBLE AS d, 15::DOUBLE AS c, 0::DOUBLE AS m FROM days_n WHERE i = 1)
   UNION ALL
   SELECT date, cell_r, cell_c, w, i, active,
-    CASE WHEN active = 1 THEN 59.5 * (250 - m2) / (147.27723 + m2) ELSE 85 END,
+    CASE WHEN active = 1 THEN 59.5 * (250 - m2) / (147.2 + m2) ELSE 85 END,
     CASE WHEN active = 1 THEN CASE WHEN p > 1.5 THEN greatest(0, 244.72 - 43.43 * ln(mr - 20)) ELSE d END
       + 1.894e-4 * (greatest(t, -1.1) + 1.1) * (100 - h) * [6.5, 7.5, 9, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8, 7, 6][month(date)] ELSE 6 END,
     CASE WHEN active = 1 THEN CASE WHEN p > 2.8 THEN greatest(0, 400 * ln(800 / q)) ELSE c END
@@ -227,9 +227,9 @@ codes AS (
          (0.424 * (1 - power((100 - h) / 100, 1.7)) + 0.0694 * sqrt(w) * (1 - power((100 - h) / 100, 8))) * 0.581 * exp(0.0365 * t) AS kw,
          CASE WHEN d <= 33 THEN 100 / (0.5 + 0.3 * d) WHEN d <= 65 THEN 14 - 1.3 * ln(d) ELSE 6.2 * ln(d) - 17.2 END AS b,
          800 * exp(-c / 400) + 3.937 * (0.83 * p - 1.27) AS q
-    FROM (SELECT n.*, s.f, s.d, s.c, 147.27723 * (101 - s.f) / (59.5 + s.f) AS m0
+    FROM (SELECT n.*, s.f, s.d, s.c, 147.2 * (101 - s.f) / (59.5 + s.f) AS m0
           FROM codes s JOIN days_n n ON n.cell_r = s.cell_r AND n.cell_c = s.cell_c AND n.i = s.i + 1)))),
-content AS (SELECT * EXCLUDE (m), 147.27723 * (101 - f) / (59.5 + f) AS m FROM codes WHERE i > 0),
+content AS (SELECT * EXCLUDE (m), 147.2 * (101 - f) / (59.5 + f) AS m FROM codes WHERE i > 0),
 spread AS (
   SELECT *, 0.208 * exp(0.05039 * w) * 91.9 * exp(-0.1386 * m) * (1 + power(m, 5.31) / 4.93e7) AS isi,
     CASE WHEN d + 0.4 * c <= 0 THEN 0 WHEN d <= 0.4 * c THEN 0.8 * d * c / (d + 0.4 * c)

@@ -18,7 +18,7 @@ from cindergrid.operators.grid import CELL
 FFMC_START, DMC_START, DC_START = 85.0, 6.0, 15.0
 DMC_DAY_LENGTH = [6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0]
 DC_DAY_LENGTH = [-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6]
-MOISTURE = 147.27723
+MOISTURE = 147.2
 INPUTS = ["temp_c", "humidity", "wind_kmh", "rain_mm"]
 
 
