@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cindergrid.operators.grid import Grid, div
 
@@ -37,8 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of digits, without negative zero."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), digits) + F.lit(0.0) for c in columns})
+    """Doubles to a fixed number of digits, halves away from zero, without negative zero."""
+    def near(c: str) -> Column:
+        x, scale = F.col(f"`{c}`").cast("double"), float(10**digits)
+        return F.signum(x) * (F.floor(F.abs(x) * scale + 0.5) / scale) + F.lit(0.0)
+
+    return df.withColumns({c: near(c) for c in columns})
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,16 +99,16 @@ def celldays(spark: SparkSession, sf_dir: str) -> DataFrame:
     Zero rows of every user and day are unioned in front of one aggregation.
     """
     e = table(spark, sf_dir, "events").select(
-        "user_id", F.to_date("ts").alias("date"), F.col("value").alias("tp"),
+        F.to_date("ts").alias("date"), (F.col("user_id") % 37).alias("cell_r"),
+        div(F.col("user_id"), 37).alias("cell_c"), F.col("value").alias("tp"),
         (F.col("event_type") == "purchase").cast("int").alias("is_fire_day"), F.lit(1).alias("n_events"))
     days = e.agg(F.collect_set("date")).scalar()
-    zeros = e.select("user_id").distinct().select(
-        "user_id", F.explode(days).alias("date"), F.lit(0.0).alias("tp"), F.lit(0).alias("is_fire_day"),
+    zeros = e.select("cell_r", "cell_c").distinct().select(
+        "cell_r", "cell_c", F.explode(days).alias("date"), F.lit(0.0).alias("tp"), F.lit(0).alias("is_fire_day"),
         F.lit(0).alias("n_events"))
-    sums = e.unionByName(zeros).groupBy("user_id", "date").agg(
+    sums = e.unionByName(zeros).groupBy("date", "cell_r", "cell_c").agg(
         F.sum("tp").alias("tp"), F.max("is_fire_day").alias("is_fire_day"), F.sum("n_events").alias("n_events"))
-    return sums.select("date", (F.col("user_id") % 37).alias("cell_r"), div(F.col("user_id"), 37).alias("cell_c"),
-                       "user_id", "tp", "is_fire_day", "n_events")
+    return sums.withColumn("user_id", F.col("cell_c") * 37 + F.col("cell_r"))
 
 
 CELLDAYS_SQL = f"""{DAYS_SQL},

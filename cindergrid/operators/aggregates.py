@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.grid import CELL, CELL_DAY, Grid, period_key, scaffold
+from cindergrid.operators.joins import static_fields
 
 CATEGORIES = ["railway", "power_line", "highway", "aeroway", "waterway"]
 
@@ -40,8 +41,7 @@ def category_counts(points: DataFrame, grid: Grid, categories: Sequence[str] = C
 def infrastructure(cell_days: DataFrame, points: DataFrame, grid: Grid,
                    categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """Point counts of the cell on each of its days, zero where there are none."""
-    counts = category_counts(points, grid, categories)
-    return cell_days.join(counts, CELL, "left").fillna(0, [f"{c}_count" for c in categories])
+    return static_fields(cell_days, category_counts(points, grid, categories), grid, fill=0)
 
 
 def flagged_per_period(cell_days: DataFrame, flag: str = "is_fire_day") -> DataFrame:
@@ -90,6 +90,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Attach the balanced class weight to each row (one small row per class is joined)."""
-    weights = class_weights(df, label).select(label, F.col("balanced_weight").alias(name))
-    return df.join(weights, label)
+    """Attach the balanced class weight to each row, looked up in a map with one entry per class."""
+    entries = F.collect_list(F.struct(label, "balanced_weight"))
+    weights = class_weights(df, label).agg(F.map_from_entries(entries)).scalar()
+    return df.withColumn(name, weights[F.col(label)])

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 E4 = 10_000
+BROADCAST_CELLS = 100_000
 CELL = ["cell_r", "cell_c"]
 CELL_DAY = ["date", *CELL]
 
@@ -21,6 +22,10 @@ def e4(column: Column | str) -> Column:
     return F.round(column * E4).cast("bigint")
 
 
+def _range(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def div(a: Column, b) -> Column:
     """Integer division (truncating, so callers keep ``a`` non-negative)."""
     return F.call_function("div", a, F.lit(b))
@@ -47,6 +52,13 @@ class Grid:
     def size(self) -> int:
         return self.n_rows * self.n_cols
 
+    def per_cell(self, table: DataFrame) -> DataFrame:
+        """Mark a table of at most one row per cell for broadcast when the grid is small enough.
+
+        The grid bounds its size; beyond ``BROADCAST_CELLS`` the join shuffles as usual.
+        """
+        return F.broadcast(table) if self.size <= BROADCAST_CELLS else table
+
     def inside(self, lat="latitude", lon="longitude") -> Column:
         """True for points in the covered box (lower edges in, upper edges out)."""
         a, o = e4(lat), e4(lon)
@@ -87,14 +99,15 @@ class Grid:
     def on_each(self, df: DataFrame) -> DataFrame:
         """Every row of ``df`` on every cell of the grid.
 
-        The grid is a range of numbers, so each row expands in place; no table is joined or
-        broadcast, and the work spreads over the partitions of ``df``.
+        The grid is a range of numbers, so each row expands in place; no table is joined or broadcast.
         """
-        spread = df.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(self.size - 1))))
-        return spread.withColumns({
-            "cell_r": div(F.col("_cell").cast("bigint"), self.n_cols),
-            "cell_c": F.col("_cell").cast("bigint") % self.n_cols,
-        }).drop("_cell")
+        rows = df.withColumn("cell_r", F.explode(_range(self.n_rows)))
+        # A short calendar sits in one small partition: spread it before it grows, one task per
+        # million cells of a year of days.
+        tasks = min(-(-self.size * 366 // 1_000_000), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if tasks > 1:
+            rows = rows.repartition(tasks, *df.columns, "cell_r")
+        return rows.withColumn("cell_c", F.explode(_range(self.n_cols)))
 
 
 def calendar(spark: SparkSession, start, end, every: int = 1,
@@ -159,9 +172,8 @@ def day_rows(df: DataFrame, features: list[str], grid: Grid) -> DataFrame:
         for f in features])).alias("x")).select(*CELL_DAY, "x.feature", "x.v")
     one = long.groupBy("date", "feature", "cell_r").agg(
         F.map_from_entries(F.collect_set(F.struct("cell_c", "v"))).alias("m"))
-    columns = F.sequence(F.lit(0).cast("bigint"), F.lit(grid.n_cols - 1).cast("bigint"))
     return one.select("date", "feature", "cell_r",
-                      F.transform(columns, lambda c: F.col("m")[c]).alias("line"))
+                      F.transform(_range(grid.n_cols), lambda c: F.col("m")[c]).alias("line"))
 
 
 def day_images(df: DataFrame, features: list[str], grid: Grid, drop_last: bool = False,
@@ -179,8 +191,7 @@ def day_images(df: DataFrame, features: list[str], grid: Grid, drop_last: bool =
     grouped = lines.groupBy("date", "feature").agg(
         F.map_from_entries(F.collect_list(F.struct("cell_r", "line"))).alias("m"))
     empty = F.array_repeat(F.lit(None).cast("double"), grid.n_cols)
-    rows = F.sequence(F.lit(0).cast("bigint"), F.lit(grid.n_rows - 1).cast("bigint"))
-    image = F.transform(rows, lambda r: F.coalesce(F.col("m")[r], empty))
+    image = F.transform(_range(grid.n_rows), lambda r: F.coalesce(F.col("m")[r], empty))
     out = grouped.select("date", "feature", image.alias("image"))
     return out.withColumn("complete", ~F.exists(F.flatten("image"), lambda v: v.isNull()))
 

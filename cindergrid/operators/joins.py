@@ -11,11 +11,26 @@ from cindergrid.operators.grid import CELL, CELL_DAY, Grid, e4, period_key
 
 
 def outer_fold(sources: Sequence[DataFrame], key: Sequence[str] = tuple(CELL_DAY)) -> DataFrame:
-    """Full outer join of all sources on ``key``, left to right.
+    """Full outer join of all sources on ``key``, which is unique within each source.
 
-    Sources grouped by the same key are already partitioned by it, so the joins add no shuffle.
+    A chain of outer joins would move the growing result again for every source, because its key is a
+    mix of both sides. Here the sources are stacked, each in a struct column of its own, and grouped
+    once; sources already grouped by the key are not moved at all. A repeated key is an error.
     """
-    return reduce(lambda a, b: a.join(b, list(key), "full_outer"), sources)
+    key = list(key)
+    names = [[c for c in s.columns if c not in key] for s in sources]
+    flat = [n for part in names for n in part]
+    if len(flat) != len(set(flat)):
+        raise ValueError(f"columns occur in several sources: {sorted({n for n in flat if flat.count(n) > 1})}")
+    parts = [s.select(*key, F.struct(*[F.col(f"`{n}`") for n in part]).alias(f"_s{i}"))
+             for i, (s, part) in enumerate(zip(sources, names)) if part]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    packed = [c for c in stacked.columns if c not in key]
+    grouped = stacked.groupBy(*key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in packed],
+                                        *[F.count(c).alias(f"_n{c}") for c in packed])
+    repeated = reduce(Column.__or__, [F.col(f"_n{c}") > 1 for c in packed])
+    unique = F.when(repeated, F.raise_error(F.lit("a source has several rows for one cell-day"))).otherwise(F.lit(True))
+    return grouped.filter(unique.cast("boolean")).select(*key, *[F.col(f"{c}.*") for c in packed])
 
 
 def left_fields(main: DataFrame, fields: DataFrame, key: Sequence[str] = tuple(CELL_DAY)) -> DataFrame:
@@ -23,9 +38,10 @@ def left_fields(main: DataFrame, fields: DataFrame, key: Sequence[str] = tuple(C
     return main.join(fields, list(key), "left")
 
 
-def static_fields(cell_days: DataFrame, static: DataFrame, fill: int | float | None = None) -> DataFrame:
-    """Per-cell values on every day of the cell; the optimizer broadcasts ``static`` when it is small."""
-    out = cell_days.join(static, CELL, "left")
+def static_fields(cell_days: DataFrame, static: DataFrame, grid: Grid,
+                  fill: int | float | None = None) -> DataFrame:
+    """Per-cell values (one row per cell) on every day of the cell."""
+    out = cell_days.join(grid.per_cell(static), CELL, "left")
     names = [c for c in static.columns if c not in CELL]
     return out if fill is None else out.fillna(fill, names)
 
@@ -111,8 +127,9 @@ def monthly_join(left: DataFrame, right: DataFrame, key: Sequence[str] = tuple(C
         if list(side.columns[:len(key)]) != list(key):
             raise ValueError(f"the first columns must be {list(key)}, found {side.columns[:len(key)]}")
     report = period_match(left, right)
-    good = report.filter("status = 'merged'").select("period")
-    a = left.withColumn("period", period_key()).join(good, "period", "left_semi")
+    # One entry per month: a list to test against, so the rows need not move to be filtered.
+    good = report.filter("status = 'merged'").agg(F.collect_set("period")).scalar()
+    a = left.withColumn("period", period_key()).filter(F.array_contains(good, F.col("period")))
     b = right.drop(*overlap).withColumn("period", period_key())
     return a.join(b, ["period", *key], "inner"), report
 

@@ -47,7 +47,8 @@ def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     groups = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     down = running_totals(groups.withColumn("_down", -F.col("threshold")), "_down", ["pos", "neg"])
-    return down.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    return down.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                       "total_pos", "total_neg")
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
@@ -59,29 +60,31 @@ def auc(df: DataFrame, label: str = "label", score: str = "probability") -> Data
         "n_pos", "n_neg")
 
 
-def precision_recall(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
-    """``threshold, precision, recall, f1`` at every distinct score (predicting ``score >= threshold``)."""
+def _recall_curve(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
     curve = score_curve(df, label, score)
-    total = df.agg(F.count_if(F.col(label) == 1)).scalar()
     p = F.col("tp") / (F.col("tp") + F.col("fp"))
-    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("_pos").cast("double")), F.lit(0.0))
-    out = curve.withColumn("_pos", total).select("threshold", "tp", "fp", p.alias("precision"), r.alias("recall"))
+    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("total_pos").cast("double")), F.lit(0.0))
+    out = curve.select("threshold", "tp", "fp", "total_pos", "total_neg", p.alias("precision"), r.alias("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-6)
     return out.withColumn("f1", f1)
 
 
+def precision_recall(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
+    """``threshold, precision, recall, f1`` at every distinct score (predicting ``score >= threshold``)."""
+    return _recall_curve(df, label, score).drop("total_pos", "total_neg")
+
+
 def best_threshold(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
     """The score with the best F1 and the rates when predicting at or above it; ties take the lowest.
 
     The counts at a threshold come with the curve, so nothing is evaluated a second time.
     """
-    curve = precision_recall(df, label, score)
-    pick = curve.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"), "tp", "fp")).alias("b"))
-    sizes = df.agg(F.struct(F.count_if(F.col(label) == 1).alias("pos"),
-                            F.count_if(F.col(label) != 1).alias("neg"))).scalar()
-    c = pick.withColumn("s", sizes).select(
-        (-F.col("b.t")).alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"),
-        (F.col("s.pos") - F.col("b.tp")).alias("fn"), (F.col("s.neg") - F.col("b.fp")).alias("tn"))
+    curve = _recall_curve(df, label, score)
+    fields = ["tp", "fp", "total_pos", "total_neg"]
+    pick = curve.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"), *fields)).alias("b"))
+    c = pick.select((-F.col("b.t")).alias("threshold"), *[F.col(f"b.{f}").alias(f) for f in fields]).select(
+        "threshold", "tp", "fp", (F.col("total_pos") - F.col("tp")).alias("fn"),
+        (F.col("total_neg") - F.col("fp")).alias("tn"))
     return c.withColumns(rates(*[F.col(x) for x in ("tp", "fp", "fn", "tn")]))
 
 

@@ -38,10 +38,12 @@ def cluster_cells(cell_days: DataFrame, k: int = 12, seed: int = 42, by: Sequenc
     rows at the size of the grid.
     """
     name = name or f"clusters_{k}"
-    cells = as_features(cell_days.groupBy(*by).agg(F.count("*").cast("double").alias("_n")), list(by))
-    model = KMeans(k=k, seed=seed, weightCol="_n", predictionCol=name).fit(cells.persist())
-    out = model.transform(cells).select(*by, name)
-    return cell_days.join(out, list(by))
+    cells = as_features(cell_days.groupBy(*by).agg(F.count("*").cast("double").alias("_n")), list(by)).persist()
+    try:
+        model = KMeans(k=k, seed=seed, weightCol="_n", predictionCol=name).fit(cells)
+    finally:
+        cells.unpersist()
+    return model.transform(as_features(cell_days, list(by))).drop("features")
 
 
 def _score_column(column: str = "probability") -> Column:

@@ -95,10 +95,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     n_blocks = F.array(*[F.lit(int(b)) for b in blocks])
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(n_blocks, F.col("cell") + 1)))
 
+    apart = _pivot_distances(pivots, pivots)
+
     @F.pandas_udf("array<int>")
     def visits(v: pd.Series, reach: pd.Series) -> pd.Series:
         d = _pivot_distances(_matrix(v), pivots)
         least = np.maximum(d - far[None, :], near[None, :] - d)
+        # Rows of another cell lie beyond the plane half-way between its pivot and the query's own.
+        own = d.argmin(axis=1)
+        gap = apart[own]
+        plane = (d ** 2 - (d[np.arange(len(d)), own] ** 2)[:, None]) / np.where(gap > 0, 2 * gap, np.inf)
+        least = np.maximum(least, plane)
         tolerance = 1e-9 * (1 + d)
         limit = reach.to_numpy(dtype="float64", na_value=np.inf)[:, None]
         ok = (least - tolerance <= limit) & (size > 0)[None, :]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from cindergrid.operators.ranking import long_values, quantiles
+from cindergrid.operators.ranking import long_values, look_up, quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -61,7 +61,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     ends = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     spot = F.floor(F.try_divide(F.col("value") - F.col("lo"), width)).cast("int")
-    binned = long.join(ends, "column").select("column", F.least(F.coalesce(spot, F.lit(0)),
+    binned = look_up(long, ends, ["column"], ["lo", "hi"]).select("column", F.least(F.coalesce(spot, F.lit(0)),
                                                                 F.lit(bins - 1)).alias("bin"))
     counts = binned.groupBy("column", "bin").agg(F.count("*").alias("n"))
     empty = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -79,7 +79,8 @@ def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     v = F.col("value")
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     stats = ["q25", "q50", "q75"]
-    return (long_values(df, columns).join(box, "column").groupBy("column", *stats)
+    values = look_up(long_values(df, columns), box, ["column"], [*stats, "low_fence", "high_fence"])
+    return (values.groupBy("column", *stats)
             .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
                  F.count_if(~inside).alias("n_outliers")))
 

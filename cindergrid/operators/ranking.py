@@ -7,29 +7,55 @@ the blocks before it. The results are exact, wherever the cuts fall.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   ties: Sequence[str] = (), blocks: int = 64) -> DataFrame:
-    """Add ``cum_<c>`` for each column ``c`` of ``sums``: its sum over all rows up to this one.
+def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Add the columns ``names`` of ``small``, which has one row for each of a few ``keys``.
 
-    ``order`` is numeric; ``order`` and ``ties`` together must not repeat within ``by``. Pre-aggregate
-    repeated values first, so that copies of one value cannot fill a block.
+    They travel as one map value. A join would first move all of ``df`` into as many partitions as there
+    are keys.
     """
-    cuts = [i / blocks for i in range(1, blocks)]
-    approx = F.percentile_approx(order, cuts, 10_000)
-    if by:
-        tagged = df.join(df.groupBy(*by).agg(approx.alias("_cuts")), list(by))
+    values = F.struct(*names)
+    if keys:
+        entry = F.struct(F.struct(*keys).alias("k"), values.alias("v"))
+        found = small.agg(F.map_from_entries(F.collect_list(entry))).scalar()[F.struct(*keys)]
     else:
-        tagged = df.withColumn("_cuts", df.agg(approx.alias("_cuts")).scalar())
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    tagged = tagged.withColumn("_block", below).drop("_cuts")
+        found = small.select(values).scalar()
+    found = df.withColumn("_found", found)
+    return found.select(*df.columns, *[F.col(f"_found.{n}").alias(n) for n in names])
 
-    # At most ``blocks`` rows per group from here on.
+
+def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
+                   ties: Sequence[str] = (), fan: int | None = None) -> DataFrame:
+    """Add ``cum_<c>`` for each column ``c`` of ``sums``: its sum over all rows up to this one, and
+    ``total_<c>``: its sum over all rows of the group.
+
+    ``by`` has few distinct values, such as column names or classes. ``order`` is numeric; ``order`` and ``ties`` together must not repeat within ``by``. Pre-aggregate
+    repeated values first, so that copies of one value cannot fill a block. There are ``fan * fan``
+    blocks, by default some four per shuffle partition.
+    """
+    if fan is None:
+        fan = min(64, max(4, math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    blocks = fan * fan
+    cuts = [i / blocks for i in range(1, blocks)]
+    approx = F.percentile_approx(order, cuts, max(10_000, 10 * blocks))
+    known = df.groupBy(*by).agg(approx.alias("_cuts"), *[F.sum(c).alias(f"total_{c}") for c in sums])
+    tagged = look_up(df, known, by, ["_cuts", *[f"total_{c}" for c in sums]])
+    # The block number is the number of cuts below the value: first among every ``fan``-th, then between.
+    def below(first: Column, step: int) -> Column:
+        hits = [F.coalesce((F.get("_cuts", first + i * step) < F.col(order)).cast("int"), F.lit(0))
+                for i in range(fan - 1)]
+        return sum(hits[1:], hits[0])
+
+    tagged = tagged.withColumn("_part", below(F.lit(fan - 1), fan))
+    tagged = tagged.withColumn("_block", F.col("_part") * fan + below(F.col("_part") * fan, 1)).drop("_cuts", "_part")
+
+    # At most one row per block and group in ``totals``.
     totals = tagged.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_before_{c}") for c in sums])
     ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -39,15 +65,15 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     inner = Window.partitionBy(*by, "_block").orderBy(order, *ties).rowsBetween(
         Window.unboundedPreceding, 0)
     shifted = tagged.join(offsets, [*by, "_block"])
-    return shifted.select(*df.columns, *[
+    return shifted.select(*df.columns, *[f"total_{c}" for c in sums], *[
         (F.sum(c).over(inner) + F.coalesce(f"_before_{c}", F.lit(0))).alias(f"cum_{c}") for c in sums])
 
 
 def ranked(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "rank",
-           by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
+           by: Sequence[str] = (), fan: int | None = None) -> DataFrame:
     """Add the 1-based position of each row in the order of ``order`` and ``ties``."""
-    out = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties, blocks)
-    return out.withColumnRenamed("cum__one", name).drop("_one")
+    out = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties, fan)
+    return out.withColumnRenamed("cum__one", name).drop("_one", "total__one")
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -66,8 +92,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: dict[str, float],
     """
     keys = [*by, "column"]
     counts = long_values(df, columns, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    run = running_totals(counts, "value", ["n"], by=keys).join(sizes, keys)
+    run = running_totals(counts, "value", ["n"], by=keys).withColumnRenamed("total_n", "_size")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col("value")))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cindergrid.session import cut_lineage
+
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -17,7 +19,9 @@ def _with_stats(df: DataFrame, stats: Mapping[str, Column], by: Sequence[str],
     source = df if fit_on is None else df.filter(fit_on)
     packed = F.struct(*[s.alias(n) for n, s in stats.items()]).alias("_stats")
     if by:
-        return df.join(source.groupBy(*by).agg(packed), list(by), "left")
+        # Written first: the join then broadcasts the statistics if their real size is small, so the
+        # rows of a big group stay where they are.
+        return df.join(cut_lineage(source.groupBy(*by).agg(packed)), list(by), "left")
     return df.withColumn("_stats", source.agg(packed).scalar())
 
 

@@ -102,8 +102,8 @@ def flatten_window(samples: DataFrame, features: Sequence[str], static: Sequence
 def day_slice(df: DataFrame, index: DataFrame, start: int, days: int = 35,
               columns: Sequence[str] = ()) -> DataFrame:
     """``days`` consecutive day indices from ``start`` of the chosen columns."""
-    run = index.filter(F.col("day_idx").between(start, start + days - 1))
-    return df.join(run, "date").select(*CELL_DAY, "day_idx", *columns)
+    run = index.filter(F.col("day_idx").between(start, start + days - 1))  # ``days`` rows
+    return df.join(F.broadcast(run), "date").select(*CELL_DAY, "day_idx", *columns)
 
 
 def season_split(dates: DataFrame, train_years: tuple[int, int], test_years: tuple[int, int] | int,
@@ -146,7 +146,7 @@ def slope(cell_days: DataFrame, grid: Grid, z: str = "z") -> DataFrame:
     cells = gradient(cells, "elevation", "_y", ["cell_c"], "cell_r", "_gy")
     cells = cells.select(*CELL, "elevation",
                          F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy")).alias("slope"))
-    return cell_days.join(cells, CELL, "left")
+    return cell_days.join(grid.per_cell(cells), CELL, "left")
 
 
 def fire_season_mask(df: DataFrame, temp: str = "temp_c", start_above: float = 12.0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cindergrid.operators.aggregates import infrastructure, strikes_by_cellday
 from cindergrid.operators.grid import CELL_DAY, Grid, calendar, scaffold
@@ -17,7 +17,8 @@ def weather_source(instant: DataFrame, accumulated: DataFrame | None, incident_t
                    lat_tol: float = 1.0, lon_tol: float = 1.0) -> Source:
     """Weather cell-days of the calendar, accumulated fields attached, labelled with incidents."""
     def build(spark, dates, grid):
-        located = grid.locate(instant.join(dates, "date", "left_semi")).drop("latitude", "longitude")
+        # The calendar has at most one row per day of its range.
+        located = grid.locate(instant.join(F.broadcast(dates), "date", "left_semi")).drop("latitude", "longitude")
         if accumulated is not None:
             sums = grid.locate(accumulated).drop("latitude", "longitude")
             located = left_fields(located, sums)

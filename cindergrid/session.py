@@ -46,7 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Write ``df`` to the shared folder and read it back, so a lost executor replays no history."""
+    """Write ``df`` to the shared folder and read it back.
+
+    A lost executor then replays no history, several readers share one computation, and the optimizer
+    knows the real size, so it broadcasts the table in a join only when it is small.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)

@@ -14,10 +14,10 @@ ROWS_PER_FILE = 700_000
 def write_periods(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One ``period=yyyymm`` directory per month with data.
 
-    Rows are spread by period and cell row, so a month is written by many tasks and not by one.
+    Rows are gathered by period so that files are few; a month with very many rows is split over
+    several tasks and files by size.
     """
-    spread = [c for c in ("cell_r", "latitude") if c in df.columns][:1]
-    out = df.withColumn("period", period_key()).repartition("period", *spread)
+    out = df.withColumn("period", period_key()).hint("rebalance", "period")
     writer = out.write.mode("overwrite").partitionBy("period")
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.parquet(path)
 

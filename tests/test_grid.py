@@ -115,6 +115,11 @@ def test_assemble_skips_failing_sources(spark):
 
     out = joins.assemble(spark, dates, SMALL, [("x", broken), ("none", lambda *_: None), ("one", one), ("other", other)])
     assert out.count() == 25 and out.filter("a is null").count() == 15 and out.filter("b is null").count() == 5
+    with pytest.raises(ValueError, match="several sources"):
+        joins.outer_fold([one(spark, dates, SMALL), one(spark, dates, SMALL)])
+    twice = one(spark, dates, SMALL).unionByName(one(spark, dates, SMALL))
+    with pytest.raises(Exception, match="several rows"):
+        joins.outer_fold([twice, other(spark, dates, SMALL)]).collect()
     with pytest.raises(ValueError, match="down"):
         joins.assemble(spark, dates, SMALL, [("x", broken)])
 

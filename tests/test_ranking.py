@@ -13,20 +13,20 @@ def test_running_totals_over_many_blocks(spark):
     rng = random.Random(3)
     values = rng.sample(range(10_000), 500) + [10**9]
     df = spark.createDataFrame([(v, v % 7, v % 2) for v in values], "x bigint, w bigint, g bigint")
-    for blocks in (2, 16, 64):
-        got = {r.x: r.cum_w for r in running_totals(df, "x", ["w"], blocks=blocks).collect()}
+    for fan in (2, 3, 8, None):
+        got = {r.x: r.cum_w for r in running_totals(df, "x", ["w"], fan=fan).collect()}
         total = 0
         for v in sorted(values):
             total += v % 7
             assert got[v] == total
-    per_group = running_totals(df, "x", ["w"], by=["g"], blocks=8).collect()
+    per_group = running_totals(df, "x", ["w"], by=["g"], fan=3).collect()
     for r in per_group:
         assert r.cum_w == sum(v % 7 for v in values if v <= r.x and v % 2 == r.g)
 
 
 def test_rank_with_ties_is_a_permutation(spark):
     df = spark.range(300).withColumn("h", F.lit(5) * (F.col("id") % 3))
-    got = ranked(df, "h", ["id"], blocks=8).orderBy("rank").collect()
+    got = ranked(df, "h", ["id"], fan=3).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 301))
     assert [(r.h, r.id) for r in got] == sorted((r.h, r.id) for r in got)
 
