@@ -46,7 +46,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return strikes_of(table(spark, sf_dir, "events"))
+
+
+def strikes_of(e: DataFrame) -> DataFrame:
+    """Located strikes from a batch or a stream of events."""
     wiggle = F.col("event_id") % 300
     sign = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
     return e.select(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.catalog.registry import STRIKES_SQL, query, rounded, strikes, table
+from cindergrid.catalog.registry import AREA, STRIKES_SQL, query, rounded, strikes, strikes_of, table
 from cindergrid.operators import metrics
 from cindergrid.session import shared_folder
 from cindergrid.sources import readers, sinks
+from cindergrid.streaming.strikes import strike_stream, write_closed_days
 
 ORDER_SCHEMA = "o_orderkey bigint, date date, o_totalprice double, o_orderstatus string"
 
@@ -82,3 +83,17 @@ def scored_table(spark, d):
     sinks.write_table(metrics.prediction_stats(rows), f"{path}/report")
     back = readers.read_directory(spark, f"{path}/scores", "is_fire_day int, risk_score double")
     return rounded(back.groupBy("is_fire_day").agg(F.count("*").alias("n"), F.sum("risk_score").alias("risk")), "risk", digits=4)
+
+
+@query("strike_stream", f"""
+WITH {STRIKES_SQL} SELECT date, cell_r, cell_c, count(*) AS lightning_count, CAST(sum(abs(strength)) AS DOUBLE) AS absv_strength_sum,
+  CAST(sum(multiplicity) AS BIGINT) AS multiplicity_sum
+FROM located WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2, 3""")
+def strike_stream_query(spark, d):
+    """All events as a stream: the days the watermark has closed."""
+    path = shared_folder(spark)
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = strike_stream(strikes_of(events).withColumn("ts", F.col("ts").cast("timestamp")), AREA)
+    write_closed_days(counts, f"{path}/out", f"{path}/progress").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/out")

@@ -10,14 +10,18 @@ query. Copies of one vector are reduced to the ``k`` that can matter before anyt
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cindergrid.session import cut_lineage
 
+# Send this module's functions to the Python workers themselves, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 4096
 MAX_PIVOTS = 1024
 
