@@ -75,11 +75,12 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     # Both are read several times below: keep them as tables instead of running their plans again.
     points, asked = cut_lineage(points), cut_lineage(queries.groupBy("v").agg(F.min("id").alias("q")))
 
+    n_points, n_asked = points.count(), asked.count()
+    if n_points == 0:
+        raise ValueError("no base rows")
     # A bounded sample of vectors and one row of statistics per pivot are all the driver sees.
-    wanted = min(max_pivots, max(1, math.ceil(points.count() / block)))
+    wanted = min(max_pivots, math.ceil(n_points / block))
     sample = points.select("v").distinct().orderBy(F.xxhash64("v")).limit(wanted).collect()
-    if not sample:
-        raise ValueError("no base rows")
     pivots = _matrix(pd.Series([r.v for r in sample]))
     n_pivots = len(pivots)
 
@@ -89,12 +90,15 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(d)), cell]})
 
-    placed = points.withColumn("h", home("v")).select("id", "v", "h.*")
-    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"),
-                                       F.max("dist").alias("hi")).collect()
-    size, near, far = np.zeros(n_pivots, int), np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf)
-    for s in stats:
-        size[s.cell], near[s.cell], far[s.cell] = s.n, s.lo, s.hi
+    size, near, far = np.array([n_points] + [0] * (n_pivots - 1)), np.zeros(n_pivots), np.full(n_pivots, np.inf)
+    if n_pivots == 1:
+        placed = points.withColumn("cell", F.lit(0))
+    else:
+        placed = cut_lineage(points.withColumn("h", home("v")).select("id", "v", "h.*"))
+        near, far = np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf)
+        for s in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("lo"),
+                                            F.max("dist").alias("hi")).collect():
+            size[s.cell], near[s.cell], far[s.cell] = s.n, s.lo, s.hi
     blocks = np.maximum(1, -(-size // block))
     n_blocks = F.array(*[F.lit(int(b)) for b in blocks])
     placed = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(n_blocks, F.col("cell") + 1)))
@@ -144,10 +148,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
         return cells.withColumn("chunk", F.pmod(
             F.xxhash64("q", F.lit(7)), F.element_at(counts, F.col("cell") + 1)).cast("int")), n
 
-    n_asked = asked.count()
     subs = F.element_at(n_blocks, F.col("cell") + 1)
-    if n_pivots == 1 and blocks[0] == 1:
-        reach = asked.withColumn("reach", F.lit(None).cast("double"))
+    if n_pivots == 1:
+        cells = asked.withColumn("cell", F.lit(0))
     else:
         # Any k base rows bound the distance of the k-th nearest: take them from one block at home.
         first = asked.withColumn("cell", home("v")["cell"])
@@ -155,7 +158,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
         first, n = chunked(first, n_asked)
         bound = search(first, n).filter(F.col("rank") == kk).select("q", F.sqrt("d2").alias("reach"))
         reach = asked.join(bound, "q", "left")
-    cells = reach.select("q", "v", F.explode(visits("v", "reach")).alias("cell"))
+        # Written once: the visits are counted before they are searched.
+        cells = cut_lineage(reach.select("q", F.explode(visits("v", "reach")).alias("cell"))).join(asked, "q")
     cells, n = chunked(cells, n_asked)
     everywhere = cells.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), (subs - 1).cast("bigint"))))
     best = search(everywhere, n)

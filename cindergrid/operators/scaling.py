@@ -16,6 +16,8 @@ def _q(name: str) -> Column:
 
 def _with_stats(df: DataFrame, stats: Mapping[str, Column], by: Sequence[str],
                 fit_on: Column | None) -> DataFrame:
+    if not stats:
+        return df
     source = df if fit_on is None else df.filter(fit_on)
     packed = F.struct(*[s.alias(n) for n, s in stats.items()]).alias("_stats")
     if by:
@@ -38,7 +40,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     scaled = {c: (_q(c) - F.col(f"_stats.m{i}"))
               / F.when(F.col(f"_stats.s{i}") == 0, 1.0).otherwise(F.col(f"_stats.s{i}"))
               for i, c in enumerate(columns)}
-    return out.withColumns(scaled).select(*[_q(c) for c in df.columns])
+    return (out.withColumns(scaled) if scaled else out).select(*[_q(c) for c in df.columns])
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -52,7 +54,7 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     for i, c in enumerate(columns):
         lo, hi = F.col(f"_stats.lo{i}"), F.col(f"_stats.hi{i}")
         scaled[c] = (_q(c) - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
-    return out.withColumns(scaled).select(*[_q(c) for c in df.columns])
+    return (out.withColumns(scaled) if scaled else out).select(*[_q(c) for c in df.columns])
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
@@ -62,7 +64,7 @@ def impute_mean(df: DataFrame, columns: Sequence[str], fit_on: Column | None = N
 
     out = _with_stats(df, {f"m{i}": F.avg(clean(c)) for i, c in enumerate(columns)}, (), fit_on)
     filled = {c: F.coalesce(clean(c), F.col(f"_stats.m{i}")) for i, c in enumerate(columns)}
-    return out.withColumns(filled).select(*[_q(c) for c in df.columns])
+    return (out.withColumns(filled) if filled else out).select(*[_q(c) for c in df.columns])
 
 
 def categories_of(df: DataFrame, column: str, limit: int = 1000) -> list:

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.functions import surface, temporal, weather
 from cindergrid.functions.fireweather import fire_weather
-from cindergrid.operators.grid import CELL_DAY, Grid
+from cindergrid.operators.grid import CELL, CELL_DAY, Grid
 from cindergrid.operators.models import cluster_cells
 from cindergrid.operators.quality import existing
 from cindergrid.operators.scaling import minmax_scale, one_hot, standard_scale
 from cindergrid.operators.windows import rolling_sum, slope
+from cindergrid.session import cut_lineage
 from cindergrid.sources.sinks import write_audit
 
 DISABLE = ["DISABLE"]
@@ -70,7 +71,7 @@ def drop_leap_days(df: DataFrame) -> DataFrame:
 def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset: float = 0.0) -> DataFrame:
     """Add the engineered features; the cell-day rows stay as they are.
 
-    All row-wise features go into one projection. The windowed ones share the partitioning by cell.
+    All row-wise features go into one projection.
     """
     unknown = [f for f in wanted if f not in ROW_FEATURES and f not in FIRE_INDICES
                and f not in ("rolling_precipitation", "slope") and not f.startswith("clusters_")]
@@ -81,9 +82,13 @@ def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset:
         if name in ROW_FEATURES:
             columns.update(ROW_FEATURES[name]())
     out = df.withColumns(columns) if columns else df
+    indices = [f for f in wanted if f in FIRE_INDICES]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if indices and "rolling_precipitation" in wanted and grid.size >= 4 * tasks:
+        # With enough cells, one move by cell serves both the days of a block and the days of a year.
+        out = out.repartition(*CELL)
     if "rolling_precipitation" in wanted:
         out = rolling_sum(out, "tp")
-    indices = [f for f in wanted if f in FIRE_INDICES]
     if indices:
         inputs = weather.fire_index_inputs(temp_offset)
         fresh = out.columns
@@ -118,6 +123,8 @@ def process(df: DataFrame, grid: Grid, raw: Sequence[str] | None = None,
     ``by`` fits the scalers per group, for example per ``period``; ``fit_on`` fits them on some rows only.
     """
     table = select_features(clean(df), grid, raw, engineered)
+    # The scalers read the features for their statistics and again for the result: compute them once.
+    table = cut_lineage(table)
     if list(by) == ["period"]:
         table = table.withColumn("period", F.date_format("date", "yyyyMM"))
     audited = table
