@@ -169,7 +169,7 @@ def vote_hard(spark, d):
 
 def _report(spark, d):
     s = scored(spark, d)
-    rows = [metrics.long_report(metrics.evaluate_scores(s, "label", c), name)
+    rows = [metrics.long_report(metrics.evaluate_scores(s, "label", c, inclusive=True), name)
             for c, name in [("probability", "A (Test)"), ("p2", "B (Test)"), ("p3", "B (CV)")]]
     return metrics.report(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 

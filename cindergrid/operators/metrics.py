@@ -35,28 +35,32 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 
 def evaluate_scores(df: DataFrame, label: str = "label", score: str = "probability",
-                    threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
-    """One row with rates at a threshold and the area under the ROC curve."""
-    at = df.withColumn("_p", over_threshold(score, threshold, inclusive))
-    area = auc(df, label, score).select("roc_auc").scalar()
-    return confusion(at, label, "_p").withColumn("roc_auc", area)
+                    threshold: float = 0.5, inclusive: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Rates at a threshold and the area under the ROC curve: one row, or one per group of ``by``."""
+    rates_at = confusion(df.withColumn("_p", over_threshold(score, threshold, inclusive)), label, "_p", by)
+    area = auc(df, label, score, by).select(*by, "roc_auc")
+    return rates_at.join(area, list(by), "left") if by else rates_at.withColumn("roc_auc", area.scalar())
 
 
-def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, from the highest down: true and false positives when cutting there."""
-    groups = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+def score_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct score, from the highest down: true and false positives when cutting there.
+
+    ``by`` names a few groups, such as folds or models.
+    """
+    groups = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    down = running_totals(groups.withColumn("_down", -F.col("threshold")), "_down", ["pos", "neg"])
-    return down.select("threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+    down = running_totals(groups.withColumn("_down", -F.col("threshold")), "_down", ["pos", "neg"], by)
+    return down.select(*by, "threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                        "total_pos", "total_neg")
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "probability", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; tied scores count half. NULL when a class is absent."""
-    curve = score_curve(df, label, score)
+    curve = score_curve(df, label, score, by)
     wins = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    return curve.agg(F.sum(wins).alias("_w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).select(
-        F.try_divide(F.col("_w"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("roc_auc"),
+    sums = [F.sum(wins).alias("_w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
+    return curve.groupBy(*by).agg(*sums).select(
+        *by, F.try_divide(F.col("_w"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("roc_auc"),
         "n_pos", "n_neg")
 
 
@@ -173,11 +177,23 @@ def report(results: DataFrame, metrics: Sequence[str] = (*METRICS, "roc_auc")) -
     return results.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
-def long_report(one_row: DataFrame, model: str, metrics: Sequence[str] = (*METRICS, "roc_auc")) -> DataFrame:
-    """A one-row metric table as ``model, metric, value`` rows."""
+def long_report(table: DataFrame, model: str | None = None,
+                metrics: Sequence[str] = (*METRICS, "roc_auc")) -> DataFrame:
+    """Metrics as ``model, metric, value`` rows: of one row named ``model``, or of a ``model`` column."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                      for m in metrics if m in one_row.columns])
-    return one_row.select(F.lit(model).alias("model"), F.explode(pairs).alias("x")).select("model", "x.*")
+                      for m in metrics if m in table.columns])
+    name = F.lit(model) if model else F.col("model")
+    return table.select(name.alias("model"), F.explode(pairs).alias("x")).select("model", "x.*")
+
+
+def model_report(scored: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
+    """One row per ``model`` of the predictions ``model, fold, label, score``: its metrics averaged over folds.
+
+    All models and folds are evaluated together.
+    """
+    each = evaluate_scores(scored, label, score, by=["model", "fold"])
+    names = [*METRICS, "roc_auc"]
+    return each.groupBy("model").agg(*[F.avg(m).alias(m) for m in names])
 
 
 def passing_models(reported: DataFrame, threshold: float, suffix: str = " (Test)",

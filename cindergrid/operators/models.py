@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
@@ -16,7 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.aggregates import with_class_weight
-from cindergrid.operators.metrics import evaluate_scores, long_report
+from cindergrid.operators.metrics import model_report
 from cindergrid.operators.sampling import with_fold
 
 # Penalties tried by ridge regression.
@@ -114,19 +115,23 @@ def importances(model: Model, names: Sequence[str], spark) -> DataFrame:
         F.desc("importance"), "feature")
 
 
-def cross_validate(estimator: Weighted, df: DataFrame, keys: Sequence[str], model: str, folds: int = 5,
-                   seed: int = 42, label: str = "label") -> DataFrame:
-    """``model, metric, value`` averaged over folds, labelled ``<model> (CV)``."""
+def out_of_fold(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,
+                label: str = "label") -> DataFrame:
+    """``fold, label, probability`` of every row, predicted by the model fitted without its fold."""
     parts = with_fold(df, keys, folds, seed)
-    reports = []
+    scored = []
     for i in range(folds):
         fitted = estimator.fit(parts.filter(F.col("fold") != i).drop("fold"), label)
-        scored = score(fitted, parts.filter(F.col("fold") == i), "_p")
-        reports.append(long_report(evaluate_scores(scored, label, "_p"), f"{model} (CV)"))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("model", "metric").agg(F.avg("value").alias("value"))
+        held = score(fitted, parts.filter(F.col("fold") == i), "probability")
+        scored.append(held.select("fold", F.col(label).alias("label"), "probability"))
+    return reduce(DataFrame.unionByName, scored)
+
+
+def cross_validate(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,
+                   label: str = "label") -> DataFrame:
+    """One row of metrics averaged over folds."""
+    scored = out_of_fold(estimator, df, keys, folds, seed, label)
+    return model_report(scored.withColumn("model", F.lit("cv"))).drop("model")
 
 
 def linear(df: DataFrame, features: Sequence[str] | str, label: str, degree: int = 1) -> Model:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.grid import CELL, CELL_DAY
-from cindergrid.operators.metrics import evaluate_scores, long_report, report
-from cindergrid.operators.models import Weighted, as_features, cross_validate, score
+from cindergrid.operators.metrics import model_report
+from cindergrid.operators.models import Weighted, as_features, out_of_fold, score
 from cindergrid.operators.neighbors import knn_classify
 from cindergrid.operators.sampling import random_split, smote, with_fold
 from cindergrid.operators.windows import flatten_window, lookback_samples, season_split
@@ -48,23 +49,10 @@ def validation_days(days: DataFrame, share: float = 0.15, seed: int = 42) -> Dat
     return random_split(days, ["date"], share, seed)
 
 
-def knn_folds(df: DataFrame, id: str, vector: str, label: str, name: str, k: int = 5, folds: int = 5,
-              seed: int = 42) -> DataFrame:
-    """Cross-validation of the neighbour classifier, in the form of ``models.cross_validate``."""
-    parts = with_fold(df, [id], folds, seed)
-    out = None
-    for i in range(folds):
-        held, rest = parts.filter(F.col("fold") == i), parts.filter(F.col("fold") != i)
-        one = knn_report(held, rest, id, vector, label, f"{name} (CV)", k)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("model", "metric").agg(F.avg("value").alias("value"))
-
-
-def knn_report(queries: DataFrame, base: DataFrame, id: str, vector: str, label: str, name: str,
-               k: int = 5) -> DataFrame:
+def knn_scores(queries: DataFrame, base: DataFrame, id: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """``label, probability`` of the query rows by vote of their nearest base rows."""
     guessed = knn_classify(queries, base, k, id, vector, label)
-    return long_report(evaluate_scores(guessed.join(queries.select(id, label), id), label,
-                                       "probability", 0.5, inclusive=False), name)
+    return guessed.join(queries.select(id, F.col(label).alias("label")), id).select("label", "probability")
 
 
 def compare_models(df: DataFrame, id: str, vector: str, label: str, models: Mapping[str, Weighted],
@@ -75,7 +63,7 @@ def compare_models(df: DataFrame, id: str, vector: str, label: str, models: Mapp
     cross-validated on them and then fitted on all of them and evaluated on the held-out rows.
     """
     parts = random_split(df, [id], 0.2, seed)
-    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'").select(id, vector, label)
     if balance:
         grown = smote(train, id, vector, label, seed=seed)
         widest = grown.agg((F.max("copy") + 1).cast("bigint")).scalar()
@@ -83,16 +71,22 @@ def compare_models(df: DataFrame, id: str, vector: str, label: str, models: Mapp
             (F.col(id) * F.col("_n") + F.col("copy")).alias(id), vector, label)
     # Every fit reads the balanced rows again: keep them as a table.
     train = cut_lineage(train.select(id, vector, label))
-    fit_rows, test_rows = as_features(train, vector), as_features(test.select(id, vector, label), vector)
-    reports = []
+    fit_rows, test_rows = as_features(train, vector), as_features(test, vector)
+    scored = []
+
+    def add(rows: DataFrame, name: str, fold: Column) -> None:
+        scored.append(rows.select(F.lit(name).alias("model"), fold.cast("int").alias("fold"),
+                                  F.col("label").cast("int"), "probability"))
+
     for name, estimator in models.items():
-        reports.append(cross_validate(estimator, fit_rows, [id], name, folds, seed, label))
-        scored = score(estimator.fit(fit_rows, label), test_rows, "_p")
-        reports.append(long_report(evaluate_scores(scored, label, "_p"), f"{name} (Test)"))
+        add(out_of_fold(estimator, fit_rows, [id], folds, seed, label), f"{name} (CV)", F.col("fold"))
+        held = score(estimator.fit(fit_rows, label), test_rows, "probability")
+        add(held.withColumn("label", F.col(label)), f"{name} (Test)", F.lit(0))
     if neighbours:
-        reports.append(knn_folds(train, id, vector, label, "KNN", neighbours, folds, seed))
-        reports.append(knn_report(test, train, id, vector, label, "KNN (Test)", neighbours))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return report(out)
+        numbered = with_fold(train, [id], folds, seed)
+        for i in range(folds):
+            rest = numbered.filter(F.col("fold") != i)
+            add(knn_scores(numbered.filter(F.col("fold") == i), rest, id, vector, label, neighbours), "KNN (CV)", F.lit(i))
+        add(knn_scores(test, train, id, vector, label, neighbours), "KNN (Test)", F.lit(0))
+    # Training and searching are done; the evaluation reads their output several times.
+    return model_report(cut_lineage(reduce(DataFrame.unionByName, scored)))

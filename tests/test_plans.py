@@ -106,6 +106,14 @@ def test_classifiers_learn(spark, estimator):
     assert wrong <= 6
 
 
+def test_cross_validation_averages_folds(spark):
+    df = models.as_features(separable(spark), "vector")
+    folds = models.out_of_fold(models.forest(5, 4), df, ["id"], 3)
+    assert folds.count() == 120 and folds.columns == ["fold", "label", "probability"]
+    one = models.cross_validate(models.forest(5, 4), df, ["id"], 3).first()
+    assert 0.8 < one.accuracy <= 1 and 0.8 < one.roc_auc <= 1
+
+
 def test_importances_are_sorted(spark):
     df = models.as_features(separable(spark), "vector")
     got = rows(models.importances(models.forest(5, 4).fit(df), ["a", "b"], spark))

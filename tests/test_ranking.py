@@ -68,6 +68,16 @@ def test_auc_with_ties_matches_mllib(spark):
     assert metrics.auc(df.filter("label = 1")).first().roc_auc is None
 
 
+def test_auc_by_group(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i % 3, rng.randint(0, 9) / 10, rng.randint(0, 1)) for i in range(200)],
+                               "fold int, probability double, label int")
+    got = {r.fold: r.roc_auc for r in metrics.auc(df, by=["fold"]).collect()}
+    for fold, area in got.items():
+        assert area == pytest.approx(metrics.auc(df.filter(F.col("fold") == fold)).first().roc_auc)
+    assert len(got) == 3
+
+
 def test_best_threshold_reevaluates_inclusively(spark):
     data = [(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 1), (0.2, 0), (0.1, 0)]
     df = spark.createDataFrame(data, "probability double, label int")
