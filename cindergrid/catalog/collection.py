@@ -249,7 +249,7 @@ WITH {STRIKES_SQL} SELECT event_id, lat_e4 / 10000.0::DOUBLE AS lat, lon_e4 / 10
 FROM strikes WHERE event_id % 5 <> 4
 UNION ALL SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS INTEGER) AS DOUBLE), 0.5::DOUBLE FROM events""")
 def json_points(spark, d):
-    s = strikes(spark, d).join(table(spark, d, "events").select("event_id", "props"), "event_id")
+    s = strikes(spark, d)
     at = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     k = F.from_json("props", "k int")["k"].cast("double")
     none = F.lit(None).cast("double")
@@ -276,8 +276,8 @@ CELL_DAY_TABLE_SQL = f"""
 WITH {LIGHTNING_SQL}, {INCIDENTS_SQL}, {POINTS_SQL},
 calendar AS (
   SELECT DISTINCT date FROM (
-    SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-20', INTERVAL 4 DAY)) AS DATE) AS date
-    UNION ALL SELECT date FROM incidents) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20'),
+    SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 4 DAY)) AS DATE) AS date
+    UNION ALL SELECT date FROM incidents) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'),
 rain AS (SELECT CAST(ts AS DATE) AS date, user_id % 37 AS cell_r, (user_id // 37) % 34 AS cell_c,
            max(value) AS tp FROM events GROUP BY ALL),
 weather AS (
@@ -307,7 +307,7 @@ def cell_day_table_query(spark, d):
         F.to_date("ts").alias("date"), (F.col("user_id") % 37).alias("cell_r"),
         (g.div(F.col("user_id"), 37) % 34).alias("cell_c")).agg(F.max("value").alias("tp"))
     rain = AREA.with_corners(rain).drop(*g.CELL)
-    out = cell_day_table(spark, AREA, "2024-01-01", "2024-01-20", [
+    out = cell_day_table(spark, AREA, "2024-01-01", "2024-01-31", [
         weather_source(rain, None, fires, 0.1, 0.1), lightning_source(strikes(spark, d)),
         infrastructure_source(categorised(spark, d))], fires, every=4)
     return rounded(out, "tp")

@@ -142,11 +142,21 @@ def linear(spark, d):
     return rounded(models.coefficients(fitted, names, spark), "value", digits=2)
 
 
-@query("polynomial")
+@query("polynomial", """
+WITH t AS (SELECT l_quantity / 50 AS a, (l_quantity / 50) ** 2 AS b, (l_quantity / 50) ** 3 AS c, l_extendedprice AS y FROM lineitem),
+m AS (SELECT var_samp(a) AS aa, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, var_samp(b) AS bb, covar_samp(b, c) AS bc, var_samp(c) AS cc,
+    covar_samp(a, y) AS ay, covar_samp(b, y) AS by_, covar_samp(c, y) AS cy, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM t),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+k AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS x,
+    (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS x2,
+    (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS x3 FROM d)
+SELECT 'x' AS term, round(x, 2) AS value FROM k UNION ALL SELECT 'x2', round(x2, 2) FROM k UNION ALL SELECT 'x3', round(x3, 2) FROM k
+UNION ALL SELECT 'intercept', round(my - x * ma - x2 * mb - x3 * mc, 2) FROM k""")
 def polynomial(spark, d):
-    """Degree 3 over two features: nine terms and the intercept."""
-    fitted = models.linear(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", degree=3)
-    return models.coefficients(fitted, [f"term_{i}" for i in range(9)], spark)
+    """Degree 3 in the quantity."""
+    li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), "l_extendedprice")
+    fitted = models.linear(li, ["x"], "l_extendedprice", degree=3)
+    return rounded(models.coefficients(fitted, ["x", "x2", "x3"], spark), "value", digits=2)
 
 
 @query("ridge")

@@ -58,7 +58,7 @@ def strikes_of(e: DataFrame) -> DataFrame:
         ((F.col("user_id") * 7919 % 130000 + wiggle + 480000) / 10000).alias("latitude"),
         ((F.col("user_id") * 104729 % 120000 + wiggle - 1210000) / 10000).alias("longitude"),
         (F.floor("value").cast("int") * sign).alias("strength"),
-        (F.col("event_id") % 4).cast("int").alias("multiplicity"), "event_type")
+        (F.col("event_id") % 4).cast("int").alias("multiplicity"), "event_type", "props")
 
 
 STRIKES_SQL = """

@@ -23,6 +23,12 @@ def existing(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return [c for c in dict.fromkeys(wanted) if c in df.columns]
 
 
+def arranged(df: DataFrame, first: Sequence[str] = ("date",), drop: Sequence[str] = ()) -> DataFrame:
+    """The columns ``first`` in front, the others in their order; helper columns ``drop`` go if present."""
+    rest = [c for c in df.columns if c not in first and c not in drop]
+    return df.select(*[f"`{c}`" for c in [*existing(df, first), *rest]])
+
+
 def is_missing(df: DataFrame, column: str) -> Column:
     """NULL, or NaN in a floating-point column."""
     c = F.col(f"`{column}`")

@@ -27,7 +27,8 @@ def over_days(df: DataFrame, outputs: Mapping[str, Callable[[WindowSpec], Column
               span: int = SPAN) -> DataFrame:
     """Add ``outputs``, each built from a window over the cell's days ``[-before, +after]``.
 
-    ``span`` must be at least as long as either reach; it is raised when it is not.
+    ``span`` must be at least as long as either reach; it is raised when it is not. Rows without a date
+    have no place in a window and are left out.
     """
     span = max(span, before, after, 1)
     keep = df.columns

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cindergrid.operators.aggregates import infrastructure, strikes_by_cellday
 from cindergrid.operators.grid import CELL_DAY, Grid, calendar, scaffold
 from cindergrid.operators.joins import assemble, label_fires, left_fields
+from cindergrid.operators.quality import arranged
 
 Source = tuple[str, Callable[[SparkSession, DataFrame, Grid], DataFrame | None]]
 
@@ -42,7 +43,5 @@ def cell_day_table(spark: SparkSession, grid: Grid, start, end, sources: list[So
     One plan covers all periods; write it with ``sinks.write_periods``.
     """
     dates = calendar(spark, start, end, every, incident_table)
-    out = assemble(spark, dates, grid, sources)
-    front = [*CELL_DAY, "latitude", "longitude"]
-    return out.select(*front, *[f"`{c}`" for c in out.columns if c not in front])
+    return arranged(assemble(spark, dates, grid, sources), [*CELL_DAY, "latitude", "longitude"])
 

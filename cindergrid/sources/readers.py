@@ -87,16 +87,11 @@ def read_directory(spark: SparkSession, path: str, schema: StructType | str, rec
     return read_csv(spark, files, schema)
 
 
-def monthly_paths(base: str, years: Sequence[int], months: Sequence[int] = tuple(range(1, 13)),
-                  pattern: str = "fb_raw_data_{year}{month:02d}.csv") -> list[str]:
-    return [f"{base.rstrip('/')}/" + pattern.format(year=y, month=m) for y in years for m in months]
-
-
 def read_months(spark: SparkSession, base: str, years: Sequence[int], months: Sequence[int] = tuple(range(1, 13)),
-                schema: StructType | None = None, **kwargs) -> DataFrame:
-    """The monthly files of the given years and months; absent months are skipped."""
-    wanted = {p.rsplit("/", 1)[1] for p in monthly_paths(base, years, months, **kwargs)}
-    files = [f for f in _list_files(spark, base, False, ".csv") if f.rsplit("/", 1)[1] in wanted]
+                schema: StructType | None = None) -> DataFrame:
+    """The monthly files (named ``...yyyymm.csv``) of the given years and months; absent months are skipped."""
+    wanted = tuple(f"{y}{m:02d}.csv" for y in years for m in months)
+    files = [f for f in _list_files(spark, base, False, ".csv") if f.endswith(wanted)]
     if not files:
         raise FileNotFoundError(f"none of the months is in {base}")
     return read_csv(spark, files, schema or raw_schema())

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindergrid.functions import surface, temporal, values, weather
-from cindergrid.operators import scaling
+from cindergrid.operators import quality, scaling
 
 
 def test_depth_weights_follow_linear_interpolation():
@@ -93,6 +93,11 @@ def test_one_hot_names_and_missing(spark):
         scaling.categories_of(spark.range(20), "id", limit=5)
 
 
+def test_arranged(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, `2t` int, date int, helper int")
+    assert quality.arranged(df, drop=["helper", "absent"]).columns == ["date", "a", "2t"]
+
+
 def test_impute(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (5.0,)], "x double")
     assert [r[0] for r in scaling.impute_mean(df, ["x"]).collect()] == [1.0, 3.0, 3.0, 5.0]

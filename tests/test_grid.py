@@ -76,6 +76,24 @@ def test_label_tolerance_is_inclusive(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_null_keys_stay_and_are_never_flagged(spark):
+    cells = spark.createDataFrame([(None, 0, 0), (DAY, None, 0), (DAY, 0, 0)], "date date, cell_r bigint, cell_c bigint")
+    fires = spark.createDataFrame([(DAY, 0.0, 0.0), (None, 0.0, 0.0), (DAY, None, 0.0)],
+                                  "date date, latitude double, longitude double")
+    out = joins.label_fires(cells, fires, SMALL, 0.0, 0.0)
+    assert sorted((r.date is None, r.cell_r is None, r.is_fire_day) for r in out.collect()) == [
+        (False, False, 1), (False, True, 0), (True, False, 0)]
+
+
+def test_empty_sources(spark):
+    dates = spark.createDataFrame([(DAY,)], "date date")
+    none = spark.createDataFrame([], "date string, latitude double, longitude double, strength int, multiplicity int")
+    out = strikes_by_cellday(none, dates, SMALL)
+    assert out.count() == 25 and out.filter("lightning_count <> 0 or absv_strength_sum <> 0").count() == 0
+    points = spark.createDataFrame([], "category string, latitude double, longitude double")
+    assert infrastructure(g.scaffold(dates, SMALL), points, SMALL).filter("railway_count = 0").count() == 25
+
+
 @pytest.mark.parametrize("tolerance,expected", [(0, 1), (1, 9), (2, 25), (9, 25)])
 def test_dilation_of_one_cell(spark, tolerance, expected):
     cells = g.scaffold(spark.createDataFrame([(DAY,)], "date date"), SMALL).withColumn(

@@ -30,7 +30,7 @@ def test_directory_merges_by_name_and_skips_bad_files(spark, tmp_path):
 
 def test_months(spark, tmp_path):
     for key in ("200601", "200602", "200701"):
-        write(tmp_path / f"fb_raw_data_{key}.csv", f"date,latitude,longitude,2t\n{key[:4]}-{key[4:]}-01,49.0,-120.0,280.5\n")
+        write(tmp_path / f"raw_{key}.csv", f"date,latitude,longitude,2t\n{key[:4]}-{key[4:]}-01,49.0,-120.0,280.5\n")
     out = readers.read_months(spark, str(tmp_path), [2006], range(1, 13))
     assert sorted(str(r.date) for r in out.collect()) == ["2006-01-01", "2006-02-01"]
     assert set(readers.RAW_DOUBLES) <= set(out.columns) and out.first()["2t"] == 280.5 and out.first()["tp"] is None
