@@ -16,6 +16,9 @@ def get_session(app: str = "cindergrid", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # The JVM never compiles a method above 8,000 bytes. Very wide projections (all features of a row)
+        # exceed that when fused into one loop; let Spark split those instead of running them interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
