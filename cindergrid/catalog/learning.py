@@ -159,6 +159,13 @@ def polynomial(spark, d):
     return rounded(models.coefficients(fitted, ["x", "x2", "x3"], spark), "value", digits=2)
 
 
+@query("polynomial_pair")
+def polynomial_pair(spark, d):
+    """Degree 3 over two features: nine terms and the intercept."""
+    fitted = models.linear(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", degree=3)
+    return models.coefficients(fitted, [f"term_{i}" for i in range(9)], spark)
+
+
 @query("ridge")
 def ridge(spark, d):
     names = ["l_quantity", "l_discount", "l_tax"]
