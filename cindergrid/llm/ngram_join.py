@@ -43,7 +43,7 @@ def _sets(column, width):
         starts, ends, first = arrays.words(data, offsets)
         h = arrays.hashes(data, starts, ends)
         for i in range(len(offsets) - 1):
-            yield row + i, np.unique(arrays.windows(h[first[i] : first[i + 1]], width))
+            yield row + i, arrays.distinct(arrays.windows(h[first[i] : first[i + 1]], width))
 
 
 def _digest(s: np.ndarray) -> bytes:

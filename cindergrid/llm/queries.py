@@ -2,16 +2,64 @@
 
 from __future__ import annotations
 
-from cindergrid.llm import ngram_join as op1
+from pyspark.sql import functions as F
 
+from cindergrid.llm import byte_bpe, decision_list, decontaminate, ngram_join, pii, quality_classifier
 
-def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def site():
+    """Host and path of a document: its source, and the part of it in one language."""
+    return F.col("source"), F.col("lang")
 
 
 def op1_ngram_join(spark, sf_dir):
-    return op1.ngram_join(_documents(spark, sf_dir))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), *site())
+
+
+def op3_decision_list(spark, sf_dir):
+    return decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def op4_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+
+    def joined(spans):
+        order = F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("o"),
+                                                      s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k")))
+        return F.array_join(F.transform(F.sort_array(order), lambda s: F.concat_ws(":", s["k"], s["a"], s["b"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_byte_bpe(spark, sf_dir):
+    path = tokenizer()
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op7_decontaminate, op8_byte_bpe)}
 ORACLES: dict[str, str] = {}
