@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import byte_bpe, decision_list, decontaminate, ngram_join, pii, quality_classifier
+from cindergrid.llm import byte_bpe, decision_list, decontaminate, katz, language_id, ngram_join, pii, quality_classifier
 
 
 def table(spark, sf_dir, name):
@@ -61,5 +61,18 @@ def op8_byte_bpe(spark, sf_dir):
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op7_decontaminate, op8_byte_bpe)}
+def fold(remainder: int):
+    """Whether the CRC-32 of the id, as text, leaves this remainder modulo 5."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == remainder, F.lit(False))
+
+
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"), fold(0))
+
+
+def op10_katz(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"), fold(1))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op7_decontaminate, op8_byte_bpe, op9_language_id, op10_katz)}
 ORACLES: dict[str, str] = {}
