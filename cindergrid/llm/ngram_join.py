@@ -229,3 +229,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.when(F.col("digest").isNotNull(), F.coalesce("class", "id")).alias("class_id"),
                       F.coalesce("root", "class", "id").alias("group_id"),
                       F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row per id, all columns as they were.
+
+    Rows without id stay. Only the ids to drop are joined with the texts; Spark broadcasts them if they are few."""
+    found = cut_lineage(ngram_join(docs, id_col, text_col, **options).select(F.col(id_col).cast("long").alias("ngram_id"), "group_id"))
+    drop = found.where("ngram_id <> group_id").select("ngram_id").distinct()
+    again = found.where("ngram_id is not null").groupBy("ngram_id").count().where("count > 1").select("ngram_id")
+    kept = docs.join(drop, F.col(id_col) == F.col("ngram_id"), "left_anti")
+    again = cut_lineage(again.join(drop, "ngram_id", "left_anti"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col(id_col) == F.col("ngram_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col("ngram_id"), "left_anti").unionByName(once)

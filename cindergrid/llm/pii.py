@@ -420,7 +420,8 @@ def mask(text: str, spans) -> str:
 def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with personal data of ``text_col`` replaced by its kind; other columns and null texts as they were."""
     shared = sharing.share(docs.sparkSession, tagger)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -431,7 +432,7 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", least: float
                 out += [mask(t, [*a, *b]) for t, a, b in zip(texts, own, more)]
             empty = batch.column(at).is_null().to_pylist()
             text = pa.array([None if e else t for t, e in zip(out, empty)], pa.string())
-            yield pa.record_batch([*batch.columns[:at], text, *batch.columns[at + 1 :]], names=docs.columns)
+            yield pa.record_batch([*batch.columns[:at], text, *batch.columns[at + 1 :]], names=names)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import byte_bpe, decision_list, decontaminate, katz, language_id, ngram_join, pii, quality_classifier
+from cindergrid.llm import (byte_bpe, chat_format, decision_list, decontaminate, katz, language_id, ngram_join, pii, quality_classifier,
+                            warc_zip)
 
 
 def table(spark, sf_dir, name):
@@ -50,6 +51,19 @@ def op4_pii(spark, sf_dir):
                         joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op5_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))],
+                                 "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(more).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("payload"))
+    turns = chat_format.canonical_turns(rows, "payload")
+    return chat_format.digests(chat_format.read_turns(chat_format.format_turns(turns)), "conv_id", ["turn", "position", "read_role", "read_text"])
+
+
+def op6_warc_zip(spark, sf_dir):
+    return warc_zip.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id")
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,5 +88,6 @@ def op10_katz(spark, sf_dir):
     return katz.score(table(spark, sf_dir, "documents"), fold(1))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op7_decontaminate, op8_byte_bpe, op9_language_id, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op5_chat_format, op6_warc_zip, op7_decontaminate,
+                                  op8_byte_bpe, op9_language_id, op10_katz)}
 ORACLES: dict[str, str] = {}
