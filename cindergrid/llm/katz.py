@@ -29,7 +29,7 @@ from cindergrid.llm import arrays
 from cindergrid.session import cut_lineage, shared_folder
 
 #: Bytes of text in a block.
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 END, START = np.uint64(0x5E0F7E37), np.uint64(0x57A27000)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
