@@ -67,6 +67,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
                         pack(1 - np.asarray(batch.column(1).slice(row, end - row), np.uint8)), pack(lengths.astype(np.uint32)),
                         pack(tokens.astype(np.uint32)), pack(words)))], ["block", "ids", "train", "lengths", "tokens", "words"])
                 at += 1
+                arrays.give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), held.cast("int").alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "block long, ids array<long>, train binary, lengths binary, tokens binary, words binary")
@@ -160,10 +161,12 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
                 if row["part"] != held and rows:
                     yield add_up(held, rows)
                     rows = []
+                    arrays.give_back()
                 held = row["part"]
                 rows.append((row["block"], row["keys"], row["values"]))
         if rows:
             yield add_up(held, rows)
+        arrays.give_back()
 
     return asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, ANSWERED)
 
@@ -208,7 +211,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     encode(docs, id_col, text_col, held).write.bucketBy(parts, "block").option("path", shared_folder(spark)).saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    parts = max(parts, int(size >> 22))
+    parts = max(parts, int(size >> 21))
 
     def known(*rounds):
         out = blocks
@@ -240,6 +243,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                 b = Block(row)
                 b.pairs()
                 yield questions(row["block"], b.pair_keys, [b.pair_count], parts)
+                arrays.give_back()
 
     pairs = cut_lineage(totals(blocks.mapInArrow(ask_pairs, ASKED), parts))
     d2 = discounts(_stats(pairs)[:31], top)
@@ -263,6 +267,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                 send = [np.bincount(b.left[mine], v[mine], n) for v in (b.mass, chances(b.c[b.right]))]
                 send.append(np.where(np.arange(n) == n - 1, b.trains.sum(), 0).astype(float))
                 yield questions(row["block"], b.contexts(), send, parts)
+                arrays.give_back()
 
     contexts = cut_lineage(totals(known(words, pairs).mapInArrow(ask_contexts, ASKED), parts))
 
@@ -285,6 +290,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                     pa.array(np.bincount(b.owner, b.c[b.tokens] > 0, n).astype(np.int64)), pa.array(np.full(n, total), pa.int64()),
                     pa.array(np.bincount(b.owner, base[b.tokens], n)), pa.array(np.bincount(b.owner, pair[b.pair_of_token], n))],
                     [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                arrays.give_back()
 
     out = cut_lineage(known(words, pairs, contexts).mapInArrow(
         evaluate, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
