@@ -29,7 +29,7 @@ TOGETHER = 64
 #: Rank of a pair that isn't in the vocabulary, above all others.
 NONE = 1 << 24
 #: Slots of a worker's memory of merged misses, and the most ids of one that is kept there.
-SLOTS, KEPT = 1 << 20, 6
+SLOTS, KEPT = 1 << 19, 6
 
 
 def character_classes() -> np.ndarray:
@@ -320,12 +320,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            out = []
-            for _, _, data, offsets in arrays.slices(batch.column(1)):
+            for row, end, data, offsets in arrays.slices(batch.column(1)):
                 ids, first = sharing.use(model).encode(data, offsets)
-                raw = ids.astype("<u4").tobytes()
-                out += [raw[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.record_batch([batch.column(0), arrays.binary(out)], [id_col, "ids"])
+                raw = pa.py_buffer(ids.astype("<u4"))
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer(4 * first.astype(np.int64)), raw])
+                yield pa.record_batch([batch.column(0).slice(row, end - row), packed.cast(pa.binary())], [id_col, "ids"])
+            arrays.give_back()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
@@ -339,7 +339,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [sharing.use(model).decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]
-            yield pa.record_batch([*batch.columns, arrays.binary(texts)], columns)
+            for row in range(0, batch.num_rows, 500):
+                part = batch.slice(row, 500)
+                texts = [sharing.use(model).decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in part.column(at)]
+                yield pa.record_batch([*part.columns, arrays.binary(texts)], columns)
+            arrays.give_back()
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
