@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked on at once.
 SLICE = 1 << 20
+#: Bytes hashed at once.
+PIECE = 1 << 17
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,13 +82,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run, from one running sum over all bytes."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_VALUE[data] * _grown(0, _BASE, n), out=total[1:])
-        h = (total[ends] - total[starts]) * _grown(1, _INVERSE, n + 1)[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte run (in order, not overlapping), from running sums over pieces of the bytes."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
+        base, s, e = int(starts[i]), starts[i:j] - starts[i], ends[i:j] - starts[i]
+        n = int(e[-1])
+        total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_VALUE[data[base : base + n]] * _grown(0, _BASE, n), out=total[1:])
+            out[i:j] = mix((total[e] - total[s]) * _grown(1, _INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

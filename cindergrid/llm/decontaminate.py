@@ -199,6 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 bad = np.zeros(batch.num_rows, bool)
                 bad[[r for r, *_ in _matches(sharing.use(index), batch.column(text_col))]] = True
                 yield batch.filter(pa.array(~bad))
+                arrays.give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

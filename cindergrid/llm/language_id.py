@@ -142,6 +142,7 @@ def predict(docs: DataFrame, model, id_col: str, text_col: str, held: Column) ->
                     x.extend(y)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                                    pa.array(far, pa.bool_())], schema.names)
+            arrays.give_back()
 
     return docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -65,6 +65,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, de
                 label.append(_minhash(s, a, b).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), arrays.binary(digest), arrays.binary(label)],
                                   ["id", "n", "digest", "label"])
+            arrays.give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, n long, digest binary, label binary")
@@ -134,6 +135,7 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
             columns = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
                                   ["kind", "a", "b", "n"])
+            arrays.give_back()
 
     return pairs.mapInArrow(run, "kind int, a long, b long, n long")
 
@@ -190,6 +192,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2),
                                    arrays.binary([s.tobytes() for _, s in _sets(batch.column(3), width)])],
                                   ["block", "class", "copies", "set"])
+            arrays.give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(member, "class") \
         .dropDuplicates(["class"]).select("block", "class", "copies", "text")
@@ -234,11 +237,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, one row per id, all columns as they were.
 
-    Rows without id stay. Only the ids to drop are joined with the texts; Spark broadcasts them if they are few."""
+    Rows without id stay. The ids to drop are joined with the texts."""
     found = cut_lineage(ngram_join(docs, id_col, text_col, **options).select(F.col(id_col).cast("long").alias("ngram_id"), "group_id"))
     drop = found.where("ngram_id <> group_id").select("ngram_id").distinct()
     again = found.where("ngram_id is not null").groupBy("ngram_id").count().where("count > 1").select("ngram_id")
-    kept = docs.join(drop, F.col(id_col) == F.col("ngram_id"), "left_anti")
+    # The ids to drop grow with the corpus, so the plan doesn't count on their being few.
+    kept = docs.join(drop.hint("merge"), F.col(id_col) == F.col("ngram_id"), "left_anti")
     again = cut_lineage(again.join(drop, "ngram_id", "left_anti"))
     if again.isEmpty():
         return kept

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cindergrid.llm import sharing
+from cindergrid.llm import arrays, sharing
 
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -403,6 +403,7 @@ def find(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
                 return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows], arrow)
 
             yield pa.record_batch([batch.column(0), pack(base), pack(added)], [id_col, "base", "added"])
+            arrays.give_back()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -433,6 +434,7 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", least: float
             empty = batch.column(at).is_null().to_pylist()
             text = pa.array([None if e else t for t, e in zip(out, empty)], pa.string())
             yield pa.record_batch([*batch.columns[:at], text, *batch.columns[at + 1 :]], names=names)
+            arrays.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -80,7 +80,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     known = known.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30))
     total = known.count()
     chosen = known.where(F.col("draw") < fit_rows / max(total, 1)).select("id", "y")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
+        F.broadcast(chosen), "id").select("y", "text")  # about fit_rows ids at most
 
     def run(batches):
         for batch in batches:
@@ -107,6 +108,7 @@ def evidence(docs: DataFrame, model, text_col: str, name: str) -> DataFrame:
             z = (features(batch.column(text_col)) - mean) / scale
             score = np.clip(z @ w[:-1] + w[-1], -12, 12)
             yield pa.record_batch([*batch.columns, pa.array(score, pa.float64())], names=schema.names)
+            arrays.give_back()
 
     return docs.mapInArrow(run, schema)
 
