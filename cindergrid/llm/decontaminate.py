@@ -44,7 +44,7 @@ def votes(h: np.ndarray, wide: bool) -> np.ndarray:
     with np.errstate(over="ignore"):
         pairs = arrays.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     kind = np.uint32 if wide else np.uint8
-    bits = np.unpackbits(pairs.view(np.uint8)).astype(kind, copy=False).view(np.uint64).reshape(len(pairs), -1)
+    bits = np.unpackbits(pairs.view(np.uint8)).astype(kind, copy=False).view(np.uint64).reshape(len(pairs), 8 * np.dtype(kind).itemsize)
     return np.cumsum(np.concatenate([np.zeros((1, bits.shape[1]), np.uint64), bits]), axis=0, dtype=np.uint64)
 
 
@@ -92,7 +92,8 @@ class Index:
                 h = arrays.hashes(data, starts, ends)
                 self.lengths.setdefault(size_class(len(h)), []).append((item, h))
         for m, same in self.lengths.items():
-            prints = np.array([fingerprint(votes(h[:m], m > 255), m)[0] for _, h in same], np.uint64)
+            # One word has no two-word shingle; its own hash stands for it.
+            prints = np.array([fingerprint(votes(h[:m], m > 255), m)[0] if m > 1 else h[0] for _, h in same], np.uint64)
             whole = np.array([fingerprint(votes(h, len(h) > 255), len(h))[0] for _, h in same], np.uint64)
             table = np.zeros((4, 1 << 16), np.uint8)
             for i, p in enumerate(prints.view(np.uint16).reshape(-1, 4), 1):
@@ -112,7 +113,7 @@ class Index:
             for m, (same, prints, _, table) in self.lengths.items():
                 if len(total) < m:
                     continue
-                found = fingerprint(total, m)[:VOTES]
+                found = fingerprint(total, m)[:VOTES] if m > 1 else h[at : at + VOTES].copy()
                 parts = found.view(np.uint16).reshape(-1, 4)
                 which, item = [], []
                 for b in range(4):
