@@ -184,7 +184,7 @@ def assemble_outer(spark, d):
 
     out = joins.assemble(spark, event_days(spark, d), AREA, [
         ("rain", rain), ("offline", offline), ("lightning", lambda *_: struck(spark, d)),
-        ("points", lambda *_: static_replicated(spark, d).withColumnRenamed("n_points", "n"))])
+        ("points", lambda *_: static_replicated(spark, d).withColumnRenamed("n_points", "n"))], on_error="skip")
     return rounded(out, "tp")
 
 

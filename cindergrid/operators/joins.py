@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.grid import CELL, CELL_DAY, Grid, e4, period_key
 
+log = logging.getLogger(__name__)
+
 
 def outer_fold(sources: Sequence[DataFrame], key: Sequence[str] = tuple(CELL_DAY)) -> DataFrame:
     """Full outer join of all sources on ``key``, which is unique within each source.
@@ -135,20 +138,26 @@ def monthly_join(left: DataFrame, right: DataFrame, key: Sequence[str] = tuple(C
 
 
 def assemble(spark, dates: DataFrame, grid: Grid,
-             sources: Sequence[tuple[str, Callable[..., DataFrame | None]]]) -> DataFrame:
+             sources: Sequence[tuple[str, Callable[..., DataFrame | None]]], on_error: str = "raise") -> DataFrame:
     """Run each source plug-in ``(spark, dates, grid) -> cell-day table`` and fold the outputs.
 
-    A plug-in that raises, returns None or lacks the key is left out; with none left this is an error.
+    An error of a plug-in is raised, so that no table lacks a source unnoticed. With ``on_error="skip"`` a plug-in that
+    raises, returns None or lacks the key is left out and logged; with none left this is an error.
     """
+    if on_error not in ("raise", "skip"):
+        raise ValueError("on_error is 'raise' or 'skip'")
     outputs, skipped = [], []
     for name, source in sources:
         try:
             out = source(spark, dates, grid)
             if out is None or any(k not in out.columns for k in CELL_DAY):
-                raise ValueError("no cell-day table")
+                raise ValueError(f"{name} gave no cell-day table")
             outputs.append(out)
         except Exception as error:
+            if on_error == "raise":
+                raise
             skipped.append(f"{name}: {error}")
+            log.warning("left out source %s: %s", name, error)
     if not outputs:
         raise ValueError("no source gave data; " + "; ".join(skipped))
     return grid.with_corners(outer_fold(outputs))

@@ -78,9 +78,10 @@ def smote(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "l
     rows = df.select(F.col(id).cast("bigint").alias(id), F.col(vector).cast("array<double>").alias(vector),
                      F.col(label).cast("int").alias(label))
     originals = rows.select(id, F.lit(0).alias("copy"), vector, label)
-    if few < 2 or few == many:
+    if few == many:
         return originals
-    k = min(k, few - 1)
+    if few <= k:
+        raise ValueError(f"{few} rows of the smaller class can't give {k} neighbours each; pass a smaller k")
     need = many - few
     small = rows.filter(F.col(label) == minority).select(id, vector)
     base = ranked(small.withColumn("_h", key_hash([id], seed)), "_h", [id], "_rank")

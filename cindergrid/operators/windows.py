@@ -22,6 +22,19 @@ def day_number(date: Column | str = "date") -> Column:
     return F.unix_date(date)
 
 
+def leapless_day(date: Column | str = "date") -> Column:
+    """Days since 1970-01-01 without counting any Feb 29: Feb 28 and Mar 1 are always adjacent.
+
+    For tables from which leap days were removed; pass it as ``day``."""
+    date = F.col(date) if isinstance(date, str) else date
+
+    def leaps(year):
+        return F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400)
+
+    past = (F.dayofyear(F.make_date(F.year(date), F.lit(12), F.lit(31))) == 366) & (F.dayofyear(date) > 60)
+    return (F.unix_date(date) - (leaps(F.year(date) - 1) - leaps(F.lit(1969))) - past.cast("int")).cast("bigint")
+
+
 def over_days(df: DataFrame, outputs: Mapping[str, Callable[[WindowSpec], Column]], before: int,
               after: int = 0, by: Sequence[str] = tuple(CELL), day: Column | None = None,
               span: int = SPAN) -> DataFrame:
@@ -43,26 +56,26 @@ def over_days(df: DataFrame, outputs: Mapping[str, Callable[[WindowSpec], Column
 
 
 def rolling_sum(df: DataFrame, value: str = "tp", days: int = 7, name: str = "rolling_precipitation",
-                by: Sequence[str] = tuple(CELL), span: int = SPAN) -> DataFrame:
+                by: Sequence[str] = tuple(CELL), span: int = SPAN, day: Column | None = None) -> DataFrame:
     """Sum over the last ``days`` days of the cell, today included; short at the start of the record."""
     return over_days(df, {name: lambda w: F.sum(f"`{value}`").over(w.rangeBetween(1 - days, 0))},
-                     before=days - 1, by=by, span=span)
+                     before=days - 1, by=by, day=day, span=span)
 
 
 def lagged(df: DataFrame, columns: Sequence[str], lags: Sequence[int] = (1, 2, 3),
-           by: Sequence[str] = tuple(CELL), drop_incomplete: bool = True, span: int = SPAN) -> DataFrame:
+           by: Sequence[str] = tuple(CELL), drop_incomplete: bool = True, span: int = SPAN, day: Column | None = None) -> DataFrame:
     """``<column>_lag_<k>``: the value ``k`` days earlier; incomplete rows are dropped by default."""
     outputs = {f"{c}_lag_{k}": (lambda w, c=c, k=k: F.max(f"`{c}`").over(w.rangeBetween(-k, -k)))
                for c in columns for k in lags}
-    out = over_days(df, outputs, before=max(lags), by=by, span=span)
+    out = over_days(df, outputs, before=max(lags), by=by, day=day, span=span)
     return out.dropna("any", subset=list(outputs)) if drop_incomplete else out
 
 
 def fire_before(df: DataFrame, days: int = 14, flag: str = "is_fire_day", name: str = "fire_before",
-                by: Sequence[str] = tuple(CELL), span: int = SPAN) -> DataFrame:
+                by: Sequence[str] = tuple(CELL), span: int = SPAN, day: Column | None = None) -> DataFrame:
     """1 when the cell was flagged on any of the previous ``days`` days, else 0."""
     return over_days(df, {name: lambda w: F.coalesce(
-        F.max(flag).over(w.rangeBetween(-days, -1)), F.lit(0))}, before=days, by=by, span=span)
+        F.max(flag).over(w.rangeBetween(-days, -1)), F.lit(0))}, before=days, by=by, day=day, span=span)
 
 
 def label_ahead(df: DataFrame, horizon: int = 5, label: str = "is_fire_day",

@@ -36,9 +36,11 @@ def score_days(model: Model, rows: DataFrame) -> DataFrame:
 def train_and_score(cell_days: DataFrame, features: Sequence[str], estimator: Weighted,
                     train_years: tuple[int, int], test_years: tuple[int, int] | int, days: int = 14,
                     horizon: int = 5, static: Sequence[str] = (), start_day: str = "02-24",
-                    end_day: str = "09-25") -> DataFrame:
-    """Fit on the seasons of the train years and score every cell and day of the test seasons."""
-    rows = samples(cell_days, features, days, horizon, static=static)
+                    end_day: str = "09-25", day: Column | None = None) -> DataFrame:
+    """Fit on the seasons of the train years and score every cell and day of the test seasons.
+
+    ``day`` numbers the days of windows and horizons; pass ``windows.leapless_day()`` for tables without Feb 29."""
+    rows = samples(cell_days, features, days, horizon, static=static, day=day)
     rows = season_split(rows, train_years, test_years, start_day, end_day)
     fitted = estimator.fit(rows.filter("split = 'train'").withColumnRenamed("target", "label"))
     return score_days(fitted, rows.filter("split = 'test'"))

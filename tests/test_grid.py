@@ -131,7 +131,7 @@ def test_assemble_skips_failing_sources(spark):
     def other(_spark, days, grid):
         return g.scaffold(days, grid).filter("cell_r > 0").withColumn("b", F.lit(2))
 
-    out = joins.assemble(spark, dates, SMALL, [("x", broken), ("none", lambda *_: None), ("one", one), ("other", other)])
+    out = joins.assemble(spark, dates, SMALL, [("x", broken), ("none", lambda *_: None), ("one", one), ("other", other)], on_error="skip")
     assert out.count() == 25 and out.filter("a is null").count() == 15 and out.filter("b is null").count() == 5
     with pytest.raises(ValueError, match="several sources"):
         joins.outer_fold([one(spark, dates, SMALL), one(spark, dates, SMALL)])
@@ -139,7 +139,11 @@ def test_assemble_skips_failing_sources(spark):
     with pytest.raises(Exception, match="several rows"):
         joins.outer_fold([twice, other(spark, dates, SMALL)]).collect()
     with pytest.raises(ValueError, match="down"):
-        joins.assemble(spark, dates, SMALL, [("x", broken)])
+        joins.assemble(spark, dates, SMALL, [("x", broken)], on_error="skip")
+    with pytest.raises(RuntimeError, match="down"):
+        joins.assemble(spark, dates, SMALL, [("one", one), ("x", broken)])
+    with pytest.raises(ValueError, match="none gave no"):
+        joins.assemble(spark, dates, SMALL, [("one", one), ("none", lambda *_: None)])
 
 
 def test_monthly_join_checks_columns(spark):

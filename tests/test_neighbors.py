@@ -79,6 +79,12 @@ def test_balanced_input_is_left_alone(spark):
     assert sampling.smote(even).count() == 10
 
 
+def test_too_small_a_class_is_an_error(spark):
+    _, df = points(spark, 10)
+    with pytest.raises(ValueError, match="smaller k"):
+        sampling.smote(df.withColumn("label", (F.col("id") == 0).cast("int")))
+
+
 def test_edited_neighbours(spark):
     data = [(0, [0.0], 0), (1, [0.1], 0), (2, [0.2], 0), (3, [0.3], 0), (4, [0.15], 1), (5, [9.0], 1), (6, [9.1], 1),
             (7, [9.2], 1), (8, [9.3], 1)]

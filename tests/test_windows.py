@@ -145,3 +145,14 @@ def test_day_slice(spark):
     got = windows.day_slice(df, g.day_index(df), 2, 3, ["tp"])
     assert sorted({r.day_idx for r in got.collect()}) == [2, 3, 4] and got.count() == 6
     assert rows(g.day_index(df), "date")[0] == (0, START)
+
+
+def test_removed_leap_days_are_adjacent(spark):
+    days = spark.sql("SELECT explode(sequence(date'1999-12-25', date'2004-03-10')) date").where("date_format(date, 'MM-dd') <> '02-29'")
+    df = days.selectExpr("date", "0L cell_r", "0L cell_c", "1.0D tp", "cast(date = date'2004-02-28' as int) is_fire_day")
+    numbers = [r.n for r in df.select(windows.leapless_day().alias("n"), "date").orderBy("date").collect()]
+    assert numbers == list(range(numbers[0], numbers[0] + len(numbers)))
+    on = {str(r.date): r for r in windows.fire_before(windows.rolling_sum(df, day=windows.leapless_day()), 2, day=windows.leapless_day()).collect()}
+    assert on["2004-03-01"].rolling_precipitation == on["2000-03-03"].rolling_precipitation == 7.0
+    assert [on[f"2004-03-0{i}"].fire_before for i in (1, 2, 3)] == [1, 1, 0]
+    assert windows.lagged(df, ["tp"], (3,), day=windows.leapless_day()).count() == df.count() - 3
