@@ -1,6 +1,6 @@
 """WARC in ZIP packages: written as stored members, read by directory and byte range, never extracted.
 
-A package is a ZIP file with one or more stored members ``archive/*.warc`` and an index member ``indexes/index.cdxj`` that
+A package is a ZIP file with one or more stored members ``archive/*.warc.gz`` (a gzip stream for each record) and an index member ``indexes/index.cdxj`` that
 names every record's member, offset and length. The reader parses the end record, the ZIP64 locator and directory where
 present, and the central directory, finds stored members and their data offsets, reads the indexes, and then
 reads single records by range. Compressed or encrypted members and damaged directories raise errors.
@@ -15,6 +15,7 @@ repeated ids are written each. Empty tables give no packages. A package holds at
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
 import uuid
@@ -177,14 +178,16 @@ class ZipReader:
 def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
     """id, url, payload, digest and, for revisits, the page whose payload they repeat.
 
-    Equal payloads meet as (digest, smallest id, count), summed before the shuffle; only repeated ones are joined back,
-    on their digest, where adaptive execution splits a digest that many pages share."""
+    Equal payloads meet as (digest, smallest id, count), summed before the shuffle; only repeated ones are joined back, to
+    ids and digests without payloads, where adaptive execution splits a digest that many pages share. Payloads move once,
+    by page."""
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"),
                                                          F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("original"), F.count("*").alias("n"))
-    return rows.join(first.where("n > 1").drop("n"), "digest", "left").withColumn(
-        "original", F.when(F.col("original") != F.col("page"), F.col("original")))
+    large = rows.where(F.octet_length("payload") >= least).select("page", "digest")
+    first = large.groupBy("digest").agg(F.min("page").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = large.join(first, "digest").where("page <> original").select("page", "digest", "original").distinct()
+    return rows.join(again.hint("merge"), ["page", "digest"], "left")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100,
@@ -213,9 +216,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     path = f"{base}/{uuid.uuid4().hex}.wacz"
                     stream = store.open_output_stream(path)
                     package, index = ZipWriter(stream, wide), []
-                    package.begin("archive/data.warc")
-                raw = warc_record(page, url, payload.encode(), digest, original)
-                index.append(f"{page} {{\"member\":\"archive/data.warc\",\"offset\":{package.write(raw)},\"length\":{len(raw)}}}\n")
+                    package.begin("archive/data.warc.gz")
+                raw = gzip.compress(warc_record(page, url, payload.encode(), digest, original), mtime=0)
+                index.append(f"{page} {{\"member\":\"archive/data.warc.gz\",\"offset\":{package.write(raw)},\"length\":{len(raw)}}}\n")
                 if package.at >= roll:
                     finish()
                     package = None
@@ -224,8 +227,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         columns = list(zip(*done)) or [(), (), ()]
         yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["path", "records", "bytes"])
 
-    # Dealt by page, so that a payload that many pages share spreads over all packages.
-    dealt = rows.select("page", "url", "payload", "digest", "original").repartition(F.col("page"))
+    # Dealt by page and digest, so that a payload that many pages share spreads over all packages.
+    dealt = rows.select("page", "url", "payload", "digest", "original")
     return cut_lineage(dealt.mapInArrow(run, "path string, records long, bytes long"))
 
 
@@ -264,7 +267,7 @@ def read(packages: DataFrame, folder: str) -> DataFrame:
                     if file is not None:
                         file.close()
                     path, file = own, opened(own)
-                head, block = parse_record(file.read_at(length, offset))
+                head, block = parse_record(gzip.decompress(file.read_at(length, offset)))
                 at = block.index(b"\r\n\r\n") + 4
                 payload = block[at:]
                 kind = head["warc-type"]
