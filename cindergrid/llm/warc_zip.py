@@ -283,7 +283,9 @@ def read(packages: DataFrame, folder: str) -> DataFrame:
 
     ranges = packages.select("path").repartition(F.col("path")).mapInArrow(index, "path string, offset long, length long")
     # Runs of about a megabyte of one file stay together and in order.
-    ranges = ranges.repartition(F.col("path"), (F.col("offset") / (1 << 20)).cast("long")).sortWithinPartitions("path", "offset")
+    # The rows are tiny, what they name is not: a stated number of tasks keeps adaptive execution from merging them.
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(tasks, F.col("path"), (F.col("offset") / (1 << 20)).cast("long")).sortWithinPartitions("path", "offset")
     return ranges.mapInArrow(records, "record string, page long, record_type string, refers string, payload_digest string, payload_bytes long, payload string")
 
 
