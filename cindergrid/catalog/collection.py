@@ -276,8 +276,8 @@ CELL_DAY_TABLE_SQL = f"""
 WITH {LIGHTNING_SQL}, {INCIDENTS_SQL}, {POINTS_SQL},
 calendar AS (
   SELECT DISTINCT date FROM (
-    SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 4 DAY)) AS DATE) AS date
-    UNION ALL SELECT date FROM incidents) WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'),
+    SELECT CAST(unnest(generate_series((SELECT CAST(min(date) AS TIMESTAMP) FROM days), (SELECT CAST(max(date) AS TIMESTAMP) FROM days), INTERVAL 4 DAY)) AS DATE) AS date
+    UNION ALL SELECT date FROM incidents) WHERE date BETWEEN (SELECT min(date) FROM days) AND (SELECT max(date) FROM days)),
 rain AS (SELECT CAST(ts AS DATE) AS date, user_id % 37 AS cell_r, (user_id // 37) % 34 AS cell_c,
            max(value) AS tp FROM events GROUP BY ALL),
 weather AS (
@@ -301,13 +301,14 @@ JOIN infra i USING (cell_r, cell_c)"""
 
 @query("cell_day_table", CELL_DAY_TABLE_SQL)
 def cell_day_table_query(spark, d):
-    """The whole assembly: weather with labels, lightning and infrastructure over one calendar."""
-    fires = incident_points(spark, d)
-    rain = table(spark, d, "events").groupBy(
+    """The whole assembly: weather with labels, lightning and infrastructure over the days of the events."""
+    fires, events = incident_points(spark, d), table(spark, d, "events")
+    first, last = aggregates.date_range(events.select(F.to_date("ts").alias("date"))).first()
+    rain = events.groupBy(
         F.to_date("ts").alias("date"), (F.col("user_id") % 37).alias("cell_r"),
         (g.div(F.col("user_id"), 37) % 34).alias("cell_c")).agg(F.max("value").alias("tp"))
     rain = AREA.with_corners(rain).drop(*g.CELL)
-    out = cell_day_table(spark, AREA, "2024-01-01", "2024-01-31", [
+    out = cell_day_table(spark, AREA, first, last, [
         weather_source(rain, None, fires, 0.1, 0.1), lightning_source(strikes(spark, d)),
         infrastructure_source(categorised(spark, d))], fires, every=4)
     return rounded(out, "tp")

@@ -78,7 +78,7 @@ def _sweep_sql(batch: bool) -> str:
     scopes = ("SELECT batch, is_fire_day AS y, 'all' AS scope, risk_score AS p FROM risk UNION ALL "
               "SELECT batch, is_fire_day, 'region', risk_score * fire_region FROM risk UNION ALL "
               "SELECT batch, is_fire_day, 'fire', risk_score * is_fire_day FROM risk")
-    values = ", ".join(f"({t!r}::DOUBLE)" for t in metrics.THRESHOLDS)
+    values = ", ".join(f"({t}::DOUBLE)" for t in "0.1 0.15 0.2 0.3 0.35 0.4 0.45 0.5 0.51 0.53 0.55 0.6 0.7 0.515".split())
     inner = f"""WITH {RISK_SQL}, long AS ({scopes}),
 c AS (SELECT {by}scope, threshold, {counts_sql('y', 'p > threshold')} FROM long, (VALUES {values}) v(threshold) GROUP BY ALL)"""
     if not batch:

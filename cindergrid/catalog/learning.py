@@ -103,19 +103,19 @@ def logistic(spark, d):
 
 @query("forest")
 def forest(spark, d):
-    return _evaluated(spark, d, models.forest(trees=100, depth=10))
+    return _evaluated(spark, d, models.forest())
 
 
 @query("forest_importance")
 def forest_importance(spark, d):
     train, _ = _split(spark, d)
-    fitted = models.forest(trees=20, depth=8).fit(train)
+    fitted = models.forest().fit(train)
     return models.importances(fitted, [f"x{i}" for i in range(64)], spark)
 
 
 @query("boosted")
 def boosted(spark, d):
-    return _evaluated(spark, d, models.boosted(rounds=20))
+    return _evaluated(spark, d, models.boosted())
 
 
 @query("perceptron")
@@ -124,7 +124,7 @@ def perceptron(spark, d):
     parts = sampling.random_split(vectors(spark, d), ["id"])
     train = models.as_features(sampling.smote(parts.filter("split = 'train'")), "vector")
     test = models.as_features(parts.filter("split = 'test'"), "vector")
-    fitted = models.perceptron(max_iter=50).fit(train.select("features", "label"))
+    fitted = models.perceptron().fit(train.select("features", "label"))
     scored = models.score(fitted, test.select("id", "label", "features"), "p")
     return confusion(scored.withColumn("prediction", (F.col("p") >= 0.5).cast("int")))
 
@@ -177,13 +177,13 @@ def ridge(spark, d):
 def model_report(spark, d):
     """Cross-validated and held-out metrics of a regression and the neighbour classifier, on balanced rows."""
     return compare_models(vectors(spark, d), "id", "vector", "label",
-                          {"Logistic Regression": models.logistic(max_iter=50)}, folds=3)
+                          {"Logistic Regression": models.logistic()})
 
 
 @query("score_season")
 def score_season(spark, d):
     """Look-back samples of every cell, trained on the first days and scored on the later ones."""
-    rows = samples(celldays(spark, d), ["tp", "n_events", "is_fire_day"], 7, 2, static=["cell_r", "cell_c"])
+    rows = samples(celldays(spark, d), ["tp", "n_events", "is_fire_day"], 14, 5, static=["cell_r", "cell_c"])
     early = F.col("date") <= F.lit("2024-01-18").cast("date")
-    fitted = models.logistic(max_iter=50).fit(rows.filter(early).withColumnRenamed("target", "label"))
+    fitted = models.logistic().fit(rows.filter(early).withColumnRenamed("target", "label"))
     return score_days(fitted, rows.filter(~early))

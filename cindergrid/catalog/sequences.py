@@ -40,6 +40,50 @@ def past_fire(spark, d):
     return windows.fire_before(celldays(spark, d)).select(*g.CELL_DAY, "fire_before")
 
 
+#: Cell-days of the orders with many missing days and without leap days, numbered along a calendar that has none either.
+GAPS_SQL = """
+leapless AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (
+  SELECT CAST(unnest(generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2010-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
+  WHERE NOT (month(date) = 2 AND day(date) = 29)),
+gaps AS (SELECT l.date, l.i, o_custkey % 3 AS cell_r, o_custkey % 2 AS cell_c, sum(o_totalprice) AS tp,
+    max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS is_fire_day
+  FROM orders o JOIN leapless l ON l.date = CAST(o_orderdate AS DATE) GROUP BY ALL)"""
+
+
+def gap_days(spark, d):
+    o = table(spark, d, "orders").select(
+        F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 3).alias("cell_r"), (F.col("o_custkey") % 2).alias("cell_c"),
+        F.col("o_totalprice").alias("tp"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("is_fire_day"))
+    return drop_leap_days(o).groupBy(*g.CELL_DAY).agg(F.sum("tp").alias("tp"), F.max("is_fire_day").alias("is_fire_day"))
+
+
+@query("rolling_precip_leap", f"""
+WITH {GAPS_SQL} SELECT date, cell_r, cell_c, round(sum(tp) OVER (PARTITION BY cell_r, cell_c ORDER BY i
+  RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS rolling_precipitation FROM gaps""")
+def rolling_precip_leap(spark, d):
+    out = windows.rolling_sum(gap_days(spark, d), day=windows.leapless_day()).select(*g.CELL_DAY, "rolling_precipitation")
+    return rounded(out, "rolling_precipitation", digits=2)
+
+
+@query("lags_leap", f"""
+WITH {GAPS_SQL} SELECT t.date, t.cell_r, t.cell_c, round(a.tp, 2) AS tp_lag_1, round(b.tp, 2) AS tp_lag_2
+FROM gaps t LEFT JOIN gaps a ON a.cell_r = t.cell_r AND a.cell_c = t.cell_c AND a.i = t.i - 1
+LEFT JOIN gaps b ON b.cell_r = t.cell_r AND b.cell_c = t.cell_c AND b.i = t.i - 2""")
+def lags_leap(spark, d):
+    out = windows.lagged(gap_days(spark, d), ["tp"], (1, 2), drop_incomplete=False, day=windows.leapless_day())
+    return rounded(out.select(*g.CELL_DAY, "tp_lag_1", "tp_lag_2"), "tp_lag_1", "tp_lag_2", digits=2)
+
+
+@query("windows_leap", f"""
+WITH {GAPS_SQL} SELECT t.date, t.cell_r, t.cell_c, a.is_fire_day AS target, a.date AS target_date,
+  coalesce((SELECT max(p.is_fire_day) FROM gaps p WHERE p.cell_r = t.cell_r AND p.cell_c = t.cell_c AND p.i BETWEEN t.i - 14 AND t.i - 1), 0) AS fire_before
+FROM gaps t JOIN gaps a ON a.cell_r = t.cell_r AND a.cell_c = t.cell_c AND a.i = t.i + 5""")
+def windows_leap(spark, d):
+    days = windows.leapless_day()
+    out = windows.label_ahead(windows.fire_before(gap_days(spark, d), day=days), 5, day=days)
+    return out.select(*g.CELL_DAY, "target", "target_date", "fire_before")
+
+
 @query("label_horizon", f"""
 WITH {CELLDAYS_SQL}, l AS (SELECT date, cell_r, cell_c, lead(is_fire_day, 5) {OVER}) AS target,
   lead(date, 5) {OVER}) AS target_date FROM celldays) SELECT * FROM l WHERE target_date IS NOT NULL""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.catalog.registry import AREA, STRIKES_SQL, query, rounded, strikes, strikes_of, table
+from cindergrid.catalog import collection, evaluation
+from cindergrid.catalog.registry import AREA, POINTS_SQL, SCORED_SQL, STRIKES_SQL, query, rounded, strikes, strikes_of, table
 from cindergrid.operators import metrics
 from cindergrid.session import shared_folder
 from cindergrid.sources import readers, sinks
@@ -97,3 +98,43 @@ def strike_stream_query(spark, d):
     counts = strike_stream(strikes_of(events).withColumn("ts", F.col("ts").cast("timestamp")), AREA)
     write_closed_days(counts, f"{path}/out", f"{path}/progress").awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{path}/out")
+
+
+@query("points_file", f"WITH {POINTS_SQL} SELECT category, count(*) AS n, round(sum(lat_e4 / 10000.0::DOUBLE), 2) AS total FROM points WHERE category IS NOT NULL GROUP BY 1")
+def points_file(spark, d):
+    """Pre-collected feature points written as CSV and read back."""
+    path = shared_folder(spark)
+    points = collection.categorised(spark, d).select("category", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    sinks.write_table(points, path)
+    out = readers.read_points(spark, path).groupBy("category").agg(F.count("*").alias("n"), F.sum("latitude").alias("total"))
+    return rounded(out, "total", digits=2)
+
+
+@query("report_file", f"WITH {SCORED_SQL} {evaluation._report_sql()}")
+def report_file(spark, d):
+    """The model report written as CSV and read back."""
+    path, measures = shared_folder(spark), [*evaluation.RATES, "roc_auc"]
+    sinks.write_table(evaluation._report(spark, d), path)
+    back = readers.read_directory(spark, path, ", ".join(["model string", *(f"{m} double" for m in measures)]))
+    return rounded(back, *measures)
+
+
+@query("audit_files", """
+SELECT 'orders' AS name, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders
+UNION ALL SELECT 'labels', count(*), CAST(sum(doc_id) AS BIGINT) FROM labels""")
+def audit_files(spark, d):
+    path, keys = shared_folder(spark), {"orders": "o_orderkey", "labels": "doc_id"}
+    sinks.write_audit({name: table(spark, d, name).select(F.col(key).alias("key")) for name, key in keys.items()}, path)
+    parts = [readers.read_directory(spark, f"{path}/{name}", "key bigint").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
+             .select(F.lit(name).alias("name"), "n", "total") for name in keys]
+    return parts[0].unionByName(parts[1])
+
+
+@query("run_settings", "SELECT CAST(min(year(o_orderdate)) AS INTEGER) AS first_year, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year, count(*) AS n FROM orders")
+def run_settings(spark, d):
+    """A run configuration derived from the orders, stored as JSON, one key of it read back."""
+    path, year = shared_folder(spark), F.year("o_orderdate")
+    season = F.struct(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count("*").alias("n"))
+    table(spark, d, "orders").agg(season.alias("season"), F.lit("no").alias("other")).write.json(path)
+    chosen = readers.run_parameters(spark, path, "season")
+    return spark.createDataFrame([(chosen["first_year"], chosen["last_year"], chosen["n"])], "first_year int, last_year int, n bigint")

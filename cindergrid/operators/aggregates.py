@@ -16,19 +16,19 @@ def strikes_by_cellday(strikes: DataFrame, dates: DataFrame, grid: Grid) -> Data
     """Per date and cell: strike count, sum of absolute strength, sum of multiplicity.
 
     Every cell of every calendar date is present, with zeros where nothing struck; strikes off the
-    grid or off the calendar are dropped. The zero rows are unioned in front of one aggregation, so
-    scaffold and strikes share a single shuffle that both sides pre-aggregate for.
+    grid or off the calendar are dropped before anything is moved. The zero rows are unioned in front of
+    one aggregation, so scaffold and strikes share a single shuffle that both sides pre-aggregate for.
     """
-    hits = grid.locate(strikes.select(F.to_date("date").alias("date"), "latitude", "longitude",
-                                      "strength", "multiplicity"))
+    hits = strikes.select(F.to_date("date").alias("date"), "latitude", "longitude", "strength", "multiplicity")
+    # The calendar has at most one row per day of its range.
+    hits = grid.locate(hits.join(F.broadcast(dates.select("date")), "date", "left_semi"))
     events = hits.select(*CELL_DAY, F.lit(1).alias("n"), F.abs("strength").cast("double").alias("s"),
-                         F.col("multiplicity").cast("bigint").alias("m"), F.lit(0).alias("on_calendar"))
+                         F.col("multiplicity").cast("bigint").alias("m"))
     zeros = scaffold(dates, grid).select(*CELL_DAY, F.lit(0).alias("n"), F.lit(0.0).alias("s"),
-                                         F.lit(0).cast("bigint").alias("m"), F.lit(1).alias("on_calendar"))
+                                         F.lit(0).cast("bigint").alias("m"))
     return (events.unionByName(zeros).groupBy(*CELL_DAY)
             .agg(F.sum("n").alias("lightning_count"), F.sum("s").alias("absv_strength_sum"),
-                 F.sum("m").alias("multiplicity_sum"), F.max("on_calendar").alias("on_calendar"))
-            .filter("on_calendar = 1").drop("on_calendar"))
+                 F.sum("m").alias("multiplicity_sum")))
 
 
 def category_counts(points: DataFrame, grid: Grid, categories: Sequence[str] = CATEGORIES) -> DataFrame:

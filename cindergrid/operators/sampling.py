@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.neighbors import nearest
-from cindergrid.operators.ranking import ranked
+from cindergrid.operators.ranking import ranked, running_totals
 from cindergrid.session import cut_lineage
 
 
@@ -34,9 +34,8 @@ def stratified_split(df: DataFrame, keys: Sequence[str], label: str, test_share:
     Rows are ranked by hash within each class; ``keys`` must be unique.
     """
     hashed = df.withColumn("_h", key_hash(keys, seed))
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    placed = ranked(hashed, "_h", keys, "_rank", by=[label]).join(sizes, label)
-    test = F.col("_rank") <= F.round(F.col("_n") * test_share)
+    placed = running_totals(hashed.withColumn("_one", F.lit(1)), "_h", ["_one"], by=[label], ties=keys)
+    test = F.col("cum__one") <= F.round(F.col("total__one") * test_share)
     return placed.withColumn(name, F.when(test, "test").otherwise("train")).select(*df.columns, name)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -64,19 +64,21 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
 
 
 def _headers(spark: SparkSession, paths: Sequence[str]):
-    """``header, [path]`` of each file; only the first line of a file is read. Unreadable files are
-    logged and left out."""
-    def header(path: str):
-        try:
-            return tuple(h.lstrip("\ufeff").strip() for h in spark.read.csv(path, header=True).columns)
-        except Exception as error:
-            log.error("skipping %s: %s", path, error)
-            return ()
-
-    with ThreadPoolExecutor(16) as pool:
-        for path, names in zip(paths, pool.map(header, paths)):
-            if names:
-                yield names, [path]
+    """``header, [path]`` of the files, one pair for all files of one header, found in one job however many files there
+    are. Files without a line are logged and hold nothing; a file that can't be read is an error."""
+    lines = spark.read.text(list(paths)).select(
+        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"))
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    files = sum(len(r.paths) for r in found)
+    if files < len(paths):
+        log.warning("%d of %d files are empty", len(paths) - files, len(paths))
+    for r in found:
+        names = tuple(h.strip() for h in next(csv.reader([r.header.lstrip("\ufeff")]), []))
+        if not any(names):
+            raise ValueError(f"no header in {sorted(r.paths)[:5]}")
+        yield names, sorted(unquote(p) for p in r.paths)
 
 
 def read_directory(spark: SparkSession, path: str, schema: StructType | str, recursive: bool = False) -> DataFrame:
@@ -88,13 +90,20 @@ def read_directory(spark: SparkSession, path: str, schema: StructType | str, rec
 
 
 def read_months(spark: SparkSession, base: str, years: Sequence[int], months: Sequence[int] = tuple(range(1, 13)),
-                schema: StructType | None = None) -> DataFrame:
-    """The monthly files (named ``...yyyymm.csv``) of the given years and months; absent months are skipped."""
-    wanted = tuple(f"{y}{m:02d}.csv" for y in years for m in months)
-    files = [f for f in _list_files(spark, base, False, ".csv") if f.endswith(wanted)]
-    if not files:
-        raise FileNotFoundError(f"none of the months is in {base}")
-    return read_csv(spark, files, schema or raw_schema())
+                schema: StructType | None = None, missing: str = "log") -> DataFrame:
+    """The monthly files (named ``...yyyymm.csv``) of the given years and months.
+
+    Absent months are logged; with ``missing="raise"`` they are an error."""
+    if missing not in ("log", "raise"):
+        raise ValueError("missing is 'log' or 'raise'")
+    wanted = [f"{y}{m:02d}" for y in years for m in months]
+    by_month = {f[-10:-4]: f for f in _list_files(spark, base, False, ".csv")}
+    absent = [m for m in wanted if m not in by_month]
+    if len(absent) == len(wanted) or (absent and missing == "raise"):
+        raise FileNotFoundError(f"months {absent} are not in {base}")
+    if absent:
+        log.warning("months %s are not in %s", absent, base)
+    return read_csv(spark, [by_month[m] for m in wanted if m in by_month], schema or raw_schema())
 
 
 def read_period(spark: SparkSession, path: str, *periods: str) -> DataFrame:
@@ -102,14 +111,16 @@ def read_period(spark: SparkSession, path: str, *periods: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("period").cast("string").isin([str(p) for p in periods]))
 
 
+def _is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ran to its end: committers leave the mark last."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at ``path``; when there is none yet, build and store it first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    """The Parquet table at ``path``; when there is none yet, or only a part of one, build and store it first."""
+    if not _is_finished(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

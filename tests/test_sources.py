@@ -52,6 +52,35 @@ def test_strikes_with_two_headers_and_cache(spark, tmp_path):
     assert readers.read_strikes(spark, str(tmp_path / "in")).count() == 3
 
 
+def test_half_written_cache_is_built_again(spark, tmp_path):
+    cache = tmp_path / "cache"
+    spark.range(3).write.parquet(str(cache))
+    assert readers.reuse_or_build(spark, str(cache), lambda: spark.range(5)).count() == 3
+    (cache / "_SUCCESS").unlink()
+    assert readers.reuse_or_build(spark, str(cache), lambda: spark.range(5)).count() == 5
+
+
+def test_headers_take_as_many_jobs_for_many_files_as_for_few(spark, tmp_path):
+    def jobs(name, n):
+        for i in range(n):
+            write(tmp_path / name / f"{i} x.csv", "a,b\n1,x\n" if i % 2 else '\ufeffb,"a"\ny,2\n')
+        write(tmp_path / name / "none.csv", "")
+        spark.sparkContext.setJobGroup(name, name)
+        out = readers.read_directory(spark, str(tmp_path / name), "a int, b string")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted(set(rows(out))) == [(1, "x"), (2, "y")] and out.count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs("few", 4) == jobs("many", 24)
+
+
+def test_absent_months_can_be_an_error(spark, tmp_path):
+    write(tmp_path / "raw_200601.csv", "date,2t\n2006-01-01,280.5\n")
+    assert readers.read_months(spark, str(tmp_path), [2006], [1, 2]).count() == 1
+    with pytest.raises(FileNotFoundError, match="200602"):
+        readers.read_months(spark, str(tmp_path), [2006], [1, 2], missing="raise")
+
+
 def test_incidents(spark, tmp_path):
     write(tmp_path / "i.csv", "name,fire_start_date,fire_location_latitude,fire_location_longitude\n"
           "a,2023-05-01 10:00:00,55.0,-115.0\nb,never,55.0,-115.0\nc,2023-05-02,,-115.0\n")
