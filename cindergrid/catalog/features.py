@@ -8,7 +8,7 @@ from cindergrid.catalog.registry import CELLDAYS_SQL, OBS_SQL, WIDE, celldays, o
 from cindergrid.functions import surface, temporal, values, weather
 from cindergrid.operators.scaling import impute_mean, minmax_scale, one_hot, standard_scale
 from cindergrid.operators.windows import slope
-from cindergrid.plans.features import drop_leap_days, select_features, clean
+from cindergrid.plans.features import clean, drop_leap_days, process, select_features
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -54,13 +54,18 @@ def fuel_soil(spark, d):
     return rounded(out, "elevation")
 
 
+#: Share of the lower of two neighbouring layers (bottoms at 7, 28, 100 and 289 cm) at ten even depths.
+DEPTH_SHARES = [(0, "1.0"), (2, "37.0 / 648"), (2, "326.0 / 648"), (2, "615.0 / 648"), (3, "256.0 / 1701"), (3, "545.0 / 1701"),
+                (3, "834.0 / 1701"), (3, "1123.0 / 1701"), (3, "1412.0 / 1701"), (3, "1.0")]
+
+
 def _depth_sql() -> str:
-    def at(prefix: str, row: list[float]) -> str:
-        terms = [f"{prefix}{i + 1} * CAST('{w!r}' AS DOUBLE)" for i, w in enumerate(row) if w]
-        return f"CAST({' + '.join(terms)} AS FLOAT)"
+    def at(prefix: str, lower: int, share: str) -> str:
+        part = f"CAST('{share.split(' / ')[0]}' AS DOUBLE) / {share.split(' / ')[1] if ' / ' in share else 1}"
+        rest = "" if share == "1.0" else f" + {prefix}{lower} * (1 - {part})"
+        return f"CAST({prefix}{lower + 1} * ({part}){rest} AS FLOAT)"
 
-    weights = surface.depth_weights()
-    inner = ", ".join([f"{at('swvl', r)} AS w{i}, {at('stl', r)} AS t{i}" for i, r in enumerate(weights)])
+    inner = ", ".join([f"{at('swvl', *r)} AS w{i}, {at('stl', *r)} AS t{i}" for i, r in enumerate(DEPTH_SHARES)])
     total = {p: " + ".join(f"{p}{i}" for i in range(10)) for p in "wt"}
     ratios = ", ".join(f"round(CAST(CAST(CAST(w{i} AS DOUBLE) / t{i} AS FLOAT) AS DOUBLE), 6) AS surface_water_heat_{i}" for i in range(10))
     return f"""WITH {OBS_SQL}, deep AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {inner} FROM obs)
@@ -233,3 +238,22 @@ def feature_select(spark, d):
         "is_fire_day": F.when(F.col("slt") < 7, F.col("slt") % 2)})
     out = select_features(clean(o), WIDE, ["2t", "tp", "snow_depth"], ["atmospheric_dryness", "fuel_low"])
     return rounded(out, "2t", "tp", "atmospheric_dryness")
+
+
+@query("processed_table", f"""
+WITH {CELLDAYS_SQL}, r AS (
+  SELECT date, cell_r, cell_c, tp, CAST(n_events AS DOUBLE) AS lightning_count, is_fire_day,
+    sum(tp) OVER (PARTITION BY cell_r, cell_c ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_precipitation,
+    month(date) * 100 + day(date) AS md FROM celldays)
+SELECT date, cell_r, cell_c, {', '.join(
+    f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0 AS {c}' for c in ('tp', 'lightning_count', 'rolling_precipitation'))},
+  CAST(is_fire_day AS DOUBLE) AS is_fire_day,
+  CASE WHEN md BETWEEN 320 AND 620 THEN 1 ELSE 0 END AS "season_Spring", CASE WHEN md BETWEEN 621 AND 921 THEN 1 ELSE 0 END AS "season_Summer",
+  CASE WHEN md >= 1221 OR md < 320 THEN 1 ELSE 0 END AS "season_Winter",
+  CASE WHEN md <= 301 OR md >= 1001 THEN 1 ELSE 0 END AS "fire_season_off_season",
+  CASE WHEN md BETWEEN 302 AND 430 OR md BETWEEN 901 AND 1000 THEN 1 ELSE 0 END AS "fire_season_on_season" FROM r""")
+def processed_table(spark, d):
+    """The feature pipeline as a whole over the cell-days of the events."""
+    rows = celldays(spark, d).withColumn("lightning_count", F.col("n_events").cast("double"))
+    out = process(rows, WIDE, ["tp", "lightning_count", "is_fire_day"], ["rolling_precipitation", "season", "fire_season"], drop_leap=True)
+    return rounded(out, "tp", "lightning_count", "rolling_precipitation", digits=5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.catalog.registry import VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
+from cindergrid.catalog.registry import CELLDAYS_SQL, VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
 from cindergrid.operators import models, sampling
 from cindergrid.operators.metrics import confusion, evaluate_scores
 from cindergrid.operators.neighbors import knn_classify, nearest
@@ -187,3 +187,86 @@ def score_season(spark, d):
     early = F.col("date") <= F.lit("2024-01-18").cast("date")
     fitted = models.logistic().fit(rows.filter(early).withColumnRenamed("target", "label"))
     return score_days(fitted, rows.filter(~early))
+
+
+#: Orders by a column that decides the label with a wide margin and two that don't; the held rows are those of hash_split.
+MARGIN_SQL = f"SELECT o_orderkey, CAST(o_custkey % 2 AS INTEGER) AS label, {key_hash_sql('o_orderkey')} AS h FROM orders"
+
+
+def _margin(spark, d):
+    key, side = F.col("o_orderkey"), F.col("o_custkey") % 2
+    rows = table(spark, d, "orders").select("o_orderkey", side.cast("int").alias("label"), F.array(
+        (key % 8 + side * 12) / 19, F.floor(key / 8) % 5 / 4, F.floor(F.col("o_custkey") / 2) % 7 / 6).alias("vector"))
+    return models.as_features(rows, "vector").drop("vector")
+
+
+def _held_predictions(spark, d, estimator):
+    """Fitted at full settings on the train rows: each held-out order with its label and prediction."""
+    parts = sampling.random_split(_margin(spark, d), ["o_orderkey"])
+    fitted = estimator.fit(parts.filter("split = 'train'").drop("split"))
+    scored = models.score(fitted, parts.filter("split = 'test'"), "p")
+    return scored.select("o_orderkey", "label", (F.col("p") >= 0.5).cast("int").alias("prediction"))
+
+
+HELD_SQL = f"SELECT o_orderkey, label, label AS prediction FROM ({MARGIN_SQL}) WHERE h < 858993459"
+
+
+@query("logistic_margin", HELD_SQL)
+def logistic_margin(spark, d):
+    return _held_predictions(spark, d, models.logistic())
+
+
+@query("forest_margin", HELD_SQL)
+def forest_margin(spark, d):
+    return _held_predictions(spark, d, models.forest())
+
+
+@query("boosted_margin", HELD_SQL)
+def boosted_margin(spark, d):
+    return _held_predictions(spark, d, models.boosted())
+
+
+@query("perceptron_margin", HELD_SQL)
+def perceptron_margin(spark, d):
+    return _held_predictions(spark, d, models.perceptron())
+
+
+@query("importance_margin", """
+SELECT x.feature, x.feature = 'side' AND (SELECT count(*) FROM orders) > 0 AS decides FROM (VALUES ('side'), ('b'), ('c')) x(feature)""")
+def importance_margin(spark, d):
+    """Only the deciding column has more than half of the importance."""
+    fitted = models.forest().fit(_margin(spark, d))
+    return models.importances(fitted, ["side", "b", "c"], spark).select("feature", (F.col("importance") > 0.5).alias("decides"))
+
+
+@query("folds_margin", f"""
+SELECT CAST(h % 5 AS INTEGER) AS fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, CAST(0 AS BIGINT) AS n_wrong
+FROM ({MARGIN_SQL}) GROUP BY 1""")
+def folds_margin(spark, d):
+    """Sizes of the five folds and the wrong predictions of the models fitted without them."""
+    scored = models.out_of_fold(models.logistic(), _margin(spark, d), ["o_orderkey"])
+    wrong = (F.col("probability") >= 0.5).cast("int") != F.col("label")
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("n_pos"), F.count_if(wrong).alias("n_wrong"))
+
+
+@query("cluster_totals", f"""
+WITH {CELLDAYS_SQL} SELECT count(*) AS n, count(DISTINCT user_id) AS n_cells, CAST(12 AS BIGINT) AS n_12, CAST(30 AS BIGINT) AS n_30,
+  CAST(0 AS BIGINT) AS n_split FROM celldays""")
+def cluster_totals(spark, d):
+    """Rows, cells, clusters of both counts, and cells that are in two clusters of a count."""
+    days = WIDE.with_corners(celldays(spark, d))
+    both = models.cluster_cells(models.cluster_cells(days, 12), 30)
+    cells = both.groupBy("user_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("clusters_12", "clusters_30")],
+                                        ((F.min("clusters_12") < F.max("clusters_12")) | (F.min("clusters_30") < F.max("clusters_30"))).alias("split"))
+    return cells.agg(F.sum("n").alias("n"), F.count("*").alias("n_cells"), F.count_distinct("clusters_12").alias("n_12"),
+                     F.count_distinct("clusters_30").alias("n_30"), F.count_if("split").alias("n_split"))
+
+
+@query("season_targets", f"""
+WITH {CELLDAYS_SQL}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY cell_r, cell_c ORDER BY date) AS i FROM celldays)
+SELECT t.date, t.cell_r, t.cell_c, t.is_fire_day, true AS valid FROM numbered s
+JOIN numbered t ON t.cell_r = s.cell_r AND t.cell_c = s.cell_c AND t.i = s.i + 5 WHERE s.i > 14 AND s.date > DATE '2024-01-18'""")
+def season_targets(spark, d):
+    """The scored cell-days of :func:`score_season` with their labels; every risk is a probability."""
+    return score_season(spark, d).select("date", "cell_r", "cell_c", "is_fire_day", F.col("risk_score").between(0, 1).alias("valid"))

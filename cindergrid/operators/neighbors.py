@@ -60,10 +60,12 @@ def _nearest_in_block(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int):
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector: str = "vector",
-            exclude_self: bool = False, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+            exclude_self: bool = False, block: int = BLOCK, max_pivots: int = MAX_PIVOTS,
+            probes: int | None = None) -> DataFrame:
     """``query_id, neighbour_id, distance, rank``: the ``k`` nearest base rows of each query row.
 
     Euclidean distance, ties by neighbour id. ``exclude_self`` leaves out the row with the query's own id.
+    The result is exact unless ``probes`` is given, see :func:`nearest_approximate`.
     """
     kk = k + 1 if exclude_self else k
     as_vector = F.col(vector).cast("array<double>").alias("v")
@@ -151,6 +153,13 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     subs = F.element_at(n_blocks, F.col("cell") + 1)
     if n_pivots == 1:
         cells = asked.withColumn("cell", F.lit(0))
+    elif probes is not None:
+        @F.pandas_udf("array<int>")
+        def closest(v: pd.Series) -> pd.Series:
+            d = _pivot_distances(_matrix(v), pivots)
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probes].astype("int32")))
+
+        cells = cut_lineage(asked.select("q", F.explode(closest("v")).alias("cell"))).join(asked, "q")
     else:
         # Any k base rows bound the distance of the k-th nearest: take them from one block at home.
         first = asked.withColumn("cell", home("v")["cell"])
@@ -174,6 +183,20 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     return out.withColumn("rank", F.col("rank").cast("int"))
 
 
+def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector: str = "vector",
+                        exclude_self: bool = False, probes: int = 8, block: int = BLOCK,
+                        max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """:func:`nearest` among the rows of the ``probes`` pivot cells closest to each query.
+
+    Each query is copied to ``probes`` cells at most, so the work per query stays the same while cells hold
+    about ``block`` rows (raise ``max_pivots`` with the table). Neighbours in other cells are missed, and a query whose
+    cells hold fewer than ``k`` rows gets fewer; distances and ranks are exact among the rows visited.
+    """
+    if probes < 1:
+        raise ValueError("probes must be at least 1")
+    return nearest(queries, base, k, id, vector, exclude_self, block, max_pivots, probes)
+
+
 def knn_classify(queries: DataFrame, base: DataFrame, k: int = 5, id: str = "id", vector: str = "vector",
                  label: str = "label", weights: str = "uniform", **options) -> DataFrame:
     """``id, probability, prediction`` for 0/1 labels: vote of the ``k`` nearest base rows.

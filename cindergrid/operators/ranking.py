@@ -7,11 +7,11 @@ the blocks before it. The results are exact, wherever the cuts fall.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cindergrid.session import cut_lineage
 
 
 def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -31,29 +31,24 @@ def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequenc
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   ties: Sequence[str] = (), fan: int | None = None) -> DataFrame:
+                   ties: Sequence[str] = (), fan: int = 32) -> DataFrame:
     """Add ``cum_<c>`` for each column ``c`` of ``sums``: its sum over all rows up to this one, and
     ``total_<c>``: its sum over all rows of the group.
 
     ``by`` has few distinct values, such as column names or classes. ``order`` is numeric; ``order`` and ``ties`` together must not repeat within ``by``. Pre-aggregate
     repeated values first, so that copies of one value cannot fill a block. There are ``fan * fan``
-    blocks, by default some four per shuffle partition.
+    blocks per group, whatever the settings of the session; raise ``fan`` where a block would not fit a task.
     """
-    if fan is None:
-        fan = min(64, max(4, math.ceil(math.sqrt(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     blocks = fan * fan
     cuts = [i / blocks for i in range(1, blocks)]
     approx = F.percentile_approx(order, cuts, max(10_000, 10 * blocks))
     known = df.groupBy(*by).agg(approx.alias("_cuts"), *[F.sum(c).alias(f"total_{c}") for c in sums])
     tagged = look_up(df, known, by, ["_cuts", *[f"total_{c}" for c in sums]])
-    # The block number is the number of cuts below the value: first among every ``fan``-th, then between.
-    def below(first: Column, step: int) -> Column:
-        hits = [F.coalesce((F.get("_cuts", first + i * step) < F.col(order)).cast("int"), F.lit(0))
-                for i in range(fan - 1)]
-        return sum(hits[1:], hits[0])
-
-    tagged = tagged.withColumn("_part", below(F.lit(fan - 1), fan))
-    tagged = tagged.withColumn("_block", F.col("_part") * fan + below(F.col("_part") * fan, 1)).drop("_cuts", "_part")
+    # The block number is the number of cuts below the value, found by halving.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((blocks - 1).bit_length()))])
+    block = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+        F.get("_cuts", at + step - 1) < F.col(order), step).otherwise(0))
+    tagged = tagged.withColumn("_block", block).drop("_cuts")
 
     # At most one row per block and group in ``totals``.
     totals = tagged.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_before_{c}") for c in sums])
@@ -70,7 +65,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
 
 
 def ranked(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "rank",
-           by: Sequence[str] = (), fan: int | None = None) -> DataFrame:
+           by: Sequence[str] = (), fan: int = 32) -> DataFrame:
     """Add the 1-based position of each row in the order of ``order`` and ``ties``."""
     out = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties, fan)
     return out.withColumnRenamed("cum__one", name).drop("_one", "total__one")
@@ -83,15 +78,20 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*").filter("value is not null")
 
 
+def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by + column, value, n``: how often each value occurs, as a table that several statistics read."""
+    return cut_lineage(long_values(df, columns, by).groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], qs: dict[str, float],
               by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per column, one field per entry of ``qs``.
+    """Exact quantiles with linear interpolation: one row per column, one field per entry of ``qs``."""
+    return counted_quantiles(value_counts(df, columns, by), qs, by)
 
-    Equal values collapse to counts before anything is ordered; the two values around each target
-    position are then picked in one aggregation.
-    """
+
+def counted_quantiles(counts: DataFrame, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of :func:`value_counts`; the two values around each position are picked in one aggregation."""
     keys = [*by, "column"]
-    counts = long_values(df, columns, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
     run = running_totals(counts, "value", ["n"], by=keys).withColumnRenamed("total_n", "_size")
 
     def at(rank: Column) -> Column:

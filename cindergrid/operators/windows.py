@@ -131,15 +131,26 @@ def season_split(dates: DataFrame, train_years: tuple[int, int], test_years: tup
     return dates.filter(day.between(first, last)).withColumn("split", split).filter("split is not null")
 
 
-def gradient(df: DataFrame, value: str, x: str, by: Sequence[str], order: str, name: str) -> DataFrame:
+def gradient(df: DataFrame, value: str, x: str, by: Sequence[str], order: str, name: str, span: int = 4096) -> DataFrame:
     """Derivative of ``value`` along ``x`` within each line ``by``: second-order central differences for
-    unequal spacing inside, one-sided at the ends, 0 on a line of one point."""
-    w = Window.partitionBy(*by).orderBy(order)
-    f, p, n = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
-    hs, hd = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
+    unequal spacing inside, one-sided at the ends, 0 on a line of one point.
+
+    A line is cut into blocks of ``span`` positions of ``order``; each block is given the last point before
+    it and the first after it, so no task holds a whole line.
+    """
+    point = F.struct(F.col(order).alias("o"), F.col(value).alias("f"), F.col(x).alias("x"))
+    tagged = df.withColumn("_block", F.floor(F.col(order) / span))
+    ends = tagged.groupBy(*by, "_block").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    line = Window.partitionBy(*by).orderBy("_block")
+    ends = ends.select(*by, "_block", F.lag("last").over(line).alias("_before"), F.lead("first").over(line).alias("_after"))
+    w = Window.partitionBy(*by, "_block").orderBy(order)
+    out = tagged.join(ends, [*by, "_block"]).withColumns({
+        "_prev": F.coalesce(F.lag(point).over(w), "_before"), "_next": F.coalesce(F.lead(point).over(w), "_after")})
+    f, p, n = F.col(value), F.col("_prev.f"), F.col("_next.f")
+    hs, hd = F.col(x) - F.col("_prev.x"), F.col("_next.x") - F.col(x)
     inner = F.try_divide(hs * hs * n + (hd * hd - hs * hs) * f - hd * hd * p, hs * hd * (hd + hs))
-    ends = F.coalesce(F.try_divide(n - f, hd), F.try_divide(f - p, hs))
-    return df.withColumn(name, F.coalesce(inner, ends, F.lit(0.0)))
+    one_sided = F.coalesce(F.try_divide(n - f, hd), F.try_divide(f - p, hs))
+    return out.withColumn(name, F.coalesce(inner, one_sided, F.lit(0.0))).select(*df.columns, name)
 
 
 METRES_PER_DEGREE = 111320

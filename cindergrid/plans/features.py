@@ -12,7 +12,7 @@ from cindergrid.operators.grid import CELL, CELL_DAY, Grid
 from cindergrid.operators.models import cluster_cells
 from cindergrid.operators.quality import existing
 from cindergrid.operators.scaling import minmax_scale, one_hot, standard_scale
-from cindergrid.operators.windows import rolling_sum, slope
+from cindergrid.operators.windows import leapless_day, rolling_sum, slope
 from cindergrid.session import cut_lineage
 from cindergrid.sources.sinks import write_audit
 
@@ -68,10 +68,11 @@ def drop_leap_days(df: DataFrame) -> DataFrame:
     return df.filter(~temporal.is_leap_day())
 
 
-def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset: float = 0.0) -> DataFrame:
+def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset: float = 0.0,
+                  day: Column | None = None) -> DataFrame:
     """Add the engineered features; the cell-day rows stay as they are.
 
-    All row-wise features go into one projection.
+    All row-wise features go into one projection. ``day`` numbers the days of rolling sums.
     """
     unknown = [f for f in wanted if f not in ROW_FEATURES and f not in FIRE_INDICES
                and f not in ("rolling_precipitation", "slope") and not f.startswith("clusters_")]
@@ -88,7 +89,7 @@ def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset:
         # With enough cells, one move by cell serves both the days of a block and the days of a year.
         out = out.repartition(*CELL)
     if "rolling_precipitation" in wanted:
-        out = rolling_sum(out, "tp")
+        out = rolling_sum(out, "tp", day=day)
     if indices:
         inputs = weather.fire_index_inputs(temp_offset)
         fresh = out.columns
@@ -104,11 +105,12 @@ def with_features(df: DataFrame, wanted: Sequence[str], grid: Grid, temp_offset:
 
 
 def select_features(df: DataFrame, grid: Grid, raw: Sequence[str] | None = None,
-                    engineered: Sequence[str] | None = None, temp_offset: float = 0.0) -> DataFrame:
+                    engineered: Sequence[str] | None = None, temp_offset: float = 0.0,
+                    day: Column | None = None) -> DataFrame:
     """Keys, chosen raw columns and engineered features. None takes the defaults, ``['DISABLE']`` none."""
     raw = RAW_FEATURES if not raw else ([] if list(raw) == DISABLE else list(raw))
     engineered = ENGINEERED_FEATURES if not engineered else ([] if list(engineered) == DISABLE else list(engineered))
-    out = with_features(df, engineered, grid, temp_offset)
+    out = with_features(df, engineered, grid, temp_offset, day)
     keys = [*CELL_DAY, *existing(df, ["latitude", "longitude"])]
     made = [c for c in out.columns if c not in df.columns]
     return out.select(*keys, *[f"`{c}`" for c in existing(df, [c for c in raw if c not in keys])],
@@ -117,12 +119,14 @@ def select_features(df: DataFrame, grid: Grid, raw: Sequence[str] | None = None,
 
 def process(df: DataFrame, grid: Grid, raw: Sequence[str] | None = None,
             engineered: Sequence[str] | None = None, by: Sequence[str] = (), fit_on: Column | None = None,
-            audit_path: str | None = None) -> DataFrame:
+            audit_path: str | None = None, drop_leap: bool = False) -> DataFrame:
     """Clean, choose and engineer features, scale numbers, encode categories: keys plus model inputs.
 
     ``by`` fits the scalers per group, for example per ``period``; ``fit_on`` fits them on some rows only.
+    ``drop_leap`` removes each Feb 29 first; rolling sums then take Feb 28 and Mar 1 as adjacent.
     """
-    table = select_features(clean(df), grid, raw, engineered)
+    rows = drop_leap_days(clean(df)) if drop_leap else clean(df)
+    table = select_features(rows, grid, raw, engineered, day=leapless_day() if drop_leap else None)
     # The scalers read the features for their statistics and again for the result: compute them once.
     table = cut_lineage(table)
     if list(by) == ["period"]:

@@ -113,3 +113,23 @@ def test_batches_are_full(spark):
     out = sampling.shuffled_batches(days, 30)
     sizes = {r.batch: r["count"] for r in out.groupBy("batch").count().collect()}
     assert sizes == {0: 30, 1: 30} and out.select("day_idx").distinct().count() == 60
+
+
+def test_approximate_search_visits_few_cells_and_finds_most(spark):
+    def work(n):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(20, 8)) * 4
+        points = centres[rng.integers(0, 20, n)] + rng.normal(size=(n, 8))
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, vector array<double>")
+        near = nearest_approximate(df, df, 5, exclude_self=True, probes=4, block=64)
+        got = {(r.query_id, r.neighbour_id) for r in near.collect()}
+        d = ((points[:, None] - points[None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        want = {(i, int(j)) for i in range(n) for j in np.argsort(d[i])[:5]}
+        return len(got & want) / len(want), len(got) / n
+
+    for n in (400, 1600):
+        recall, found = work(n)
+        assert recall >= 0.9 and found <= 5
+    with pytest.raises(ValueError):
+        nearest_approximate(spark.range(1), spark.range(1), 1, probes=0)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindergrid import Grid
-from cindergrid.operators import grid as g, models
+from cindergrid.operators import grid as g, models, windows
 from cindergrid.plans import features, training
 from cindergrid.sources.readers import RAW_DOUBLES
 from cindergrid.streaming.strikes import strike_stream
@@ -73,6 +73,14 @@ def test_leap_days(spark):
     assert features.drop_leap_days(df).count() == 2
 
 
+def test_rolling_sums_cross_a_removed_leap_day(spark):
+    raw = raw_table(spark, 12, "2024-02-23").fillna(0, ["is_fire_day"])
+    raw = raw.withColumn("tp", F.lit(1.0))
+    out = features.select_features(features.drop_leap_days(raw), GRID, ["tp"], ["rolling_precipitation"], day=windows.leapless_day())
+    assert {r[0] for r in out.filter("date >= '2024-03-01'").select("rolling_precipitation").distinct().collect()} == {7.0}
+    assert features.process(raw, GRID, ["tp"], ["rolling_precipitation"], drop_leap=True).count() == 11 * 16
+
+
 def test_train_and_score_season(spark):
     frames = [raw_table(spark, 40, f"{y}-03-01") for y in (2022, 2023)]
     table = frames[0].unionByName(frames[1]).fillna(0, ["is_fire_day"])

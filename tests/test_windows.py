@@ -156,3 +156,15 @@ def test_removed_leap_days_are_adjacent(spark):
     assert on["2004-03-01"].rolling_precipitation == on["2000-03-03"].rolling_precipitation == 7.0
     assert [on[f"2004-03-0{i}"].fire_before for i in (1, 2, 3)] == [1, 1, 0]
     assert windows.lagged(df, ["tp"], (3,), day=windows.leapless_day()).count() == df.count() - 3
+
+
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_gradient_over_block_edges_and_gaps(spark, span):
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(60, 25, replace=False))
+    z, x = rng.normal(size=25), np.cumsum(rng.uniform(0.5, 2, 60))[at]
+    df = spark.createDataFrame([(0, int(o), float(v), float(p)) for o, v, p in zip(at, z, x)] + [(1, 5, 2.0, 3.0)],
+                               "line int, o int, z double, x double")
+    got = {(r.line, r.o): r.g for r in windows.gradient(df, "z", "x", ["line"], "o", "g", span=span).collect()}
+    want = np.gradient(z, x)
+    assert all(got[0, int(o)] == pytest.approx(w) for o, w in zip(at, want)) and got[1, 5] == 0.0
