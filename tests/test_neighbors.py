@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindergrid.operators import sampling
-from cindergrid.operators.neighbors import knn_classify, nearest
+from cindergrid.operators.neighbors import knn_classify, nearest, nearest_approximate
 
 
 def points(spark, n=400, dims=3, hot=0, seed=0):
