@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.catalog.registry import CELLDAYS_SQL, OBS_SQL, WIDE, celldays, observations, query, rounded, table
 from cindergrid.functions import surface, temporal, values, weather
-from cindergrid.operators.scaling import impute_mean, minmax_scale, one_hot, standard_scale
+from cindergrid.operators.scaling import impute_mean, minmax_scale, one_hot, scale, standard_scale
 from cindergrid.operators.windows import slope
 from cindergrid.plans.features import clean, drop_leap_days, process, select_features
 
@@ -190,7 +190,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, period,
 FROM p WINDOW w AS (PARTITION BY period)""")
 def scale_by_period(spark, d):
     o = observations(spark, d).select(*KEYS, F.date_format("date", "yyyyMM").alias("period"), "`2t`", "tp")
-    return rounded(minmax_scale(standard_scale(o, ["2t"], ["period"]), ["tp"], ["period"]), "2t", "tp")
+    return rounded(scale(o, ["2t"], ["tp"], ["period"]), "2t", "tp")
 
 
 @query("scale_fit_on_train", """

@@ -14,16 +14,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cindergrid.session import cut_lineage
 
 
-def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequence[str],
+            limit: int = 10_000) -> DataFrame:
     """Add the columns ``names`` of ``small``, which has one row for each of a few ``keys``.
 
     They travel as one map value. A join would first move all of ``df`` into as many partitions as there
-    are keys.
+    are keys. More than ``limit`` keys are an error.
     """
     values = F.struct(*names)
     if keys:
         entry = F.struct(F.struct(*keys).alias("k"), values.alias("v"))
-        found = small.agg(F.map_from_entries(F.collect_list(entry))).scalar()[F.struct(*keys)]
+        # The limit is a row more than asked for, so that the map can't grow before it is refused.
+        entries = F.collect_list(entry)
+        few = F.when(F.size(entries) > limit, F.raise_error(F.lit(f"more than {limit} keys to look up"))).otherwise(
+            F.map_from_entries(entries))
+        found = small.limit(limit + 1).agg(few).scalar()[F.struct(*keys)]
     else:
         found = small.select(values).scalar()
     found = df.withColumn("_found", found)

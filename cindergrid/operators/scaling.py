@@ -27,34 +27,43 @@ def _with_stats(df: DataFrame, stats: Mapping[str, Column], by: Sequence[str],
     return df.withColumn("_stats", source.agg(packed).scalar())
 
 
+def scale(df: DataFrame, standard: Sequence[str] = (), minmax: Sequence[str] = (), by: Sequence[str] = (),
+          fit_on: Column | None = None) -> DataFrame:
+    """:func:`standard_scale` of some columns and :func:`minmax_scale` of others, fitted in one pass."""
+    twice = sorted(set(standard) & set(minmax))
+    if twice:
+        raise ValueError(f"columns to be scaled in two ways: {twice}")
+    stats = {}
+    for i, c in enumerate(standard):
+        stats[f"m{i}"], stats[f"s{i}"] = F.avg(_q(c)), F.stddev_pop(_q(c))
+    for i, c in enumerate(minmax):
+        stats[f"lo{i}"], stats[f"hi{i}"] = F.min(_q(c)).cast("double"), F.max(_q(c)).cast("double")
+    out = _with_stats(df, stats, by, fit_on)
+
+    def over(c: str, low: Column, width: Column) -> Column:
+        return (_q(c) - low) / F.when(width == 0, 1.0).otherwise(width)
+
+    def stat(name: str) -> Column:
+        return F.col(f"_stats.{name}")
+
+    scaled = {c: over(c, stat(f"m{i}"), stat(f"s{i}")) for i, c in enumerate(standard)}
+    scaled |= {c: over(c, stat(f"lo{i}"), stat(f"hi{i}") - stat(f"lo{i}")) for i, c in enumerate(minmax)}
+    return (out.withColumns(scaled) if scaled else out).select(*[_q(c) for c in df.columns])
+
+
 def standard_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                    fit_on: Column | None = None) -> DataFrame:
     """``(x - mean) / std`` with the population std; a constant column is only centred.
 
     ``by`` fits per group, ``fit_on`` restricts fitting to matching rows (for example the train split).
     """
-    stats = {}
-    for i, c in enumerate(columns):
-        stats[f"m{i}"], stats[f"s{i}"] = F.avg(_q(c)), F.stddev_pop(_q(c))
-    out = _with_stats(df, stats, by, fit_on)
-    scaled = {c: (_q(c) - F.col(f"_stats.m{i}"))
-              / F.when(F.col(f"_stats.s{i}") == 0, 1.0).otherwise(F.col(f"_stats.s{i}"))
-              for i, c in enumerate(columns)}
-    return (out.withColumns(scaled) if scaled else out).select(*[_q(c) for c in df.columns])
+    return scale(df, standard=columns, by=by, fit_on=fit_on)
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                  fit_on: Column | None = None) -> DataFrame:
     """``(x - min) / (max - min)``; a constant column becomes 0."""
-    stats = {}
-    for i, c in enumerate(columns):
-        stats[f"lo{i}"], stats[f"hi{i}"] = F.min(_q(c)).cast("double"), F.max(_q(c)).cast("double")
-    out = _with_stats(df, stats, by, fit_on)
-    scaled = {}
-    for i, c in enumerate(columns):
-        lo, hi = F.col(f"_stats.lo{i}"), F.col(f"_stats.hi{i}")
-        scaled[c] = (_q(c) - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
-    return (out.withColumns(scaled) if scaled else out).select(*[_q(c) for c in df.columns])
+    return scale(df, minmax=columns, by=by, fit_on=fit_on)
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
@@ -76,14 +85,15 @@ def categories_of(df: DataFrame, column: str, limit: int = 1000) -> list:
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], categories: Mapping[str, Sequence] | None = None,
-            drop_first: bool = True, keep: bool = False) -> DataFrame:
+            drop_first: bool = True, keep: bool = False, limit: int = 1000) -> DataFrame:
     """0/1 columns ``<column>_<value>``, without the first sorted value; missing values give all zeros.
 
-    Pass ``categories`` for columns whose values are known to avoid a pass over the data.
+    Pass ``categories`` for columns whose values are known to avoid a pass over the data; others may have
+    ``limit`` values, more are an error.
     """
     dummies = {}
     for c in columns:
-        values = sorted((categories or {}).get(c) or categories_of(df, c))
+        values = sorted((categories or {}).get(c) or categories_of(df, c, limit))
         for v in values[1:] if drop_first else values:
             dummies[f"{c}_{v}"] = F.coalesce((_q(c) == F.lit(v)).cast("int"), F.lit(0))
     out = df.withColumns(dummies)

@@ -11,7 +11,7 @@ from cindergrid.functions.fireweather import fire_weather
 from cindergrid.operators.grid import CELL, CELL_DAY, Grid
 from cindergrid.operators.models import cluster_cells
 from cindergrid.operators.quality import existing
-from cindergrid.operators.scaling import minmax_scale, one_hot, standard_scale
+from cindergrid.operators.scaling import one_hot, scale
 from cindergrid.operators.windows import leapless_day, rolling_sum, slope
 from cindergrid.session import cut_lineage
 from cindergrid.sources.sinks import write_audit
@@ -132,8 +132,7 @@ def process(df: DataFrame, grid: Grid, raw: Sequence[str] | None = None,
     if list(by) == ["period"]:
         table = table.withColumn("period", F.date_format("date", "yyyyMM"))
     audited = table
-    table = standard_scale(table, existing(table, STANDARD), by, fit_on)
-    table = minmax_scale(table, existing(table, MINMAX), by, fit_on)
+    table = scale(table, existing(table, STANDARD), existing(table, MINMAX), by, fit_on)
     table = one_hot(table, existing(table, CATEGORICAL), KNOWN_CATEGORIES)
     write_audit({"features": audited, "processed": table} if audit_path else {}, audit_path)
     return table.drop("period") if list(by) == ["period"] else table

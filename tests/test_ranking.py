@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from cindergrid.operators import metrics, quality
-from cindergrid.operators.ranking import quantiles, ranked, running_totals
+from cindergrid.operators.ranking import look_up, quantiles, ranked, running_totals
 
 
 def test_running_totals_over_many_blocks(spark):
@@ -122,3 +122,10 @@ def test_votes(spark):
     assert [r.prediction for r in metrics.vote(hard, ["a", "b"], "hard").collect()] == [0, 1]
     with pytest.raises(ValueError):
         metrics.vote(df, ["a"], "loud")
+
+
+def test_look_up_refuses_many_keys(spark):
+    small = spark.range(6).withColumn("x", F.col("id") * 2)
+    assert [r.x for r in look_up(spark.range(3), small, ["id"], ["x"]).orderBy("id").collect()] == [0, 2, 4]
+    with pytest.raises(Exception, match="more than 5 keys"):
+        look_up(spark.range(3), small, ["id"], ["x"], limit=5).collect()
