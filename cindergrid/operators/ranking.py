@@ -36,7 +36,7 @@ def look_up(df: DataFrame, small: DataFrame, keys: Sequence[str], names: Sequenc
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   ties: Sequence[str] = (), fan: int = 32) -> DataFrame:
+                   ties: Sequence[str] = (), fan: int = 16) -> DataFrame:
     """Add ``cum_<c>`` for each column ``c`` of ``sums``: its sum over all rows up to this one, and
     ``total_<c>``: its sum over all rows of the group.
 
@@ -50,10 +50,11 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
     known = df.groupBy(*by).agg(approx.alias("_cuts"), *[F.sum(c).alias(f"total_{c}") for c in sums])
     tagged = look_up(df, known, by, ["_cuts", *[f"total_{c}" for c in sums]])
     # The block number is the number of cuts below the value, found by halving.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((blocks - 1).bit_length()))])
-    block = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
-        F.get("_cuts", at + step - 1) < F.col(order), step).otherwise(0))
-    tagged = tagged.withColumn("_block", block).drop("_cuts")
+    tagged = tagged.withColumn("_block", F.lit(0))
+    for i in reversed(range((blocks - 1).bit_length())):
+        passed = F.get("_cuts", F.col("_block") + ((1 << i) - 1)) < F.col(order)
+        tagged = tagged.withColumn("_block", F.col("_block") + F.when(passed, 1 << i).otherwise(0))
+    tagged = tagged.drop("_cuts")
 
     # At most one row per block and group in ``totals``.
     totals = tagged.groupBy(*by, "_block").agg(*[F.sum(c).alias(f"_before_{c}") for c in sums])
@@ -70,7 +71,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
 
 
 def ranked(df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "rank",
-           by: Sequence[str] = (), fan: int = 32) -> DataFrame:
+           by: Sequence[str] = (), fan: int = 16) -> DataFrame:
     """Add the 1-based position of each row in the order of ``order`` and ``ties``."""
     out = running_totals(df.withColumn("_one", F.lit(1)), order, ["_one"], by, ties, fan)
     return out.withColumnRenamed("cum__one", name).drop("_one", "total__one")
