@@ -232,11 +232,11 @@ def perceptron_margin(spark, d):
 
 
 @query("importance_margin", """
-SELECT x.feature, x.feature = 'side' AND (SELECT count(*) FROM orders) > 0 AS decides FROM (VALUES ('side'), ('b'), ('c')) x(feature)""")
+SELECT x.feature, CAST(x.feature = 'side' AND (SELECT count(*) FROM orders) > 0 AS INTEGER) AS decides FROM (VALUES ('side'), ('b'), ('c')) x(feature)""")
 def importance_margin(spark, d):
     """Only the deciding column has more than half of the importance."""
     fitted = models.forest().fit(_margin(spark, d))
-    return models.importances(fitted, ["side", "b", "c"], spark).select("feature", (F.col("importance") > 0.5).alias("decides"))
+    return models.importances(fitted, ["side", "b", "c"], spark).select("feature", (F.col("importance") > 0.5).cast("int").alias("decides"))
 
 
 @query("folds_margin", f"""
@@ -250,10 +250,10 @@ def folds_margin(spark, d):
 
 
 @query("cluster_totals", f"""
-WITH {CELLDAYS_SQL} SELECT count(*) AS n, count(DISTINCT user_id) AS n_cells, CAST(12 AS BIGINT) AS n_12, CAST(30 AS BIGINT) AS n_30,
+WITH {CELLDAYS_SQL} SELECT count(*) AS n, count(DISTINCT user_id) AS n_cells, least(12, count(DISTINCT user_id)) AS n_12, least(30, count(DISTINCT user_id)) AS n_30,
   CAST(0 AS BIGINT) AS n_split FROM celldays""")
 def cluster_totals(spark, d):
-    """Rows, cells, clusters of both counts, and cells that are in two clusters of a count."""
+    """Rows, cells, clusters of both counts (no more than cells), and cells that are in two clusters of a count."""
     days = WIDE.with_corners(celldays(spark, d))
     both = models.cluster_cells(models.cluster_cells(days, 12), 30)
     cells = both.groupBy("user_id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("clusters_12", "clusters_30")],
@@ -265,8 +265,8 @@ def cluster_totals(spark, d):
 @query("season_targets", f"""
 WITH {CELLDAYS_SQL}, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY cell_r, cell_c ORDER BY date) AS i FROM celldays)
-SELECT t.date, t.cell_r, t.cell_c, t.is_fire_day, true AS valid FROM numbered s
+SELECT t.date, t.cell_r, t.cell_c, t.is_fire_day, 1 AS valid FROM numbered s
 JOIN numbered t ON t.cell_r = s.cell_r AND t.cell_c = s.cell_c AND t.i = s.i + 5 WHERE s.i > 14 AND s.date > DATE '2024-01-18'""")
 def season_targets(spark, d):
     """The scored cell-days of :func:`score_season` with their labels; every risk is a probability."""
-    return score_season(spark, d).select("date", "cell_r", "cell_c", "is_fire_day", F.col("risk_score").between(0, 1).alias("valid"))
+    return score_season(spark, d).select("date", "cell_r", "cell_c", "is_fire_day", F.col("risk_score").between(0, 1).cast("int").alias("valid"))
