@@ -1,7 +1,7 @@
 """LM scoring: a Katz back-off bigram model, counted over the whole corpus and evaluated per token.
 
 Tokens are lower-cased (A-Z) words and one end per text; the first token's context is a start mark. P(w | h) is
-d(r) r / c(h) for the r >= ``least`` times that w followed h in training texts, else alpha(h) P(w); P(w) is d(c) c / N,
+d(r) r / c(h) for the r >= ``least`` times (by default all) that w followed h in training texts, else alpha(h) P(w); P(w) is d(c) c / N,
 and what discounting leaves goes to unknown words. d is the Good-Turing discount for counts up to ``top``. alpha(h)
 makes P(. | h) sum to one exactly; a context whose counts are all undiscounted first gives away one pseudo-count.
 
@@ -201,7 +201,7 @@ def _stats(answers: DataFrame) -> np.ndarray:
     return sum((unpack(r[0]) for r in rows), np.zeros(33, np.int64))
 
 
-def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 2, top: int = 5) -> DataFrame:
+def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 1, top: int = 5) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (additive unigrams, the yardstick) and score,
     the model's log10 probability of the text. Rows with ``held`` don't train."""
     spark = docs.sparkSession

@@ -244,6 +244,48 @@ def test_katz_sums_to_one_and_counts_exactly(spark):
     assert katz.score(odd(spark), held()).count() == len(ODD) and katz.score(empty(spark), held()).count() == 0
 
 
+def test_katz_like_brute_force_with_pairs_seen_once(spark):
+    """Every seen pair has its discounted chance, the rest shares what the discounts leave."""
+    from collections import Counter
+
+    random = np.random.default_rng(12)
+    rows = [(i, " ".join(f"v{int(k)}" for k in random.zipf(1.4, random.integers(1, 25)) if k < 400)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.score(df, held()).collect()}
+    tokens = {i: ["<start>", *WORD.findall(t), "</end>"] for i, t in rows}
+    train = [tokens[i] for i, _ in rows if not got[i].held_out]
+    word, pair, context = (Counter() for _ in range(3))
+    for t in train:
+        word.update(t[1:])
+        pair.update(zip(t, t[1:]))
+        context.update(t[:-1])
+
+    def discount(counts):
+        of = Counter(counts.values())
+        return katz.discounts(np.array([of[r] for r in range(1, 32)]), 5)[np.minimum(np.arange(max(counts.values()) + 1), 6)]
+
+    d1, d2, total = discount(word), discount(pair), sum(word.values())
+    single = {w: d1[c] * c / total for w, c in word.items()}
+    unknown = 1 - sum(single.values())
+
+    def chance(h, w):
+        if pair[h, w]:
+            return d2[pair[h, w]] * pair[h, w] / seen[h][2]
+        mass, lower, c = seen.get(h, (0, 0, 1))
+        return (1 - mass / c) / (1 - lower) * single.get(w, unknown)
+
+    seen = {}
+    for h, c in context.items():
+        after = [w for g, w in pair if g == h]
+        mass = sum(d2[pair[h, w]] * pair[h, w] for w in after)
+        seen[h] = mass, sum(single[w] for w in after), c + (c - mass < 1e-9)
+    assert sum(n == 1 for n in pair.values()) > 0.3 * len(pair)
+    for h in [*context, "unseen"]:
+        assert abs(sum(chance(h, w) for w in [*word, "unseen"]) - 1) < 1e-9
+    for i, _ in rows:
+        assert abs(got[i].score - sum(np.log10(chance(h, w)) for h, w in zip(tokens[i], tokens[i][1:]))) < 1e-6
+
+
 def test_katz_discounts_and_normalisation():
     d = katz.discounts(np.array([100, 40, 22, 14, 10, 7, 5] + [0] * 24), 5)
     assert ((0 < d[1:6]) & (d[1:6] < 1)).all() and d[6] == 1
