@@ -9,6 +9,11 @@ window, compared with whole items). A fingerprint is cut into four blocks of 16
 to an item's block loses no fingerprint within the radius. Candidates within the radius are then compared exactly: the
 similarity is the weighted Jaccard of five-word shingle bags, a shingle weighing as many as it has distinct words.
 
+Edits of a near copy may move its fingerprint by more than any radius that still tells texts apart, so fingerprints alone
+would miss some. A second look-up misses none: a window of similarity t shares at least t of an item's weight, so it
+holds one of the item's ``probes``, shingles that together weigh more than 1 - t of it (those of the fewest items). All
+windows of a row that holds a probe are compared exactly at once, by running sums; also those cut off by the row's end.
+
 Null and empty texts and items match nothing. Items of one word have one-word shingles. Repeated rows, ids and null ids
 are searched row by row; of equally similar windows any may be reported. Empty tables give no matches.
 """
@@ -70,6 +75,42 @@ def weights(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return g, 1 + (views[:, 1:] != views[:, :-1]).sum(1)
 
 
+class Item:
+    """The shingle bag of an item of at least ``width`` words: distinct shingles in order, how often each, their weights."""
+
+    def __init__(self, item, h: np.ndarray, width: int):
+        self.item, self.size, self.width = item, len(h), width
+        g, w = weights(h, width)
+        self.shingles, first, self.count = np.unique(g, return_index=True, return_counts=True)
+        self.weight = w[first]
+        self.total = int(w.sum())
+
+    def probes(self, owners: dict, threshold: float) -> np.ndarray:
+        """Of the shingles in the fewest items as many as weigh more than what a match may lack."""
+        order = np.argsort([owners[x] for x in self.shingles.tolist()], kind="stable")
+        mass = np.cumsum((self.count * self.weight)[order])
+        return self.shingles[order[: int(np.searchsorted(mass, (1 - threshold) * self.total + 1e-9, side="right")) + 1]]
+
+    def best(self, g: np.ndarray, running: np.ndarray) -> tuple[float, int, int]:
+        """Similarity, first word and words of the best of all windows of a row with the shingles ``g`` and the running sums
+        of their weights."""
+        n, span = len(g), self.size - self.width + 1
+        which = np.minimum(np.searchsorted(self.shingles, g), len(self.shingles) - 1)
+        at = np.flatnonzero(self.shingles[which] == g)
+        at = at[np.argsort(which[at], kind="stable")]
+        which = which[at]
+        # An occurrence counts in windows that hold it and fewer than ``count`` equal ones before it.
+        full = self.count[which]
+        earlier = np.arange(len(at)) - full
+        same = (earlier >= 0) & (which[earlier] == which)
+        low = np.maximum(np.where(same, at[earlier] + 1, 0), np.maximum(at - span + 1, 0))
+        both = np.cumsum(np.bincount(low, self.weight[which], n + 1) - np.bincount(at + 1, self.weight[which], n + 1))[:n]
+        own = running[np.minimum(np.arange(n) + span, n)] - running[:n]
+        j = both / (self.total + own - both)
+        s = int(np.argmax(j))
+        return float(j[s]), s, min(self.size, n + self.width - 1 - s)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, width: int) -> float:
     """Weighted Jaccard of the shingle bags of two word sequences."""
     (ga, wa), (gb, wb) = weights(a, width), weights(b, width)
@@ -102,6 +143,17 @@ class Index:
                     table[b, at] = np.where(table[b, at] == 0, min(i, SEVERAL), SEVERAL)
             self.lengths[m] = same, prints, whole, table
         self.longest = max(self.lengths, default=0)
+        # Shorter items are one shingle: their matches are equal to them and have their fingerprint.
+        self.items = [Item(i, h, width) for same, *_ in self.lengths.values() for i, h in same if len(h) >= width]
+        owners = Counter(x for one in self.items for x in one.shingles.tolist())
+        held = [one.probes(owners, threshold) for one in self.items]
+        probes = np.concatenate([np.zeros(0, np.uint64), *held])
+        order = np.argsort(probes, kind="stable")
+        self.probes, self.owner_at = np.unique(probes[order], return_index=True)
+        self.owner_at = np.append(self.owner_at, len(order))
+        self.owners = np.repeat(np.arange(len(held)), [len(x) for x in held])[order]
+        self.probed = np.zeros(1 << 22, bool)
+        self.probed[self.probes >> np.uint64(42)] = True
 
     def search(self, h: np.ndarray, first: np.ndarray):
         """(row, item, similarity, first word, words) of the best window of each row and item; ``h`` holds the words of
@@ -142,8 +194,33 @@ class Index:
                 own = h[first[r] : first[r + 1]]
                 for i in np.flatnonzero(np.bitwise_count(fingerprint(votes(own, len(own) > 255), len(own)) ^ whole) <= RADIUS):
                     self._keep(best, int(r), same[i], h, int(first[r]), len(own))
+        self._shared(best, h, first)
         return [(r, item, j, s - int(first[r]), m) for (r, item), (j, s, m) in best.items()]
 
+    def _shared(self, best, h, first):
+        """The best window of every row and item of which the row holds a probe."""
+        if len(h) < self.width or not len(self.probes):
+            return
+        g = arrays.windows(h, self.width)
+        at = np.flatnonzero(self.probed[g >> np.uint64(42)])
+        probe = np.minimum(np.searchsorted(self.probes, g[at]), len(self.probes) - 1)
+        row = np.searchsorted(first, at, side="right") - 1
+        real = (self.probes[probe] == g[at]) & (at + self.width <= first[row + 1])
+        row, probe = np.divmod(np.unique(row[real] * len(self.probes) + probe[real]), len(self.probes))
+        for r in np.unique(row).tolist():
+            a, b = int(first[r]), int(first[r + 1])
+            own, w = weights(h[a:b], self.width)
+            running = np.concatenate([[0], np.cumsum(w)])
+            mine = probe[np.searchsorted(row, r) : np.searchsorted(row, r, side="right")]
+            for i in np.unique(np.concatenate([self.owners[self.owner_at[p] : self.owner_at[p + 1]] for p in mine])).tolist():
+                item = self.items[i]
+                key = (r, item.item)
+                if key in best and best[key][0] >= 1:
+                    continue
+                j, s, m = item.best(own, running)
+                if j >= self.threshold - 1e-12 and (key not in best or (j, -s - a) > (best[key][0], -best[key][1])):
+                    best[key] = j, s + a, m
+
     def _keep(self, best, r, item, h, s, m):
         key = (r, item[0])
         if key in best and best[key][0] >= 1:

@@ -188,6 +188,32 @@ def test_decontamination(spark, folder):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - {r.doc_id for r in found}
 
 
+def test_decontamination_finds_all_near_copies():
+    """Items with a run or scattered words replaced, against brute force over all windows."""
+    random = np.random.default_rng(8)
+    lost = []
+    for n, edits in ((20, 1), (59, 2), (100, 6), (200, 17), (400, 38), (1000, 104)) * 4 + ((60, -1), (200, -6)) * 4:
+        item = random.integers(0, 300, n).astype(np.uint64)
+        near = item.copy()
+        places = np.arange(edits) + random.integers(0, n - edits) if edits > 0 else random.choice(n, -edits, replace=False)
+        near[places] = 10**6 + np.arange(len(places), dtype=np.uint64)
+        text = np.concatenate([random.integers(2000, 3000, 20).astype(np.uint64), near, random.integers(2000, 3000, 20).astype(np.uint64)])
+        words = [(7, " ".join(f"w{x}" for x in item)), (8, " ".join(f"u{x}" for x in range(n)))]
+        index = decontaminate.Index(words, 0.8, 5)
+        column = pa.array(["x y", " ".join(f"w{x}" for x in text), None, " ".join(f"w{x}" for x in near[: n - 1])])
+        got = {(r, i): (j, s, m) for r, i, j, s, m in decontaminate._matches(index, column)}
+        for row, own in ((1, text), (3, near[: n - 1])):
+            all_windows = [(decontaminate.similarity(own[s : s + n], item, 5), -s) for s in range(len(own) - 4)]
+            j, s = max(all_windows)
+            if j >= 0.8:
+                assert (row, 7) in got or lost.append((n, j)) is None
+                assert (row, 7) not in got or abs(got[row, 7][0] - j) < 1e-9 and got[row, 7][1:] == (-s, min(n, len(own) + s))
+            else:
+                assert (row, 7) not in got
+        assert all(i == 7 for _, i in got)
+    assert not lost
+
+
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "one"), (2, None), (3, ""), (4, LONG[:4000]), (5, "a b c a b c a b")], "item_id long, text string")
     got = sorted({(r.doc_id, r.item_id) for r in decontaminate.find(odd(spark), bench).collect()}, key=str)
