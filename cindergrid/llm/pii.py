@@ -6,11 +6,12 @@ and separators varied so that it also knows what the patterns miss, and adds spa
 
 Tagging covers whole texts: every kind holds a digit or an at sign, so every stretch of text within ``MARGIN`` of such
 a cue is cut into windows of ``WIDTH`` characters that overlap by half; a window without a cue has no span by
-definition. Windows are decoded by Viterbi; candidate spans of all windows of a document that don't touch a cut edge are
-reconciled globally: the disjoint set of largest total score is taken (weighted interval scheduling).
+definition. Windows are decoded by Viterbi. Around candidate spans that touch a cut edge a window of twice the length is
+decoded, and again, until they end inside it. The spans of all windows of a document are reconciled globally: the
+disjoint set of largest total score is taken (weighted interval scheduling).
 
 Null and empty texts have no spans. Repeated rows and ids are handled row by row. Ties go to the earlier span.
-Memory holds one batch and one block of windows; very long texts are scanned in linear time.
+Memory holds one batch and one block of windows, or the longest span with its surroundings.
 """
 
 from __future__ import annotations
@@ -327,42 +328,77 @@ def reconcile(found: list[tuple[int, int, int, float]], base) -> list[tuple[str,
     return out[::-1]
 
 
+def decoded(tagger: Tagger, windows: list[bytes]) -> list[list[tuple[int, int, int, float]]]:
+    """(start, end, kind, score) of the candidates of each window of codes; windows of like length are decoded together."""
+    spans = [[] for _ in windows]
+    order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+    at = 0
+    while at < len(order):
+        to, width = at, WIDTH
+        while to < len(order) and (to == at or (to - at + 1) * max(WIDTH, len(windows[order[to]])) <= BLOCK * WIDTH):
+            width = max(width, len(windows[order[to]]))
+            to += 1
+        ids = np.zeros((to - at, width), np.int64)
+        for i, w in enumerate(order[at:to]):
+            ids[i, : len(windows[w])] = np.frombuffer(windows[w], np.uint8)
+        tags, gain = tagger.decode(ids)
+        for i, w in enumerate(order[at:to]):
+            own = tags[i, : len(windows[w])]
+            for b in np.flatnonzero(own % 2).tolist():
+                other = own[b + 1 :] != own[b] + 1
+                e = b + 1 + (int(other.argmax()) if other.any() else len(other))
+                spans[w].append((b, e, int(own[b] - 1) // 2, float(gain[i, b:e].mean()) * (e - b)))
+        at = to
+    return spans
+
+
+def wider(cut: list, closed: list, size: int) -> list[tuple[int, int]]:
+    """Windows, apart from each other, for candidates (start, end, kind, window) that a window's edge cuts: each window as
+    long again on the cut side. Candidates within a closed one of their kind need none."""
+    reach = {}
+    for kind in {c[2] for c in closed}:
+        own = sorted(c[:2] for c in closed if c[2] == kind)
+        reach[kind] = [a for a, _ in own], np.maximum.accumulate([b for _, b in own]).tolist()
+    regions = set()
+    for s, e, kind, (a, b) in cut:
+        starts, ends = reach.get(kind, ([], []))
+        i = bisect.bisect_right(starts, s)
+        if not i or ends[i - 1] < e:
+            regions.add((max(0, a - (b - a)) if s == a else a, min(size, b + (b - a)) if e == b else b))
+    out = []
+    for a, b in sorted(regions):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(tagger: Tagger, texts: list[str], bases: list, least: float) -> list[list[tuple[str, int, int]]]:
-    """Reconciled spans of the tagger for each text; equal windows are decoded once per call."""
-    place, windows, owners = {}, [], []
-    for row, text in enumerate(texts):
-        code = None
-        for a, b in stretches(text):
-            if code is None:
-                code = codes(text).astype(np.uint8)
-            key = code[a:b].tobytes()
+    """Reconciled spans of the tagger for each text; equal windows are decoded once per round. Windows around candidates
+    that touch a cut edge are decoded again, wider each round, until the candidates end inside."""
+    found, closed, code = [[] for _ in texts], [[] for _ in texts], {}
+    todo = [(row, a, b) for row, text in enumerate(texts) for a, b in stretches(text)]
+    while todo:
+        place, windows, owners, cut = {}, [], [], {}
+        for row, a, b in todo:
+            if row not in code:
+                code[row] = codes(texts[row]).astype(np.uint8)
+            key = code[row][a:b].tobytes()
             owners.append((row, a, b, place.setdefault(key, len(windows))))
             if len(windows) < len(place):
                 windows.append(key)
-    spans = []
-    for at in range(0, len(windows), BLOCK):
-        part = windows[at : at + BLOCK]
-        ids = np.zeros((len(part), WIDTH), np.int64)
-        for i, key in enumerate(part):
-            ids[i, : len(key)] = np.frombuffer(key, np.uint8)
-        tags, gain = tagger.decode(ids)
-        for i, key in enumerate(part):
-            own, marks = tags[i, : len(key)], []
-            if own.any():
-                begins = np.flatnonzero(own % 2)
-                for b in begins.tolist():
-                    e = b + 1
-                    while e < len(key) and own[e] == own[b] + 1:
-                        e += 1
-                    marks.append((b, e, int(own[b] - 1) // 2, float(gain[i, b:e].mean()) * (e - b)))
-            spans.append(marks)
-    found = [[] for _ in texts]
-    for row, a, b, w in owners:
-        size = len(texts[row])
-        for s, e, kind, score in spans[w]:
-            cut = (s == 0 and a > 0) or (e == b - a and b < size)
-            if not cut and e - s >= 6 and score >= least * (e - s):
-                found[row].append((a + s, a + e, kind, score))
+        spans = decoded(tagger, windows)
+        for row, a, b, w in owners:
+            size = len(texts[row])
+            for s, e, kind, score in spans[w]:
+                if (s == 0 and a > 0) or (e == b - a and b < size):
+                    cut.setdefault(row, []).append((a + s, a + e, kind, (a, b)))
+                    continue
+                closed[row].append((a + s, a + e, kind))
+                if e - s >= 6 and score >= least * (e - s):
+                    found[row].append((a + s, a + e, kind, score))
+        todo = [(row, a, b) for row, some in cut.items() for a, b in wider(some, closed[row], len(texts[row]))]
     return [reconcile(f, base) if f else [] for f, base in zip(found, bases)]
 
 

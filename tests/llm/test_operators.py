@@ -113,6 +113,22 @@ def test_gradient_of_the_tagger():
             assert abs((values[0] - values[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-4
 
 
+def test_candidates_longer_than_windows_are_kept_whole():
+    """A tagger that takes every run of characters but tildes for an address."""
+    class Runs:
+        def decode(self, ids):
+            inside = (ids != ord("~") - 30) & (ids != 0)
+            first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+            return np.where(first, 1, np.where(inside, 2, 0)), np.ones(ids.shape)
+
+    random = np.random.default_rng(3)
+    texts = ["~" * 50 + "firstname.lastname @ department.university.edu" + "~" * 50, "7" * 5000, "~" + "7" * 300 + "~~" + "8" * 33 + "~" * 90,
+             "~" * 70 + "x" * 200 + "@" + "y" * 150 + "~" * 70, "~no cue~", ""]
+    texts += ["~".join("5" * int(n) for n in random.integers(6, 150, 20)) for _ in range(10)]
+    want = [[("email", m.start(), m.end()) for m in re.finditer("[^~]+", t)] if re.search("[0-9@]", t) else [] for t in texts]
+    assert pii.added_spans(Runs(), texts, [[] for _ in texts], 0.5) == want
+
+
 def test_reconcile_takes_the_best_disjoint_set():
     assert pii.reconcile([(0, 10, 0, 5.0), (8, 20, 1, 6.0), (20, 30, 2, 1.0), (25, 40, 3, 9.0)], [("ip", 38, 39)]) == [("ip", 8, 20), ("card", 20, 30)]
 
