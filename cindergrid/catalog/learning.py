@@ -175,9 +175,10 @@ def ridge(spark, d):
 
 @query("model_report")
 def model_report(spark, d):
-    """Cross-validated and held-out metrics of a regression and the neighbour classifier, on balanced rows."""
-    return compare_models(vectors(spark, d), "id", "vector", "label",
-                          {"Logistic Regression": models.logistic()})
+    """Cross-validated and held-out metrics of a regression, the neighbour classifier, a forest and boosted trees, on
+    balanced rows."""
+    return compare_models(vectors(spark, d), "id", "vector", "label", {
+        "Logistic Regression": models.logistic(), "Random Forest": models.forest(), "XGBoost": models.boosted()})
 
 
 @query("score_season")

@@ -106,6 +106,17 @@ def test_model_report(spark):
     assert report.columns == ["model", "accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
 
+def test_model_report_query_has_all_four_models(spark, monkeypatch):
+    """The forest and the boosted trees are asked for at default settings; small ones stand in for them here."""
+    from cindergrid.catalog import learning
+
+    small = {"forest": models.forest(3, 3), "boosted": models.boosted(2, depth=2)}
+    for name, estimator in small.items():
+        monkeypatch.setattr(learning.models, name, lambda estimator=estimator: estimator)
+    names = {r.model for r in learning.model_report(spark, "/root/testdata/sf0.001").select("model").collect()}
+    assert names == {f"{m} ({k})" for m in ("Logistic Regression", "KNN", "Random Forest", "XGBoost") for k in ("CV", "Test")}
+
+
 @pytest.mark.parametrize("estimator", [models.logistic(), models.boosted(rounds=5), models.perceptron((8, 4), 60)])
 def test_classifiers_learn(spark, estimator):
     df = models.as_features(separable(spark), "vector")
