@@ -242,7 +242,7 @@ def varied(text: str, spans, random) -> tuple[str, list]:
 
 
 def training_windows(texts: list[str], most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Code windows with tags around the spans and other cues of the texts."""
+    """Code windows with tags around the spans and other cues of the texts; of more than ``most`` a seeded draw over all."""
     random = np.random.Generator(np.random.PCG64(3))
     ids, tags = [], []
     for text in texts:
@@ -264,16 +264,18 @@ def training_windows(texts: list[str], most: int = 3000) -> tuple[np.ndarray, np
                     mark[:run] = 0
                 ids.append(np.pad(window, (0, WIDTH - len(window))))
                 tags.append(np.pad(mark, (0, WIDTH - len(mark))))
-    return np.array(ids[:most]).reshape(-1, WIDTH), np.array(tags[:most]).reshape(-1, WIDTH)
+    drawn = np.sort(random.permutation(len(ids))[:most])
+    return np.array(ids).reshape(-1, WIDTH)[drawn], np.array(tags).reshape(-1, WIDTH)[drawn]
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 1500) -> Tagger:
-    """Fit on about ``sample_rows`` texts of at most 4,000 characters that hold a cue, drawn by a hash of the text."""
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = 1500, most_windows: int = 3000) -> Tagger:
+    """Fit on about ``sample_rows`` texts of at most 4,000 characters that hold a cue, drawn by a hash of the text; of
+    their windows ``most_windows`` are drawn, whatever text they are from."""
     text = F.col(text_col).cast("string")
     some = docs.select(text.alias("text")).where(F.length("text") <= 4000).where(F.col("text").rlike("[0-9@]"))
     total = some.count()
     rows = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(total, 1)) * (1 << 30))).distinct().collect()
-    ids, tags = training_windows(sorted(r.text for r in rows))
+    ids, tags = training_windows(sorted(r.text for r in rows), most_windows)
     return Tagger().fit(ids, tags) if len(ids) else Tagger()
 
 

@@ -113,6 +113,14 @@ def test_gradient_of_the_tagger():
             assert abs((values[0] - values[1]) / 2e-5 - g[name].reshape(-1)[at]) < 1e-4
 
 
+def test_training_windows_are_drawn_from_all_texts():
+    texts = [f"{chr(65 + i // 10)} call +49 30 {1000000 + i} or write to a{i}@b.de" for i in range(260)]
+    ids, tags = pii.training_windows(texts, 200)
+    late = {pii.codes(c)[0] for c in "UVWXYZ"}
+    assert ids.shape == tags.shape == (200, pii.WIDTH) and late & set(ids[:, 0].tolist()) and tags.any()
+    assert len(pii.training_windows(texts[:2], 200)[0]) < 200 and pii.training_windows([])[0].shape == (0, pii.WIDTH)
+
+
 def test_candidates_longer_than_windows_are_kept_whole():
     """A tagger that takes every run of characters but tildes for an address."""
     class Runs:
