@@ -15,7 +15,3 @@ def spark(tmp_path_factory):
         "spark.log.level": "ERROR", "spark.checkpoint.dir": tmp_path_factory.mktemp("shared")})
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

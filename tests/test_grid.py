@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cindergrid import Grid
 from cindergrid.operators import grid as g, joins
 from cindergrid.operators.aggregates import category_counts, infrastructure, strikes_by_cellday
-from conftest import rows
+from helpers import rows
 
 AREA = Grid.over((49, 60), (-120, -110), 0.30)
 SMALL = Grid.over((0, 1), (0, 1), 0.2)

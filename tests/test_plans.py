@@ -8,7 +8,7 @@ from cindergrid.operators import grid as g, models, windows
 from cindergrid.plans import features, training
 from cindergrid.sources.readers import RAW_DOUBLES
 from cindergrid.streaming.strikes import strike_stream
-from conftest import rows
+from helpers import rows
 
 GRID = Grid.over((49, 50.2), (-120, -118.8), 0.3)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.session import cut_lineage, shared_folder
 from cindergrid.sources import readers, sinks
-from conftest import rows
+from helpers import rows
 
 
 def write(path, text):

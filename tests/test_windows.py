@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cindergrid import Grid
 from cindergrid.functions.fireweather import fire_weather
 from cindergrid.operators import grid as g, windows
-from conftest import rows
+from helpers import rows
 
 START = dt.date(2023, 12, 20)
 
