@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import (byte_bpe, chat_format, decision_list, decontaminate, katz, language_id, ngram_join, pii, quality_classifier,
-                            warc_zip)
+from cindergrid.llm import (byte_bpe, chat_format, conversation_trie, decision_list, decontaminate, katz, language_id, ngram_join, pii,
+                            quality_classifier, warc_zip)
+from cindergrid.session import cut_lineage
 
 
 def table(spark, sf_dir, name):
@@ -88,6 +89,50 @@ def op10_katz(spark, sf_dir):
     return katz.score(table(spark, sf_dir, "documents"), fold(1))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    turns, convs = conversation_trie.grafted(cut_lineage(conversation_trie.numbered(table(spark, sf_dir, "conversations"))))
+    return conversation_trie.trie(turns, convs).drop("key")
+
+
+#: CRC-32 bit by bit over the decimal id, conversations rebuilt, every opening as a path, subtrees by all pairs of node and ancestor.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS n FROM turns GROUP BY c),
+bits AS (
+  SELECT c, n, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 9 AS h
+  FROM own),
+plans AS (SELECT b.c, b.h, b.n, b.base, least(b.h, coalesce(o.n, 0)) AS taken FROM bits b LEFT JOIN own o ON o.c = b.base),
+rebuilt AS (
+  SELECT p.c, t.pos, t.role, t.text FROM plans p JOIN turns t ON t.c = p.base AND t.pos <= p.h
+  UNION ALL
+  SELECT p.c, t.pos - p.h + p.taken, t.role, t.text FROM plans p JOIN turns t ON t.c = p.c AND t.pos > p.h),
+openings AS (
+  SELECT c, pos AS depth, string_agg(to_json([role, text])::VARCHAR, ',') OVER (PARTITION BY c ORDER BY pos) AS path, strlen(text) AS bytes
+  FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM plans),
+lasts AS (SELECT c, max(depth) AS depth FROM openings GROUP BY c),
+nodes AS (
+  SELECT o.path, min(o.c) AS conv_id, any_value(o.depth) AS depth, count(*) AS n_convs, any_value(o.bytes) AS bytes,
+         sha256(coalesce(string_agg(CASE WHEN l.depth = o.depth THEN o.c::VARCHAR END, ',' ORDER BY o.c), '')) AS ends_sha256
+  FROM openings o JOIN lasts l ON l.c = o.c GROUP BY o.path),
+above AS (
+  SELECT n.path, n.depth, n.n_convs, n.bytes, a.path AS ancestor, a.depth AS place
+  FROM nodes n JOIN openings a ON a.c = n.conv_id AND a.depth <= n.depth),
+children AS (SELECT ancestor AS path, count(*) AS n FROM above WHERE place = depth - 1 GROUP BY ancestor),
+totals AS (
+  SELECT a.ancestor AS path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((a.n_convs - 1) * a.bytes) AS saved_tokens
+  FROM above a LEFT JOIN children k ON k.path = a.path GROUP BY a.ancestor)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, t.n_leaves,
+       CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t ON t.path = n.path LEFT JOIN children k ON k.path = n.path
+LEFT JOIN above u ON u.path = n.path AND u.place = n.depth - 1 LEFT JOIN nodes p ON p.path = u.ancestor"""
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op5_chat_format, op6_warc_zip, op7_decontaminate,
-                                  op8_byte_bpe, op9_language_id, op10_katz)}
-ORACLES: dict[str, str] = {}
+                                  op8_byte_bpe, op9_language_id, op10_katz, op11_conversation_trie)}
+ORACLES: dict[str, str] = {"op11_conversation_trie": OP11_SQL}
