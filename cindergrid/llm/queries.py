@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import (byte_bpe, chat_format, conversation_trie, decision_list, decontaminate, katz, language_id, ngram_join, pii,
-                            quality_classifier, warc_zip)
+from cindergrid.llm import (byte_bpe, chat_format, conversation_trie, decision_list, decontaminate, embedding_whitening, katz, language_id,
+                            ngram_join, pii, quality_classifier, simhash_variants, warc_zip)
 from cindergrid.session import cut_lineage
 
 
@@ -94,6 +94,14 @@ def op11_conversation_trie(spark, sf_dir):
     return conversation_trie.trie(turns, convs).drop("key")
 
 
+def op12_simhash_variants(spark, sf_dir):
+    return simhash_variants.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 #: CRC-32 bit by bit over the decimal id, conversations rebuilt, every opening as a path, subtrees by all pairs of node and ancestor.
 OP11_SQL = """
 WITH turns AS (
@@ -134,5 +142,6 @@ LEFT JOIN above u ON u.path = n.path AND u.place = n.depth - 1 LEFT JOIN nodes p
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_decision_list, op4_pii, op5_chat_format, op6_warc_zip, op7_decontaminate,
-                                  op8_byte_bpe, op9_language_id, op10_katz, op11_conversation_trie)}
+                                  op8_byte_bpe, op9_language_id, op10_katz, op11_conversation_trie, op12_simhash_variants,
+                                  op13_whitening)}
 ORACLES: dict[str, str] = {"op11_conversation_trie": OP11_SQL}
