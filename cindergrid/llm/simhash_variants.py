@@ -109,7 +109,7 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         found.append(counted.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b"))
         last = half == 8
         middle = counted.where("n > 2") if last else counted.where(F.col("n").between(3, limit))
-        found.append(_gathered(filed.join(middle.select(*keys), keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")))
+        found.append(_gathered(filed.join(middle.select(*keys).hint("merge"), keys).groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")))
         hot = cut_lineage(counted.where(F.col("n") > limit).select(*keys))
         if last or hot.isEmpty():
             break
@@ -134,6 +134,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = linked.join(lowest, "root").select("fp", "lowest").unionByName(
         fps.where("copies > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("lowest")))
     known = cut_lineage(known.withColumn("grouped", F.lit(True)))
-    return signed.join(known, "fp", "left").select(
+    return signed.join(known.hint("merge"), "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("grouped"), F.col("lowest")).otherwise(F.col("id")).alias("component_id"))
