@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
-from cindergrid.operators.ranking import counted_quantiles, long_values, look_up, quantiles, value_counts
+from cindergrid.operators.ranking import long_values, look_up, quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -51,15 +51,10 @@ def rows_with_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per column."""
-    counts = value_counts(df, columns)
-    n, v = F.col("n"), F.col("value")
-    sums = counts.groupBy("column").agg(F.sum("n").alias("count"), (F.sum(n * v) / F.sum(n)).alias("mean"),
-                                        F.min("value").alias("min"), F.max("value").alias("max"))
-    off = v - F.col("mean")
-    spread = look_up(counts, sums, ["column"], ["mean"]).groupBy("column").agg(F.sum(n * off * off).alias("ss"))
-    std = F.sqrt(F.try_divide(F.col("ss"), (F.col("count") - 1).cast("double")))
-    moments = sums.join(spread, "column").withColumn("std", std)
-    return moments.join(counted_quantiles(counts, QUARTILES), "column").select(
+    values = long_values(df, columns)
+    moments = values.groupBy("column").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                           F.min("value").alias("min"), F.max("value").alias("max"))
+    return moments.join(quantiles(df, columns, QUARTILES), "column").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -84,17 +79,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 
 def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR of the box) and number of outliers."""
-    counts = value_counts(df, columns)
-    box = counted_quantiles(counts, QUARTILES)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
-    box = box.withColumns({"low_fence": F.col("q25") - reach, "high_fence": F.col("q75") + reach})
+    box = quantiles(df, columns, QUARTILES).withColumns({"low_fence": F.col("q25") - reach, "high_fence": F.col("q75") + reach})
     v = F.col("value")
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     stats = ["q25", "q50", "q75"]
-    values = look_up(counts, box, ["column"], [*stats, "low_fence", "high_fence"])
+    values = look_up(long_values(df, columns), box, ["column"], [*stats, "low_fence", "high_fence"])
     return (values.groupBy("column", *stats)
             .agg(F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers")))
+                 F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers")))
 
 
 def outlier_rows(df: DataFrame, column: str) -> DataFrame:

@@ -84,29 +84,75 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*").filter("value is not null")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by + column, value, n``: how often each value occurs, as a table that several statistics read."""
-    return cut_lineage(long_values(df, columns, by).groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+def with_image(df: DataFrame, value: str, name: str = "x") -> DataFrame:
+    """Add a whole number in the order of the doubles ``value``, equal only where they are: their bit pattern, signed.
 
-
-def quantiles(df: DataFrame, columns: Sequence[str], qs: dict[str, float],
-              by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per column, one field per entry of ``qs``."""
-    return counted_quantiles(value_counts(df, columns, by), qs, by)
-
-
-def counted_quantiles(counts: DataFrame, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Quantiles of :func:`value_counts`; the two values around each position are picked in one aggregation."""
+    In steps, so that the logarithm and the powers are computed once a row.
+    """
+    x, size = F.col(value), F.col("_size")
+    guess = F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(-1022))
+    out = df.withColumn("_size", F.least(F.abs(x), F.lit(1.7976931348623157e308))).withColumn("_e", guess)
+    out = out.withColumn("_p", F.pow(F.lit(2.0), F.col("_e")))
+    # The logarithm may be off next to a power of two.
+    up, down = size >= 2 * F.col("_p"), (size < F.col("_p")) & (F.col("_e") > -1022)
+    out = out.withColumns({"_e": F.col("_e") + F.when(up, 1).when(down, -1).otherwise(0),
+                           "_p": F.col("_p") * F.when(up, 2.0).when(down, 0.5).otherwise(1.0)})
+    out = out.withColumn("_code", (F.col("_e") + 1022) * F.lit(1 << 52) + (size / F.col("_p") * float(1 << 52)).cast("long"))
+    code = F.when(F.abs(x) == float("inf"), F.lit(2047 << 52)).otherwise(F.col("_code"))
+    return out.withColumn(name, F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("long"))).select(*df.columns, name)
+
+
+def from_image(code: Column) -> Column:
+    """The double that :func:`with_image` gives ``code`` for."""
+    size = F.abs(code)
+    e = F.shiftright(size, 52)
+    whole = (size.bitwiseAND(F.lit((1 << 52) - 1)) + F.when(e > 0, F.lit(1 << 52)).otherwise(F.lit(0).cast("long"))).cast("double")
+    value = F.when(e == 2047, F.lit(float("inf"))).otherwise(whole * F.pow(F.lit(2.0), F.greatest(e, F.lit(1)) - 1075))
+    return F.when(code < 0, -value).otherwise(value)
+
+
+#: A pass of the selection settles this many bits of the images.
+DIGIT = 16
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation: one row per column, one field per entry of ``qs``.
+
+    Radix selection: each pass counts the next 16 bits of the values that share the bits settled so far, in every task
+    first, so that counts move and values never do. At most four passes read ``df``; write it first where it is
+    costly. A position is settled early once its bits hold one value only.
+    """
     keys = [*by, "column"]
-    run = running_totals(counts, "value", ["n"], by=keys).withColumnRenamed("total_n", "_size")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n")), F.col("value")))
-
-    picked, result = [], []
-    for name, q in qs.items():
-        pos = F.lit(q) * (F.col("_size") - 1)
-        picked += [at(F.floor(pos)).alias(f"_{name}_lo"), at(F.ceil(pos)).alias(f"_{name}_hi")]
-        share = F.lit(q) * (F.col("_size") - 1) - F.floor(F.lit(q) * (F.col("_size") - 1))
-        result.append((F.col(f"_{name}_lo") + share * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))).alias(name))
-    return run.groupBy(*keys, "_size").agg(*picked).select(*keys, *result)
+    values = long_values(df, columns, by)
+    state = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        bucket, above = F.shiftright("x", shift).alias("bucket"), F.shiftright("bucket", DIGIT)
+        rows = values
+        if state is not None:
+            ends = F.struct(from_image(F.col("low")).alias("low"), from_image(F.col("high")).alias("high"))
+            few = state.where("low < high").groupBy(*keys).agg(F.collect_set(ends).alias("_open"))
+            rows = look_up(values, few, keys, ["_open"]).where(F.exists("_open", lambda o: F.col("value").between(o["low"], o["high"])))
+        counts = with_image(rows, "value").groupBy(*keys, bucket).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        counts = counts.withColumn("above", above if state is not None else F.lit(0).cast("long"))
+        if state is None:
+            counts = cut_lineage(counts)
+            positions = [F.struct(F.lit(name).alias("name"), F.lit(up).alias("up"), (F.lit(q) * (F.col("size") - 1)).alias("at"))
+                         for name, q in qs.items() for up in (False, True)]
+            state = counts.groupBy(*keys).agg(F.sum("n").alias("size")).select(*keys, F.explode(F.array(*positions)).alias("p")).select(
+                *keys, F.lit(0).cast("long").alias("above"), "p.name", "p.up", (F.col("p.at") - F.floor("p.at")).alias("share"),
+                F.when(F.col("p.up"), F.ceil("p.at")).otherwise(F.floor("p.at")).alias("rank"), F.lit(0).cast("long").alias("low"), F.lit(1).cast("long").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "above").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("upto", upto).join(state.where("low < high").drop("low", "high"), [*keys, "above"]).where(
+            "upto - n <= rank and rank < upto").select(*keys, F.col("bucket").alias("above"), "name", "up", "share", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "low", "high")
+        # One row per column, quantile and side.
+        state = cut_lineage(found.unionByName(state.where("low = high")))
+        if state.where("low < high").isEmpty():
+            break
+
+    def at(name: str, up: bool) -> Column:
+        return F.max(F.when((F.col("name") == name) & (F.col("up") == up), from_image(F.col("low"))))
+
+    picked = [c for name in qs for c in (at(name, False).alias(f"_{name}_lo"), at(name, True).alias(f"_{name}_hi"),
+                                         F.max(F.when(F.col("name") == name, F.col("share"))).alias(f"_{name}_share"))]
+    return state.groupBy(*keys).agg(*picked).select(*keys, *[
+        (F.col(f"_{n}_lo") + F.col(f"_{n}_share") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n) for n in qs])

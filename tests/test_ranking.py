@@ -5,8 +5,8 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from cindergrid.operators import metrics, quality
-from cindergrid.operators.ranking import look_up, quantiles, ranked, running_totals
+from cindergrid.operators import metrics, quality, ranking
+from cindergrid.operators.ranking import from_image, look_up, quantiles, ranked, running_totals, with_image
 
 
 def test_running_totals_over_many_blocks(spark):
@@ -41,6 +41,60 @@ def test_quantiles_match_numpy_with_a_hot_value(spark):
             assert got[c][name] == pytest.approx(np.quantile(v, q))
 
 
+EDGES = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1.0, 2.0, 0.1, 3.0, 1.7976931348623157e308, float("inf"), 2.0**52, 2.0**-1000]
+
+
+def test_images_are_the_bit_patterns(spark):
+    """Also next to every power of two, where logarithms round."""
+    near = [v for e in range(-1073, 1024, 7) for v in (2.0**e, float(np.nextafter(2.0**e, 0)), float(np.nextafter(2.0**e, np.inf)))]
+    values = [s * v for v in EDGES + near for s in (1.0, -1.0)]
+    df = with_image(spark.createDataFrame([(v,) for v in values], "x double"), "x", "code")
+    for r in df.withColumn("back", from_image(F.col("code"))).collect():
+        bits = int(np.float64(abs(r.x)).view(np.int64))
+        assert r.code == (bits if r.x >= 0 else -bits) and r.back == r.x
+
+
+@pytest.mark.parametrize("kind", ["hot", "distinct", "close", "wide"])
+def test_selection_by_digits(spark, kind):
+    """A value that holds a third of the rows, all values distinct, values that differ in their last bits, and all exponents."""
+    rng = np.random.default_rng(8)
+    v = {"hot": np.concatenate([np.full(1000, -7.5), rng.normal(size=2000)]), "distinct": rng.permutation(3001) - 1500.0,
+         "close": 1.0 + np.arange(500) * 2.0**-52, "wide": np.concatenate([np.exp(rng.normal(size=999) * 200), -np.exp(rng.normal(size=500) * 200)])}[kind]
+    df = spark.createDataFrame([(float(x), i % 2) for i, x in enumerate(v)], "v double, g int")
+    qs = {"q0": 0.0, "q3": 0.3, "q50": 0.5, "q999": 0.999, "q100": 1.0}
+    got = quantiles(df, ["v"], qs).first()
+    for name, q in qs.items():
+        assert got[name] == pytest.approx(np.quantile(v, q), rel=1e-12)
+    for r in quantiles(df, ["v"], qs, by=["g"]).collect():
+        assert r.q50 == pytest.approx(np.quantile(v[r.g :: 2], 0.5), rel=1e-12)
+
+
+def test_selection_moves_counts_not_values(spark, tmp_path, monkeypatch):
+    """Ten times the rows, all distinct, in as many tasks: what is shuffled is bound by digits, not by rows."""
+    monkeypatch.setattr(ranking, "DIGIT", 8)
+    moved = []
+    for n in (40_000, 400_000):
+        path = str(tmp_path / str(n))
+        spark.range(n, numPartitions=4).select((F.col("id") * 1.0 / n).alias("v")).write.parquet(path)
+        before = shuffled(spark)
+        assert quantiles(spark.read.parquet(path), ["v"], {"q50": 0.5}).first().q50 == pytest.approx((n - 1) / n / 2)
+        moved.append(shuffled(spark) - before)
+    assert moved[1] < 1.5 * moved[0] < 20_000
+
+
+def shuffled(spark) -> int:
+    """Rows written to shuffles by all stages so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, getattr(spark._jvm.scala, "Array").emptyDoubleArray(), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_values_at_all(spark):
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0)], "v double, w double")
+    assert [(r.column, r.q50) for r in quantiles(df, ["v", "w"], {"q50": 0.5}).collect()] == [("w", 1.0)]
+    assert quantiles(df.limit(0), ["v"], {"q50": 0.5}).count() == 0
+
+
 def test_summary_matches_numpy(spark):
     values = [1.0, 2.0, 2.0, 7.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
