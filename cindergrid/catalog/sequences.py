@@ -244,11 +244,13 @@ def fire_season_mask(spark, d):
     return windows.fire_season_mask(weather_days(spark, d)).select(*g.CELL_DAY, "in_season")
 
 
-def _fire_weather_sql(masked: bool) -> str:
+def _fire_weather_sql(masked: bool, dry: bool = False) -> str:
     """The equations day by day as a recursive query; every level of sub-query is one named step."""
     on = "in_season" if masked else "1"
+    since = f"date_diff('day', max(CASE WHEN p > 1.5 THEN date END) {OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date)"
+    duff, deep = (f"coalesce({factor} * {since}, {start})" if dry else str(start) for factor, start in ((1.2, 6), (5, 15)))
     return f"""WITH RECURSIVE {SEASON_SQL},
-days_n AS (SELECT *, {on} AS active, row_number() {OVER}) AS i FROM season),
+days_n AS (SELECT *, {on} AS active, row_number() {OVER}) AS i, {duff}::DOUBLE AS d0, {deep}::DOUBLE AS c0 FROM season),
 codes AS (
   SELECT date, cell_r, cell_c, w, i, active, f, d, c, m FROM (
     SELECT DATE '1900-01-01' AS date, cell_r, cell_c, 0::DOUBLE AS w, 0::BIGINT AS i, 0 AS active,
@@ -271,7 +273,8 @@ codes AS (
          (0.424 * (1 - power((100 - h) / 100, 1.7)) + 0.0694 * sqrt(w) * (1 - power((100 - h) / 100, 8))) * 0.581 * exp(0.0365 * t) AS kw,
          CASE WHEN d <= 33 THEN 100 / (0.5 + 0.3 * d) WHEN d <= 65 THEN 14 - 1.3 * ln(d) ELSE 6.2 * ln(d) - 17.2 END AS b,
          800 * exp(-c / 400) + 3.937 * (0.83 * p - 1.27) AS q
-    FROM (SELECT n.*, s.f, s.d, s.c, 147.2 * (101 - s.f) / (59.5 + s.f) AS m0
+    FROM (SELECT n.*, s.f, CASE WHEN s.active = 1 THEN s.d ELSE n.d0 END AS d, CASE WHEN s.active = 1 THEN s.c ELSE n.c0 END AS c,
+            147.2 * (101 - s.f) / (59.5 + s.f) AS m0
           FROM codes s JOIN days_n n ON n.cell_r = s.cell_r AND n.cell_c = s.cell_c AND n.i = s.i + 1)))),
 content AS (SELECT * EXCLUDE (m), 147.2 * (101 - f) / (59.5 + f) AS m FROM codes WHERE i > 0),
 spread AS (
@@ -300,3 +303,10 @@ def fire_weather_query(spark, d):
 def fire_weather_in_season(spark, d):
     masked = windows.fire_season_mask(weather_days(spark, d))
     return rounded(fire_weather(masked, season="in_season").select(*g.CELL_DAY, *SIX), *SIX, digits=5)
+
+
+@query("fire_weather_dry_start", _fire_weather_sql(True, True))
+def fire_weather_dry_start(spark, d):
+    """Start codes of a season from the days since the last wet day."""
+    masked = windows.fire_season_mask(weather_days(spark, d))
+    return rounded(fire_weather(masked, season="in_season", dry_start=True).select(*g.CELL_DAY, *SIX), *SIX, digits=5)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cindergrid.operators.grid import CELL
 
@@ -19,6 +19,10 @@ FFMC_START, DMC_START, DC_START = 85.0, 6.0, 15.0
 DMC_DAY_LENGTH = [6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0]
 DC_DAY_LENGTH = [-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6]
 MOISTURE = 147.2
+#: Dry start: rain in mm above which a day is wet, and what each day since the last wet one adds to the start codes.
+WET_DAY, DMC_DRY_FACTOR, DC_DRY_FACTOR = 1.5, 1.2, 5.0
+#: Days folded at once; the codes of a block are joined to those before it once.
+BLOCK = 19
 INPUTS = ["temp_c", "humidity", "wind_kmh", "rain_mm"]
 
 
@@ -102,15 +106,41 @@ def indices(ffmc: Column, duff: Column, deep: Column, wind: Column) -> dict[str,
             "initial_spread_index": isi, "build_up_index": bui, "fire_weather_index": fwi}
 
 
+def days_since_wet(df: DataFrame, by: Sequence[str], wet: float = WET_DAY, name: str = "days_dry") -> DataFrame:
+    """Add the number of days since the last earlier day of more than ``wet`` mm; NULL where none is known.
+
+    A window holds one cell and year; the last wet days of the years before come from one row a year.
+    """
+    last = F.max(F.when(F.col("rain_mm") > wet, F.col("date")))
+    rows = df.withColumn("_y", F.year("date"))
+    here = last.over(Window.partitionBy(*by, "_y").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    years = rows.groupBy(*by, "_y").agg(last.alias("_last"))
+    ahead = Window.partitionBy(*by).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select(*by, "_y", F.max("_last").over(ahead).alias("_earlier"))
+    # The day itself doesn't count: its own rain is part of its own codes.
+    before = F.lag("_upto").over(Window.partitionBy(*by, "_y").orderBy("date"))
+    out = rows.withColumn("_upto", here).withColumn("_before", before).join(years, [*by, "_y"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.date_diff("date", F.coalesce("_before", "_earlier")).alias(name))
+
+
 def fire_weather(df: DataFrame, by: Sequence[str] = tuple(CELL), season: str | None = None,
-                 starts: tuple[float, float, float] = (FFMC_START, DMC_START, DC_START)) -> DataFrame:
+                 starts: tuple[float, float, float] = (FFMC_START, DMC_START, DC_START), dry_start: bool = False,
+                 wet: float = WET_DAY, dry_factors: tuple[float, float] = (DMC_DRY_FACTOR, DC_DRY_FACTOR)) -> DataFrame:
     """Add the six indices to daily rows with ``date, temp_c, humidity, wind_kmh, rain_mm``.
 
     Codes run day by day within a cell and year from ``starts``. With ``season`` (a 0/1 column) they run
     only on days in season, start anew at the first day of each season, and are NULL outside it. A day with missing weather has
     NULL codes and leaves the state as it was.
+
+    With ``dry_start`` the duff moisture and drought codes of a season's first day, or of a year's without seasons,
+    start at ``dry_factors`` times the days since the last day of more than ``wet`` mm, be it off season or in an
+    earlier year; where no wet day is known, and for the fine fuel moisture code, at ``starts``.
     """
     keep = df.columns
+    if dry_start:
+        df = days_since_wet(df, by, wet, "_dry")
+    duff, deep = (F.coalesce(factor * F.col("_dry"), F.lit(start)) if dry_start else F.lit(start) for factor, start in zip(dry_factors, starts[1:]))
+    first = F.struct(F.lit(starts[0]).alias("f"), duff.cast("double").alias("p"), deep.cast("double").alias("d"))
     weather = df.withColumns({"_month": F.month("date"), "_year": F.year("date")}).withColumns(
         {f"_t_{k}": v for k, v in _day_terms().items()})
     terms = F.struct(*[F.col(f"_t_{k}").alias(k) for k in _day_terms()])
@@ -120,23 +150,29 @@ def fire_weather(df: DataFrame, by: Sequence[str] = tuple(CELL), season: str | N
     # The original columns other than the keys travel inside the array, so nothing is joined back.
     rest = F.struct(*[F.col(f"`{c}`") for c in keep if c not in by])
     days = weather.groupBy(*by, "_year").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("date").alias("_d"), on.alias("on"), terms.alias("x"), rest.alias("row")))).alias("_days"))
+        F.col("date").alias("_d"), on.alias("on"), terms.alias("x"), first.alias("first"), rest.alias("row")))).alias("_days"))
 
     nullable = "struct<f: double, p: double, d: double>"
-    code = F.struct(F.lit(starts[0]).alias("f"), F.lit(starts[1]).alias("p"), F.lit(starts[2]).alias("d")).cast(nullable)
     none = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("f", "p", "d")])
     empty = F.array().cast(f"array<{nullable}>")
 
     def step(acc: Column, day: Column) -> Column:
-        x, s = day["x"], acc["s"]
-        new = F.struct(_let(moisture_content(s["f"]), lambda m: _fine(m, x)).alias("f"), _duff(s["p"], x).alias("p"), _deep(s["d"], x).alias("d"))
+        x = day["x"]
+        # No codes: off season, or before the first day.
+        s = F.when(acc["s"]["f"].isNull(), day["first"].cast(nullable)).otherwise(acc["s"])
+        new = _let(s, lambda s: F.struct(_let(moisture_content(s["f"]), lambda m: _fine(m, x)).alias("f"), _duff(s["p"], x).alias("p"), _deep(s["d"], x).alias("d")))
         blank = F.concat(acc["out"], F.array(none)).alias("out")
-        return (F.when(day["on"] == 0, F.struct(code.alias("s"), blank))
+        return (F.when(day["on"] == 0, F.struct(none.alias("s"), blank))
                 .when(day["on"] == 1, _let(new, lambda n: F.struct(
                     n.alias("s"), F.concat(acc["out"], F.array(n)).alias("out"))))
-                .otherwise(F.struct(s.alias("s"), blank)))
+                .otherwise(F.struct(acc["s"].alias("s"), blank)))
+
+    def block(acc: Column, part: Column) -> Column:
+        folded = F.aggregate(part, F.struct(acc["s"].alias("s"), empty.alias("out")), step)
+        return _let(folded, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    folded = F.aggregate("_days", F.struct(code.alias("s"), empty.alias("out")), step, lambda acc: acc["out"])
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_days") - 1) / BLOCK).cast("int")), lambda i: F.slice("_days", i * BLOCK + 1, BLOCK))
+    folded = F.aggregate(parts, F.struct(none.alias("s"), F.array().cast(f"array<array<{nullable}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
     rows = days.select(*by, F.explode(F.arrays_zip(F.col("_days.row").alias("row"), folded.alias("code"))).alias("z"))
     out = rows.select(*by, "z.row.*", F.col("z.code.f").alias("_f"), F.col("z.code.p").alias("_p"),
                       F.col("z.code.d").alias("_dc"))

@@ -134,6 +134,36 @@ def test_season_starts_and_ends_on_third_day(spark):
     assert [r.drought_code is None for r in codes] == [not s for s in got]
 
 
+def test_dry_start_counts_days_since_the_last_wet_one(spark):
+    """Over gaps and the turn of the year; the day's own rain doesn't count, nor does a day at the limit."""
+    wet, dry, limit = (20.0, 40.0, 10.0, 9.0), (20.0, 40.0, 10.0, 0.0), (20.0, 40.0, 10.0, 1.5)
+    start = dt.date(2023, 12, 26)
+
+    def first(values, **options):
+        df = weather(spark, values, start).withColumn("on", (F.col("date") >= dt.date(2024, 1, 1)).cast("int"))
+        return fire_weather(df, season="on", **options).where("date = date'2024-01-01'").first()
+
+    def alike(r, duff, deep, last):
+        want = fire_weather(weather(spark, [last], dt.date(2024, 1, 1)), starts=(85.0, duff, deep)).first()
+        assert (r.duff_moisture_code, r.drought_code, r.fine_fuel_moisture_code) == pytest.approx(
+            (want.duff_moisture_code, want.drought_code, want.fine_fuel_moisture_code))
+
+    days = [dry, wet, limit, dry, dry, dry, dry]
+    alike(first(days, dry_start=True), 1.2 * 5, 5.0 * 5, dry)
+    alike(first(days[:2] + days[-2:] + [dry, dry, wet], dry_start=True, dry_factors=(2.0, 3.0)), 2.0 * 5, 3.0 * 5, wet)
+    alike(first([dry] * 7, dry_start=True), 6.0, 15.0, dry)
+    alike(first(days), 6.0, 15.0, dry)
+
+
+def test_dry_start_again_in_the_second_season(spark):
+    values = [(20.0, 40.0, 10.0, 0.0)] * 3 + [(20.0, 40.0, 10.0, 8.0)] + [(20.0, 40.0, 10.0, 0.0)] * 46
+    df = weather(spark, values, dt.date(2024, 6, 1)).withColumn("on", F.when(F.dayofmonth("date").between(10, 12), 0).otherwise(1))
+    got = fire_weather(df, season="on", dry_start=True).orderBy("date").collect()
+    want = fire_weather(weather(spark, values[12:30], dt.date(2024, 6, 13)), starts=(85.0, 1.2 * 9, 5.0 * 9)).orderBy("date").collect()
+    assert [r.drought_code for r in got[9:12]] == [None] * 3
+    assert [r.drought_code for r in got[12:30]] == pytest.approx([r.drought_code for r in want])
+
+
 def test_windows_are_never_unpartitioned(spark):
     df = daily(spark, 20)
     for out in (windows.rolling_sum(df), windows.lagged(df, ["tp"]), windows.lookback_samples(df, ["tp"])):
