@@ -11,6 +11,8 @@ from cindergrid.operators import grid as g, joins, windows
 from cindergrid.operators.aggregates import strikes_by_cellday
 from cindergrid.operators.sampling import shuffled_batches
 from cindergrid.plans.features import drop_leap_days
+from cindergrid.session import shared_folder
+from cindergrid.streaming.codes import fire_weather_stream, last_codes, write_new_days
 
 OVER = "OVER (PARTITION BY cell_r, cell_c ORDER BY date"
 
@@ -310,3 +312,20 @@ def fire_weather_dry_start(spark, d):
     """Start codes of a season from the days since the last wet day."""
     masked = windows.fire_season_mask(weather_days(spark, d))
     return rounded(fire_weather(masked, season="in_season", dry_start=True).select(*g.CELL_DAY, *SIX), *SIX, digits=5)
+
+
+@query("fire_weather_stream", _fire_weather_sql(True, True) + " WHERE day(date) > 12")
+def fire_weather_stream_query(spark, d):
+    """The first days by the batch fold, the others as a stream that goes on from it and is stopped and taken up once."""
+    masked, path = windows.fire_season_mask(weather_days(spark, d)), shared_folder(spark)
+    day, schema = F.dayofmonth("date"), masked.schema
+    masked.write.parquet(f"{path}/all")
+    days = spark.read.parquet(f"{path}/all")
+    initial = last_codes(fire_weather(days.where(day <= 12), season="in_season", dry_start=True))
+    initial.write.parquet(f"{path}/state")
+    for new in (day.between(13, 20), day > 20):
+        days.where(new).write.mode("append").parquet(f"{path}/in")
+        stream = fire_weather_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), season="in_season", dry_start=True,
+                                     initial=spark.read.parquet(f"{path}/state"))
+        write_new_days(stream, f"{path}/out", f"{path}/progress").awaitTermination()
+    return rounded(spark.read.schema(stream.schema).parquet(f"{path}/out").select(*g.CELL_DAY, *SIX), *SIX, digits=5)

@@ -35,7 +35,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _day_terms() -> dict[str, Column]:
+def day_terms() -> dict[str, Column]:
     """What one day's weather contributes, independent of the codes of the day before."""
     t, h, w, p, month = (F.col(c) for c in (*INPUTS, "_month"))
     r = p - 0.5
@@ -142,8 +142,8 @@ def fire_weather(df: DataFrame, by: Sequence[str] = tuple(CELL), season: str | N
     duff, deep = (F.coalesce(factor * F.col("_dry"), F.lit(start)) if dry_start else F.lit(start) for factor, start in zip(dry_factors, starts[1:]))
     first = F.struct(F.lit(starts[0]).alias("f"), duff.cast("double").alias("p"), deep.cast("double").alias("d"))
     weather = df.withColumns({"_month": F.month("date"), "_year": F.year("date")}).withColumns(
-        {f"_t_{k}": v for k, v in _day_terms().items()})
-    terms = F.struct(*[F.col(f"_t_{k}").alias(k) for k in _day_terms()])
+        {f"_t_{k}": v for k, v in day_terms().items()})
+    terms = F.struct(*[F.col(f"_t_{k}").alias(k) for k in day_terms()])
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in INPUTS])
     # 0 off season, 1 a day to compute, NULL a day without complete weather.
     on = F.when(F.coalesce(F.col(season), F.lit(0)) == 0, 0).when(known, 1) if season else F.when(known, 1)
