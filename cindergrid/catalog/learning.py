@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cindergrid.catalog.registry import CELLDAYS_SQL, VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
-from cindergrid.operators import models, sampling
+from cindergrid.operators import boosting, models, sampling
 from cindergrid.operators.metrics import confusion, evaluate_scores
 from cindergrid.operators.neighbors import knn_classify, nearest
 from cindergrid.plans.training import compare_models, samples, score_days
@@ -227,6 +227,12 @@ def boosted_margin(spark, d):
     return _held_predictions(spark, d, models.boosted())
 
 
+@query("second_order_margin", HELD_SQL)
+def second_order_margin(spark, d):
+    """Newton boosting, 30 trees at the default rate and depth."""
+    return _held_predictions(spark, d, boosting.SecondOrder(rounds=30))
+
+
 @query("perceptron_margin", HELD_SQL)
 def perceptron_margin(spark, d):
     return _held_predictions(spark, d, models.perceptron())
