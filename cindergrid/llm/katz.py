@@ -109,10 +109,19 @@ class Block:
 
 
 def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by part, and where each part begins; within a part the given order stays."""
-    part = (keys >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(part.astype(np.int32), kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    """Ascending order, and where each part begins: parts are equal ranges of the keys, so neighbours differ little."""
+    order = np.argsort(keys, kind="stable")
+    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return order, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences; the leading bytes of most are zero."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def from_steps(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
 def questions(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
@@ -120,7 +129,7 @@ def questions(block: int, keys: np.ndarray, values: list[np.ndarray], parts: int
     keys, values = keys[order], [v[order] for v in values]
     full = [p for p in range(parts) if at[p + 1] > at[p]]
     return pa.record_batch([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
-                            arrays.binary([pack(keys[at[p] : at[p + 1]]) for p in full]),
+                            arrays.binary([steps(keys[at[p] : at[p + 1]]) for p in full]),
                             pa.array([[pack(v[at[p] : at[p + 1]]) for v in values] for p in full], pa.list_(pa.binary()))],
                            ["part", "block", "keys", "values"])
 
@@ -134,7 +143,7 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
     name. Rows of block -1 have counts of counts: numbers of keys with total 1, 2, ..., then of keys with any, then the sum."""
 
     def add_up(part, rows):
-        keys = [unpack(k) for _, k, _ in rows]
+        keys = [from_steps(k) for _, k, _ in rows]
         sizes = [len(k) for k in keys]
         every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = [np.bincount(which, np.concatenate([unpack(v[j]) for _, _, v in rows]), len(every)) for j in range(len(rows[0][2]))]
