@@ -138,9 +138,9 @@ ASKED = "part int, block long, keys binary, values array<binary>"
 ANSWERED = "block long, part int, totals array<binary>, owned binary"
 
 
-def totals(asked: DataFrame, parts: int) -> DataFrame:
+def totals(asked: DataFrame, parts: int, finish=None) -> DataFrame:
     """For every question the totals of its keys over all blocks, in its order, and which keys this block is the first to
-    name. Rows of block -1 have counts of counts: numbers of keys with total 1, 2, ..., then of keys with any, then the sum."""
+    name. ``finish`` makes the answers from keys and totals, where they are not the totals themselves. Rows of block -1 have counts of counts: numbers of keys with total 1, 2, ..., then of keys with any, then the sum."""
 
     def add_up(part, rows):
         keys = [from_steps(k) for _, k, _ in rows]
@@ -150,7 +150,8 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
         owns = np.zeros(len(which), np.uint8)
         owns[first] = 1
         blocks, out, owned, at = [], [], [], 0
-        whole = [s.astype(np.int64) if np.all(s == np.rint(s)) else s for s in sums]
+        answers = sums if finish is None else finish(every, sums)
+        whole = [s.astype(np.int64) if np.all(s == np.rint(s)) else s for s in answers]
         for (block, _, _), n in zip(rows, sizes):
             blocks.append(block)
             out.append([pack(s[which[at : at + n]]) for s in whole])
@@ -260,7 +261,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     def counted(row):
         b = Block(row)
         b.pairs()
-        b.c = aligned(row["round0"], b.words, parts)[0][0].astype(np.int64)
+        (c,), b.first = aligned(row["round0"], b.words, parts)
+        b.c = c.astype(np.int64)
         (r,), b.owns = aligned(row["round1"], b.pair_keys, parts)
         b.r = r.astype(np.int64)
         b.kept = b.r >= least
@@ -274,21 +276,28 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
                 mine = b.kept & (b.owns > 0)
                 n = len(b.words) + 1
                 send = [np.bincount(b.left[mine], v[mine], n) for v in (b.mass, chances(b.c[b.right]))]
-                send.append(np.where(np.arange(n) == n - 1, b.trains.sum(), 0).astype(float))
+                # One block names each context's count; the start's is the number of training texts.
+                send.append(np.append(np.where(b.first > 0, b.c, 0), b.trains.sum()).astype(float))
                 yield questions(row["block"], b.contexts(), send, parts)
                 arrays.give_back()
 
-    contexts = cut_lineage(totals(known(words, pairs).mapInArrow(ask_contexts, ASKED), parts))
+    def back_off(keys, sums):
+        """Weight of the lower order, and whether the context gives away a pseudo-count."""
+        mass, lower, c = sums
+        more = (mass > 0) & (c - mass < 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [np.where(mass > 0, (1 - mass / (c + more)) / (1 - lower), 1.0), more.astype(float)]
+
+    contexts = cut_lineage(totals(known(words, pairs).mapInArrow(ask_contexts, ASKED), parts, back_off))
 
     def evaluate(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = counted(row)
-                mass, lower, starts = aligned(row["round2"], b.contexts(), parts)[0]
-                c = np.append(b.c, int(starts[-1])).astype(float)
-                c += (mass > 0) & (c - mass < 1e-9)
+                alpha, more = aligned(row["round2"], b.contexts(), parts)[0]
+                # A text's end occurs once a text, as its start does.
+                c = np.append(b.c, b.c[np.searchsorted(b.words, END)]) + more
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    alpha = np.where(mass > 0, (1 - mass / c) / (1 - lower), 1.0)
                     seen = b.mass / c[b.left]
                 word = np.where(b.c > 0, chances(b.c), unknown)
                 pair = np.log10(np.where(b.kept, seen, alpha[b.left] * word[b.right]))
