@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cindergrid.catalog.registry import CELLDAYS_SQL, VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
-from cindergrid.operators import boosting, models, sampling
+from cindergrid.operators import boosting, gram, models, sampling
 from cindergrid.operators.metrics import confusion, evaluate_scores
 from cindergrid.operators.neighbors import knn_classify, nearest
 from cindergrid.plans.training import compare_models, samples, score_days
@@ -159,18 +159,56 @@ def polynomial(spark, d):
     return rounded(models.coefficients(fitted, ["x", "x2", "x3"], spark), "value", digits=2)
 
 
-@query("polynomial_pair")
-def polynomial_pair(spark, d):
-    """Degree 3 over two features: nine terms and the intercept."""
-    fitted = models.linear(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", degree=3)
-    return models.coefficients(fitted, [f"term_{i}" for i in range(9)], spark)
+def _normal_sql(terms, source, label):
+    """Least squares on ``terms`` by elimination: a row of the matrix is cleared of one column in each step."""
+    n = len(terms)
+    rows = ", ".join("[" + ", ".join([f"covar_pop(t{i}, t{j})" for j in range(n)] + [f"covar_pop(t{i}, y)"]) + "]" for i in range(n))
+    return f"""WITH RECURSIVE t AS (SELECT {', '.join(f'({e}) AS t{i}' for i, e in enumerate(terms))}, {label} AS y FROM {source}),
+steps AS (
+  SELECT 1 AS k, [{rows}] AS m FROM t
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(m[k], lambda v, j: r[j] - r[k] * (v / m[k][k])) END) FROM steps WHERE k <= {n}),
+done AS (SELECT m FROM steps WHERE k = {n + 1})
+SELECT * FROM (SELECT 'term_' || i AS term, round(m[i + 1][{n + 1}], 1) AS value FROM done, (SELECT unnest(range({n})) AS i)
+UNION ALL SELECT 'intercept', (SELECT round(avg(y){''.join(f' - any_value(m[{i + 1}][{n + 1}]) * avg(t{i})' for i in range(n))}, 1) FROM t, done))"""
 
 
-@query("ridge")
+@query("polynomial_pair", _normal_sql(["a", "a*a", "a*a*a", "b", "a*b", "a*a*b", "b*b", "a*b*b", "b*b*b"],
+                                      "(SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_extendedprice FROM lineitem)", "l_extendedprice"))
+def polynomial_pair(spark, d):
+    """Degree 3 over two features: nine terms and the intercept."""
+    li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), "l_extendedprice")
+    fitted = gram.least_squares(li, ["a", "b"], "l_extendedprice", degree=3)
+    return rounded(models.coefficients(fitted, [f"term_{i}" for i in range(9)], spark), "value", digits=1)
+
+
+#: Cramer's rule for the three features, every penalty and every fold left out (or none: fold -1); errors on the rows themselves.
+RIDGE_SQL = f"""
+WITH t AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y,
+    {key_hash_sql("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")} % 5 AS fold FROM lineitem),
+left_out AS (SELECT unnest(range(-1, 5)) AS f),
+m AS (SELECT f, count(*) * var_pop(a) AS aa0, count(*) * var_pop(b) AS bb0, count(*) * var_pop(c) AS cc0, count(*) * covar_pop(a, b) AS ab,
+    count(*) * covar_pop(a, c) AS ac, count(*) * covar_pop(b, c) AS bc, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_,
+    count(*) * covar_pop(c, y) AS cy, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM t JOIN left_out ON t.fold <> f GROUP BY f),
+p AS (SELECT m.*, alpha, aa0 + alpha AS aa, bb0 + alpha AS bb, cc0 + alpha AS cc FROM m,
+    (SELECT unnest([{", ".join(f"1e{e}" for e in range(-6, 7))}]::DOUBLE[]) AS alpha)),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM p),
+k AS (SELECT f, alpha, ma, mb, mc, my, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS wa,
+    (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS wb,
+    (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS wc FROM d),
+errors AS (SELECT alpha, f, sqrt(avg((y - my - wa * (a - ma) - wb * (b - mb) - wc * (c - mc)) ** 2)) AS e FROM k JOIN t ON t.fold = f GROUP BY 1, 2),
+best AS (SELECT alpha FROM errors GROUP BY 1 ORDER BY avg(e), alpha LIMIT 1),
+w AS (SELECT * FROM k WHERE f = -1 AND alpha = (SELECT alpha FROM best))
+SELECT 'l_quantity' AS term, round(wa, 3) AS value FROM w UNION ALL SELECT 'l_discount', round(wb, 3) FROM w
+UNION ALL SELECT 'l_tax', round(wc, 3) FROM w UNION ALL SELECT 'intercept', round(my - wa * ma - wb * mb - wc * mc, 3) FROM w"""
+
+
+@query("ridge", RIDGE_SQL)
 def ridge(spark, d):
     names = ["l_quantity", "l_discount", "l_tax"]
-    fitted = models.ridge(table(spark, d, "lineitem"), names, "l_extendedprice", KEYS)
-    return models.coefficients(fitted, names, spark)
+    fitted = gram.ridge(table(spark, d, "lineitem"), names, "l_extendedprice", KEYS)
+    return rounded(models.coefficients(fitted, names, spark), "value", digits=3)
 
 
 @query("model_report")

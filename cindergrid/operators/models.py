@@ -9,21 +9,16 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.aggregates import with_class_weight
+from cindergrid.operators.gram import ridge  # noqa: F401  a regressor like the others here
 from cindergrid.operators.metrics import model_report
 from cindergrid.operators.sampling import with_fold
 
-# Penalties tried by ridge regression.
-RIDGE_ALPHAS = [10.0**e for e in range(-6, 7)]
-
-
 def as_features(df: DataFrame, columns: Sequence[str] | str, name: str = "features") -> DataFrame:
     """A vector column from numeric columns, or from one array column."""
     if isinstance(columns, str):
@@ -141,26 +136,10 @@ def linear(df: DataFrame, features: Sequence[str] | str, label: str, degree: int
     return Pipeline(stages=[expand, LinearRegression(labelCol=label, solver="normal")]).fit(data)
 
 
-def ridge(df: DataFrame, features: Sequence[str] | str, label: str, keys: Sequence[str],
-          alphas: Sequence[float] = tuple(RIDGE_ALPHAS), folds: int = 5, seed: int = 42) -> Model:
-    """Ridge regression with the penalty chosen by cross-validation.
-
-    ``alphas`` multiply the summed squared error, so each is divided by the number of rows.
-    """
-    data = with_fold(as_features(df, features), keys, folds, seed).persist()
-    n = data.count()
-    base = LinearRegression(labelCol=label, solver="normal", standardization=False)
-    grid = ParamGridBuilder().addGrid(base.regParam, [a / n for a in alphas]).build()
-    cv = CrossValidator(estimator=base, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                        evaluator=RegressionEvaluator(labelCol=label), parallelism=4)
-    try:
-        return cv.fit(data).bestModel
-    finally:
-        data.unpersist()
-
-
 def coefficients(model: Model, names: Sequence[str], spark) -> DataFrame:
     """``term, value`` of a linear model, with its intercept."""
     fitted = model.stages[-1] if hasattr(model, "stages") else model
-    rows = [("intercept", float(fitted.intercept)), *zip(names, map(float, fitted.coefficients.toArray()))]
+    values = fitted.coefficients
+    values = values.toArray() if hasattr(values, "toArray") else values
+    rows = [("intercept", float(fitted.intercept)), *zip(names, map(float, values))]
     return spark.createDataFrame(rows, "term string, value double")
