@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,17 +12,46 @@ from cindergrid.operators.grid import CELL_DAY, period_key
 ROWS_PER_FILE = 700_000
 
 
-def write_periods(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_periods(df: DataFrame, path: str, fmt: str = "parquet", replace: str = "months") -> None:
     """One ``period=yyyymm`` directory per month with data.
 
-    Rows are gathered by period so that files are few; a month with very many rows is split over
+    Only the months in ``df`` are replaced, all at once when the write has succeeded; ``replace="all"`` empties the
+    table first. Rows are gathered by period so that files are few; a month with very many rows is split over
     several tasks and files by size.
     """
+    if replace not in ("months", "all"):
+        raise ValueError("replace is 'months' or 'all'")
     out = df.withColumn("period", period_key()).hint("rebalance", "period")
-    writer = out.write.mode("overwrite").partitionBy("period")
+    mode = "dynamic" if replace == "months" else "static"
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("period")
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def write_months(df: DataFrame, base: str, prefix: str = "raw_") -> None:
+    """One CSV file ``<prefix>yyyymm.csv`` per month with data, as ``readers.read_months`` takes them.
+
+    All months are written aside first. Only when every task has succeeded do the new files take the place of the old
+    ones of their months, each in one step; files of other months aren't touched. A month is one file of one task, written as
+    it streams by; for months too large for that use :func:`write_periods`.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files, aside = jvm.org.apache.hadoop.fs, f"{base.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    root = files.Path(base)
+    store, at = root.getFileSystem(conf), files.Path(aside)
+    try:
+        df.withColumn("period", period_key()).repartition("period").write.partitionBy("period").option("header", "true").csv(aside)
+        context = files.FileContext.getFileContext(store.getUri(), conf)
+        over = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+        over[0] = files.Options.Rename.OVERWRITE
+        for month in store.globStatus(files.Path(f"{aside}/period=*")) or []:
+            (part,) = store.globStatus(files.Path(month.getPath(), "part-*"))
+            name = f"{prefix}{month.getPath().getName().removeprefix('period=')}.csv"
+            context.rename(part.getPath(), store.makeQualified(files.Path(root, name)), over)
+    finally:
+        store.delete(at, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", sort: bool = False) -> None:
     """A processed, scored or report table; ``sort`` orders each file by cell-day."""
     out = df.sortWithinPartitions(*[c for c in CELL_DAY if c in df.columns]) if sort else df

@@ -131,3 +131,49 @@ def test_shared_folder_follows_the_setting(spark):
     before = len(list(Path(base).iterdir()))
     assert cut_lineage(spark.range(5)).count() == 5
     assert len(list(Path(base).iterdir())) == before + 1
+
+
+def month_rows(spark, *months, price=1.0):
+    return spark.createDataFrame([(f"2020-{m:02d}-{d:02d}", price) for m in months for d in (1, 15)], "date string, price double").withColumn("date", F.to_date("date"))
+
+
+def stamps(folder):
+    return {str(p.relative_to(folder)): (p.stat().st_mtime_ns, p.read_bytes()) for p in folder.rglob("*") if p.suffix in (".csv", ".parquet") and not p.name.startswith((".", "_"))}
+
+
+@pytest.mark.parametrize("write, month", [(sinks.write_months, "raw_{}.csv"), (sinks.write_periods, "period={}/")])
+def test_one_month_is_replaced_alone(spark, tmp_path, write, month):
+    write(month_rows(spark, 1, 2, 3), str(tmp_path))
+    before = stamps(tmp_path)
+    write(month_rows(spark, 2, 4, price=5.0), str(tmp_path))
+    after = stamps(tmp_path)
+    for m, same in (("202001", True), ("202002", False), ("202003", True)):
+        old, new = ({k: v for k, v in s.items() if k.startswith(month.format(m))} for s in (before, after))
+        assert old and new and (old == new) is same
+    assert any(k.startswith(month.format("202004")) for k in after)
+
+
+@pytest.mark.parametrize("write", [sinks.write_months, sinks.write_periods])
+def test_a_failed_rewrite_leaves_all_months(spark, tmp_path, write):
+    write(month_rows(spark, 1, 2), str(tmp_path))
+    before = stamps(tmp_path)
+    bad = month_rows(spark, 2, 3).withColumn("price", F.when(F.col("date") == "2020-03-15", F.raise_error(F.lit("lost")).cast("double")).otherwise(9.0))
+    with pytest.raises(Exception, match="lost"):
+        write(bad, str(tmp_path))
+    assert stamps(tmp_path) == before
+
+
+def test_all_periods_are_replaced_when_asked(spark, tmp_path):
+    sinks.write_periods(month_rows(spark, 1, 2), str(tmp_path / "t"))
+    sinks.write_periods(month_rows(spark, 2), str(tmp_path / "t"), replace="all")
+    assert {r.period for r in spark.read.parquet(str(tmp_path / "t")).select("period").distinct().collect()} == {202002}
+    with pytest.raises(ValueError, match="replace"):
+        sinks.write_periods(month_rows(spark, 1), str(tmp_path / "t"), replace="some")
+
+
+def test_monthly_files_are_read_back(spark, tmp_path):
+    sinks.write_months(month_rows(spark, 1, 3), str(tmp_path))
+    got = readers.read_months(spark, str(tmp_path), [2020], schema="date date, price double")
+    assert sorted((str(r.date), r.price) for r in got.collect()) == [("2020-01-01", 1.0), ("2020-01-15", 1.0), ("2020-03-01", 1.0), ("2020-03-15", 1.0)]
+    with pytest.raises(FileNotFoundError):
+        readers.read_months(spark, str(tmp_path), [2020], schema="date date, price double", missing="raise")
