@@ -90,7 +90,7 @@ def with_image(df: DataFrame, value: str, name: str = "x") -> DataFrame:
     In steps, so that the logarithm and the powers are computed once a row.
     """
     x, size = F.col(value), F.col("_size")
-    guess = F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(-1022))
+    guess = F.least(F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(-1022)), F.lit(1023))
     out = df.withColumn("_size", F.least(F.abs(x), F.lit(1.7976931348623157e308))).withColumn("_e", guess)
     out = out.withColumn("_p", F.pow(F.lit(2.0), F.col("_e")))
     # The logarithm may be off next to a power of two.
