@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from cindergrid.catalog.registry import CELLDAYS_SQL, VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
-from cindergrid.operators import boosting, gram, models, sampling
+from cindergrid.operators import boosting, gram, models, sampling, stages
 from cindergrid.operators.metrics import confusion, evaluate_scores
 from cindergrid.operators.neighbors import knn_classify, nearest
+from cindergrid.session import shared_folder
 from cindergrid.plans.training import compare_models, samples, score_days
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -211,6 +213,31 @@ def ridge(spark, d):
     return rounded(models.coefficients(fitted, names, spark), "value", digits=3)
 
 
+@query("stored_pipeline", """
+WITH o AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_totalprice END AS price, o_custkey::DOUBLE AS custkey, o_orderstatus,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS label FROM orders),
+early AS (SELECT * FROM o WHERE year(o_orderdate) < 1999),
+m AS (SELECT avg(price) AS mean FROM early),
+f AS (SELECT avg(coalesce(price, mean)) AS mu, stddev_pop(coalesce(price, mean)) AS sd, min(custkey) AS lo, max(custkey) - min(custkey) AS width,
+    count(*) / (2.0 * count(*) FILTER (label = 1)) AS w1, count(*) / (2.0 * count(*) FILTER (label = 0)) AS w0 FROM early, m)
+SELECT o_orderkey, round((coalesce(price, mean) - mu) / sd, 6) + 0.0 AS price, round((custkey - lo) / width, 6) AS custkey,
+  CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P",
+  round(CASE WHEN label = 1 THEN w1 ELSE w0 END, 6) AS weight
+FROM o, m, f WHERE year(o_orderdate) >= 1999""")
+def stored_pipeline(spark, d):
+    """Fitted on the early orders, saved, loaded, and applied to the later ones."""
+    key = F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.year("o_orderdate").alias("year"), F.when(key % 10 != 0, F.col("o_totalprice")).alias("price"), key.cast("double").alias("custkey"),
+        "o_orderstatus", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("label"))
+    pipeline = Pipeline(stages=[stages.MeanImputer(["price"]), stages.StandardScaling(["price"]), stages.RangeScaling(["custkey"]),
+                                stages.CategoryEncoder(["o_orderstatus"]), stages.ClassWeighting(["label"])])
+    path = shared_folder(spark)
+    pipeline.fit(rows.filter("year < 1999")).save(path)
+    later = PipelineModel.load(path).transform(rows.filter("year >= 1999"))
+    return rounded(later.select("o_orderkey", "price", "custkey", "o_orderstatus_O", "o_orderstatus_P", "weight"), "price", "custkey", "weight")
+
+
 @query("model_report")
 def model_report(spark, d):
     """Cross-validated and held-out metrics of a regression, the neighbour classifier, a forest and boosted trees, on

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
-TABLES = ["customer", "orders", "lineitem", "events", "embeddings", "labels"]
+TABLES = ["customer", "orders", "lineitem", "events", "embeddings", "labels", "documents", "pages", "benchmark", "conversations"]
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables are absent")
 
 
