@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.catalog.registry import CELLDAYS_SQL, VECTORS_SQL, WIDE, celldays, key_hash_sql, query, rounded, table, vectors
 from cindergrid.operators import boosting, gram, models, sampling, stages
+from cindergrid.operators.forest import nearest_forest
 from cindergrid.operators.metrics import confusion, evaluate_scores
 from cindergrid.operators.neighbors import knn_classify, nearest
 from cindergrid.session import shared_folder
@@ -28,6 +29,25 @@ def nearest_rows(spark, d):
     return rounded(nearest(v, v, 5, exclude_self=True), "distance")
 
 
+@query("forest_recall", """
+WITH asked AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 20 = 0), held AS (SELECT count(*) AS n FROM embeddings)
+SELECT asked.n AS queries, asked.n * least(10, held.n - 1) AS pairs, true AS ranks_complete, true AS distances_exact,
+       true AS recall_095 FROM asked, held""")
+def forest_recall(spark, d):
+    """What the forest finds of the ten nearest rows of every twentieth vector, against the exact search."""
+    v = vectors(spark, d)
+    asked = v.filter("id % 20 = 0")
+    exact = nearest(asked, v, 10, exclude_self=True).select("query_id", "neighbour_id", F.col("distance").alias("exact"))
+    found = nearest_forest(asked, v, 10, exclude_self=True, leaves=4)
+    both = exact.join(found, ["query_id", "neighbour_id"], "full")
+    hit = F.count_if(F.col("exact").isNotNull() & F.col("distance").isNotNull())
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count("exact").alias("pairs"),
+        (F.count("distance") == F.count("exact")).alias("ranks_complete"),
+        F.coalesce(F.bool_and(F.abs(F.col("distance") - F.col("exact")) < 1e-9), F.lit(True)).alias("distances_exact"),
+        (hit >= 0.95 * F.count("exact")).alias("recall_095"))
+
+
 @query("knn", f"""
 WITH {SPLIT_SQL}, pairs AS (
   SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vector, b.vector), b.id) AS rank

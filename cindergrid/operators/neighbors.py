@@ -59,24 +59,38 @@ def _nearest_in_block(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
+def prepared(queries: DataFrame, base: DataFrame, k: int, id: str, vector: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries ``id, v``; base rows ``id, v`` without copies that can't be among the ``k`` nearest; distinct vectors asked
+    for as ``q, v``. The last two are written, because they are read several times."""
+    known = F.col("id").isNotNull() & F.col("v").isNotNull()
+    queries, points = (df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(known)
+                       for df in (queries, base))
+    points = (points.withColumn("_copy", F.row_number().over(Window.partitionBy("v").orderBy("id")))
+              .filter(F.col("_copy") <= k).drop("_copy"))
+    return queries, cut_lineage(points), cut_lineage(queries.groupBy("v").agg(F.min("id").alias("q")))
+
+
+def give_back(queries: DataFrame, asked: DataFrame, best: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The result of the search for each distinct vector, ``q, neighbour_id, d2, rank``, for every query with that vector."""
+    owners = queries.join(asked, "v").select("q", F.col("id").alias("query_id"))
+    out = owners.join(best, "q").select("query_id", "neighbour_id", F.sqrt("d2").alias("distance"), "rank")
+    if exclude_self:
+        out = out.filter("query_id <> neighbour_id")
+        mine = Window.partitionBy("query_id").orderBy("rank")
+        out = out.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.col("rank").cast("int"))
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector: str = "vector",
             exclude_self: bool = False, block: int = BLOCK, max_pivots: int = MAX_PIVOTS,
             probes: int | None = None) -> DataFrame:
     """``query_id, neighbour_id, distance, rank``: the ``k`` nearest base rows of each query row.
 
     Euclidean distance, ties by neighbour id. ``exclude_self`` leaves out the row with the query's own id.
-    The result is exact unless ``probes`` is given, see :func:`nearest_approximate`.
+    The result is exact unless ``probes`` is given, see :func:`nearest_approximate`. Null vectors and ids are left out.
     """
     kk = k + 1 if exclude_self else k
-    as_vector = F.col(vector).cast("array<double>").alias("v")
-    by_vector = Window.partitionBy("v")
-    queries = queries.select(F.col(id).cast("bigint").alias("id"), as_vector)
-    points = (base.select(F.col(id).cast("bigint").alias("id"), as_vector)
-              .withColumn("_copy", F.row_number().over(by_vector.orderBy("id")))
-              .filter(F.col("_copy") <= kk).drop("_copy"))
-    # Both are read several times below: keep them as tables instead of running their plans again.
-    points, asked = cut_lineage(points), cut_lineage(queries.groupBy("v").agg(F.min("id").alias("q")))
-
+    queries, points, asked = prepared(queries, base, kk, id, vector)
     n_points, n_asked = points.count(), asked.count()
     if n_points == 0:
         raise ValueError("no base rows")
@@ -173,14 +187,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector:
     everywhere = cells.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), (subs - 1).cast("bigint"))))
     best = search(everywhere, n)
 
-    # Queries with equal vectors share one search; give the result back to each of them.
-    owners = queries.join(asked, "v").select("q", F.col("id").alias("query_id"))
-    out = owners.join(best, "q").select("query_id", "neighbour_id", F.sqrt("d2").alias("distance"), "rank")
-    if exclude_self:
-        out = out.filter("query_id <> neighbour_id")
-        mine = Window.partitionBy("query_id").orderBy("rank")
-        out = out.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
-    return out.withColumn("rank", F.col("rank").cast("int"))
+    return give_back(queries, asked, best, k, exclude_self)
 
 
 def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, id: str = "id", vector: str = "vector",
@@ -198,12 +205,13 @@ def nearest_approximate(queries: DataFrame, base: DataFrame, k: int, id: str = "
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, k: int = 5, id: str = "id", vector: str = "vector",
-                 label: str = "label", weights: str = "uniform", **options) -> DataFrame:
+                 label: str = "label", weights: str = "uniform", search=nearest, **options) -> DataFrame:
     """``id, probability, prediction`` for 0/1 labels: vote of the ``k`` nearest base rows.
 
-    ``weights='distance'`` weighs a vote by inverse distance; exact matches then decide alone.
+    ``weights='distance'`` weighs a vote by inverse distance; exact matches then decide alone. ``search`` finds the
+    neighbours, for example ``forest.nearest_forest`` in many dimensions.
     """
-    found = nearest(queries, base, k, id, vector, **options)
+    found = search(queries, base, k, id, vector, **options)
     votes = found.join(base.select(F.col(id).alias("neighbour_id"), F.col(label).alias("_y")), "neighbour_id")
     if weights == "distance":
         exact = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)).over(Window.partitionBy("query_id"))

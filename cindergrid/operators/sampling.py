@@ -65,12 +65,13 @@ def class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
 
 
 def smote(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "label", k: int = 5,
-          seed: int = 42, **options) -> DataFrame:
+          seed: int = 42, search=nearest, **options) -> DataFrame:
     """Balance two classes with synthetic minority rows: ``id, copy, vector, label``.
 
     Each synthetic row lies between a minority row and one of its ``k`` nearest minority rows. Every
     minority row gives the same number of them, and the rows first in hash order give one more until
-    the classes are equal. Original rows have ``copy`` 0, synthetic ones 1, 2, ... per base row.
+    the classes are equal. Original rows have ``copy`` 0, synthetic ones 1, 2, ... per base row. ``search`` finds the
+    neighbours; it must give every row ``k`` of them.
     """
     zeros, ones = class_sizes(df, label)
     minority, few, many = (1, ones, zeros) if ones < zeros else (0, zeros, ones)
@@ -91,7 +92,7 @@ def smote(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "l
         "_pick": (key_hash([id, "copy", F.lit("pick")], seed) % k + 1).cast("int"),
         "_step": key_hash([id, "copy", F.lit("step")], seed) / F.lit(2.0**32),
     }).select(id, "copy", "_pick", "_step", F.col(vector).alias("_from"))
-    pairs = nearest(small, small, k, id, vector, exclude_self=True, **options)
+    pairs = search(small, small, k, id, vector, exclude_self=True, **options)
     to = small.select(F.col(id).alias("neighbour_id"), F.col(vector).alias("_to"))
     made = (base.join(pairs.select(F.col("query_id").alias(id), F.col("rank").alias("_pick"), "neighbour_id"),
                       [id, "_pick"]).join(to, "neighbour_id"))
@@ -101,9 +102,9 @@ def smote(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "l
 
 
 def edited_neighbours(df: DataFrame, id: str = "id", vector: str = "vector", label: str = "label",
-                      k: int = 3, **options) -> DataFrame:
-    """Drop rows whose ``k`` nearest other rows are not all of the row's own class; ``id`` is unique."""
-    found = nearest(df, df, k, id, vector, exclude_self=True, **options)
+                      k: int = 3, search=nearest, **options) -> DataFrame:
+    """Drop rows whose ``k`` nearest other rows, found by ``search``, are not all of the row's own class; ``id`` is unique."""
+    found = search(df, df, k, id, vector, exclude_self=True, **options)
     other = df.select(F.col(id).alias("neighbour_id"), F.col(label).alias("_y"))
     own = df.select(F.col(id).alias("query_id"), F.col(label).alias("_mine"))
     bad = (found.join(other, "neighbour_id").join(own, "query_id").filter(F.col("_y") != F.col("_mine"))
