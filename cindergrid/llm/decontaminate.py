@@ -32,10 +32,10 @@ from cindergrid.llm import arrays, sharing
 RADIUS = 11
 #: Bytes of benchmark text searched in one pass over the documents.
 BLOCK = 1 << 20
-#: Entry of a block value that is near to several items; others are the item's place, from 1.
-SEVERAL = 255
 #: Words whose votes are held at once.
 VOTES = 32768
+#: Candidates of windows that are compared at once; one window never has more than the items of its size.
+PIECE = 1 << 20
 
 
 def _near() -> np.ndarray:
@@ -43,6 +43,37 @@ def _near() -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(RADIUS // 4 + 1) for c in combinations(range(16), k)], np.uint16)
 
 
+def _slots(prints: np.ndarray, blocks: int, near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the first ``blocks`` blocks of 16 bits the items near to every block value: the items of value x are
+    ``items[ends[x] : ends[x + 1]]``; ``held`` tells values that have any."""
+    out = []
+    for part in prints.view(np.uint16).reshape(-1, 4).T[:blocks]:
+        at = (part[:, None] ^ near).ravel()
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange((1 << 16) + 1))
+        out.append((ends, (order // len(near)).astype(np.int32), ends[1:] > ends[:-1]))
+    return out
+
+
+def _candidates(slots, found: np.ndarray):
+    """Windows and items that share a block value, in pieces of about ``PIECE`` candidates."""
+    parts = found.view(np.uint16).reshape(-1, 4)
+    some = np.flatnonzero(sum(held.take(parts[:, b]) for b, (_, _, held) in enumerate(slots)))
+    low = [ends[parts[some, b]] for b, (ends, _, _) in enumerate(slots)]
+    many = [ends[parts[some, b].astype(np.int64) + 1] - low[b] for b, (ends, _, _) in enumerate(slots)]
+    before = np.concatenate([[0], np.cumsum(sum(many))])
+    a = 0
+    while a < len(some):
+        z = max(a + 1, int(np.searchsorted(before, before[a] + PIECE, side="right")) - 1)
+        which, item = [], []
+        for (_, items, _), start, n in zip(slots, low, many):
+            start, n = start[a:z], n[a:z]
+            which.append(np.repeat(some[a:z], n))
+            item.append(items[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)])
+        yield np.concatenate(which), np.concatenate(item)
+        a = z
+
+
 def votes(h: np.ndarray, wide: bool) -> np.ndarray:
     """Running sums of the bits of all two-word shingles of the words ``h``, 64 counters side by side in one row of 64-bit
     integers. Carries between counters cancel in differences, as long as a window's counts fit a counter."""
@@ -136,12 +167,9 @@ class Index:
             # One word has no two-word shingle; its own hash stands for it.
             prints = np.array([fingerprint(votes(h[:m], m > 255), m)[0] if m > 1 else h[0] for _, h in same], np.uint64)
             whole = np.array([fingerprint(votes(h, len(h) > 255), len(h))[0] for _, h in same], np.uint64)
-            table = np.zeros((4, 1 << 16), np.uint8)
-            for i, p in enumerate(prints.view(np.uint16).reshape(-1, 4), 1):
-                for b in range(4):
-                    at = p[b] ^ near
-                    table[b, at] = np.where(table[b, at] == 0, min(i, SEVERAL), SEVERAL)
-            self.lengths[m] = same, prints, whole, table
+            # Items shorter than ``width`` match only windows equal to them: one block, looked up exactly, finds those.
+            slots = _slots(prints, 4, near) if m >= width else _slots(prints, 1, near[:1])
+            self.lengths[m] = same, prints, whole, slots
         self.longest = max(self.lengths, default=0)
         # Shorter items are one shingle: their matches are equal to them and have their fingerprint.
         self.items = [Item(i, h, width) for same, *_ in self.lengths.values() for i, h in same if len(h) >= width]
@@ -162,32 +190,22 @@ class Index:
         wide = self.longest > 255
         for at in range(0, len(h), VOTES):
             total = votes(h[at : at + VOTES + self.longest - 1], wide)
-            for m, (same, prints, _, table) in self.lengths.items():
+            for m, (same, prints, _, slots) in self.lengths.items():
                 if len(total) < m:
                     continue
                 found = fingerprint(total, m)[:VOTES] if m > 1 else h[at : at + VOTES].copy()
-                parts = found.view(np.uint16).reshape(-1, 4)
-                which, item = [], []
-                for b in range(4):
-                    near = table[b].take(parts[:, b], mode="wrap")
-                    some = np.flatnonzero(near)
-                    near = near[some].astype(np.int64) - 1
-                    which.append(some)
-                    item.append(near)
-                    if (near == SEVERAL - 1).any():
-                        many = some[near == SEVERAL - 1]
-                        which.append(np.repeat(many, len(same)))
-                        item.append(np.tile(np.arange(len(same)), len(many)))
-                        which[-2], item[-2] = some[near < SEVERAL - 1], near[near < SEVERAL - 1]
-                which, item = np.concatenate(which), np.concatenate(item)
-                far = np.bitwise_count(found[which] ^ prints[item])
-                close = far <= RADIUS
-                which, item = which[close][order := np.argsort(far[close], kind="stable")], item[close][order]
-                start = which + at
-                row = np.searchsorted(first, start, side="right") - 1
-                inside = start + m <= first[row + 1]
-                for r, i, s in zip(row[inside].tolist(), item[inside].tolist(), start[inside].tolist()):
-                    self._keep(best, r, same[i], h, s, min(len(same[i][1]), int(first[r + 1]) - s))
+                for which, item in _candidates(slots, found):
+                    far = np.bitwise_count(found[which] ^ prints[item])
+                    close = np.flatnonzero(far <= RADIUS)
+                    # A candidate that shares several block values is compared once.
+                    _, once = np.unique(which[close] * len(same) + item[close], return_index=True)
+                    close = close[once]
+                    close = close[np.argsort(far[close], kind="stable")]
+                    start, item = which[close] + at, item[close]
+                    row = np.searchsorted(first, start, side="right") - 1
+                    inside = start + m <= first[row + 1]
+                    for r, i, s in zip(row[inside].tolist(), item[inside].tolist(), start[inside].tolist()):
+                        self._keep(best, r, same[i], h, s, min(len(same[i][1]), int(first[r + 1]) - s))
         count = np.diff(first)
         for m, (same, _, whole, _) in self.lengths.items():
             for r in np.flatnonzero((count < m) & (count >= self.threshold * m - self.width) & (count > 0)):
