@@ -4,11 +4,11 @@ A text's set holds the hashes of its ``width``-word shingles (of all its words w
 have an empty set, resemble nothing and are classes and groups of their own). Equal sets collapse to one class first,
 so copies are never compared. Each class gets ``trees`` MinHash labels of ``deepest`` components. Classes that share
 the shortest allowed prefix of a label in some tree form the tries; all others are done. Within the tries, matched
-prefixes start at the full length and are shortened one component at a time until the recall, estimated from the
-verified links (each stands for one over its chance to be found), reaches ``target``.
+prefixes start at the full length and are shortened one component at a time until the chance to be found reaches
+``target`` in every hundredth of similarity that holds verified links.
 
 Verification is exact on whole sets and runs in blocks: each class has a home, the largest bucket it is in, cut into
-blocks of bounded volume; two blocks are compared when they share a bucket. Links leave a block pair as one count
+blocks of bounded volume and number; two blocks are compared when they share a bucket. Links leave a block pair as one count
 per class and a spanning forest, never as pairs, so a group of thousands of near copies costs no quadratic output.
 
 Null ids keep their class but can't stand for it; repeated rows count as copies; ties go to the smallest id.
@@ -85,9 +85,11 @@ def _links(a, b, threshold, same):
     column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
     owner, column = owner[column >= 0], column[column >= 0]
     common = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, int(shared.sum()), 16384):
-        part = (column >= at) & (column < at + 16384)
-        m = np.zeros((len(a) + len(b), 16384), np.float32)
+    # Columns of the dense matrix are as many as fit 64 MB, whatever the number of sets.
+    wide = max(1, min(16384, (1 << 24) // (len(a) + len(b))))
+    for at in range(0, int(shared.sum()), wide):
+        part = (column >= at) & (column < at + wide)
+        m = np.zeros((len(a) + len(b), wide), np.float32)
         m[owner[part], column[part] - at] = 1
         common += m[: len(a)] @ m[len(a):].T
     sizes = np.array([len(s) for s in a], float)[:, None] + np.array([len(s) for s in b], float)[None, :]
@@ -162,11 +164,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
-               trees: int = 32, deepest: int = 8, shortest: int = 6, target: float = 0.9995, volume: int = 1 << 17) -> DataFrame:
+               trees: int = 32, deepest: int = 8, shortest: int = 6, target: float = 0.9995, volume: int = 1 << 17, most: int = 2048) -> DataFrame:
     """One row per input row: ``id_col``, ``class_id`` (smallest id with the same set; null for empty sets),
     ``group_id`` (smallest id connected by links), ``n_links`` (other rows of similarity ``threshold`` or more).
 
-    ``volume`` bounds the shingles of a block. Empty tables give no rows."""
+    ``volume`` bounds the shingles and ``most`` the sets of a block, both on average. Empty tables give no rows."""
     spark = docs.sparkSession
     signed = cut_lineage(sign(docs, id_col, text_col, width, trees, deepest))
     classes = cut_lineage(signed.where("digest is not null").groupBy("digest").agg(
@@ -183,7 +185,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tries = cut_lineage(rooted.join(full, "bucket"))
 
     home = tries.groupBy("class").agg(F.max(F.struct("members", "bucket", "mass", "n")).alias("home"))
-    block = F.xxhash64("home.bucket", F.expr(f"pmod(xxhash64(class), cast(ceil(home.mass / {volume}) as bigint))"))
+    block = F.xxhash64("home.bucket", F.expr(f"pmod(xxhash64(class), cast(ceil(greatest(home.mass / {volume}, home.members / {most})) as bigint))"))
     home = cut_lineage(home.select("class", block.alias("block")))
     member = home.join(classes.select("class", "copies", "digest"), "class")
 
@@ -219,8 +221,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in found:
             seen = seen.unionByName(part)
         bins = seen.where("kind = 2").groupBy("a").agg(F.sum("n")).collect()  # at most 101 rows
-        weight = sum(n / float(chance(max(threshold, b / 100), trees, depth)) for b, n in bins)
-        if sum(n for _, n in bins) >= target * weight:
+        # Many links of high similarity in one hot group must not end the search for those near the threshold elsewhere.
+        if all(chance(max(threshold, b / 100), trees, depth) >= target for b, _ in bins):
             break
 
     roots = components(seen.where("kind = 1").select("a", "b"))
