@@ -112,9 +112,15 @@ def _counts(free: DataFrame, conditions: tuple, cut: dict) -> dict:
     return out
 
 
-def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 3, precision: float = 0.9, cuts: int = 20) -> list[Rule]:
-    """Ordered rules from rows of FEATURES and ``bad`` (0 or 1)."""
-    from math import log2
+def learn(labelled: DataFrame, most_rules: int | None = None, most_conditions: int | None = None, precision: float = 0.9, cuts: int = 20,
+          least_share: float = 0.001) -> list[Rule]:
+    """Ordered rules from rows of FEATURES and ``bad`` (0 or 1).
+
+    A rule grows while a condition gains and good rows remain. Covering ends when no bad rows remain, or the next rule is not
+    ``precision`` or covers fewer than two or ``least_share`` of all bad rows. Numbers of rules and conditions are limited on request."""
+    from math import inf, log2
+
+    most_rules, most_conditions = (inf if x is None else x for x in (most_rules, most_conditions))
 
     shares = [(k + 0.5) / cuts for k in range(cuts)]
     picked = labelled.agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in FEATURES),
@@ -128,7 +134,8 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 3, pr
 
     binned = cut_lineage(labelled.withColumn("bins", F.array(*map(passed, FEATURES))))
     rules: list[Rule] = []
-    for _ in range(most_rules):
+    least = 2
+    while len(rules) < most_rules:
         free = binned
         for r in rules:
             free = free.where(~r.column())
@@ -136,6 +143,8 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 3, pr
         bad, good = counts.pop(())
         if not bad:
             break
+        if not rules:
+            least = max(2, least_share * bad)
         steps = [((), bad, good)]
         while len(steps) <= most_conditions and steps[-1][2]:
             done, b0, g0 = steps[-1]
@@ -148,11 +157,11 @@ def learn(labelled: DataFrame, most_rules: int = 8, most_conditions: int = 3, pr
                 break
             option = list(counts)[-at]
             steps.append(((*done, option), *counts[option]))
-        # Prune: fewer conditions where they are as precise.
-        while len(steps) > 2 and _precise(steps[-2]) >= _precise(steps[-1]) - 0.002:
+        # Prune: fewer conditions where they are as precise, or where more leave too few rows.
+        while len(steps) > 2 and (steps[-1][1] < least or _precise(steps[-2]) >= _precise(steps[-1]) - 0.002):
             steps.pop()
         rule = Rule(*steps[-1])
-        if not rule.conditions or _precise(steps[-1]) < precision or rule.bad < 2:
+        if not rule.conditions or _precise(steps[-1]) < precision or rule.bad < least:
             break
         rules.append(rule)
     return rules
