@@ -67,3 +67,23 @@ def test_null_empty_short_long_repeated_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert op.ngram_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_short_nearly_equal_texts(spark):
+    """Blocks are bounded in sets too: links of 3,000 texts of one pattern stay within memory and equal brute force."""
+    import tracemalloc
+
+    import numpy as np
+
+    random = np.random.default_rng(3)
+    a, b = ([np.unique(random.integers(0, 12, 6)).astype(np.uint64) for _ in range(1500)] for _ in range(2))
+    tracemalloc.start()
+    x, y, _ = op._links(a, b, 0.8, False)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    sets = [[frozenset(s.tolist()) for s in side] for side in (a, b)]
+    got = set(zip(x.tolist(), y.tolist()))
+    assert all(((i, j) in got) == (len(s & t) >= 0.8 * len(s | t)) for i, s in enumerate(sets[0][:100]) for j, t in enumerate(sets[1]))
+    rows = [(i, f"page {i % 40} not {i // 40} found here at all today") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(op.ngram_join(df, most=16)) == brute(rows)

@@ -238,6 +238,46 @@ def test_decontamination_finds_all_near_copies():
     assert not lost
 
 
+def test_decontamination_of_many_items_of_one_size(monkeypatch):
+    """5,000 items of 19 words and a text of 20,000 words: bounded memory, and the same matches in smaller pieces."""
+    import tracemalloc
+
+    random = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(random.choice(words, 19))) for i in range(5000)]
+    near = items[11][1].rsplit(" ", 1)[0] + " other"
+    column = pa.array([" ".join([*random.choice(words, 20000), items[7][1], near]), items[9][1], None])
+    index = decontaminate.Index(items, 0.8, 5)
+    tracemalloc.start()
+    found = sorted(decontaminate._matches(index, column))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert {(r, i) for r, i, *_ in found} == {(0, 7), (0, 11), (1, 9)}
+    monkeypatch.setattr(decontaminate, "PIECE", 100)
+    assert sorted(decontaminate._matches(index, column)) == found
+
+
+def test_fingerprint_candidates_are_all_near_items():
+    random = np.random.default_rng(6)
+    prints, found = random.integers(0, 2**64, 300, dtype=np.uint64), random.integers(0, 2**64, 400, dtype=np.uint64)
+    found[:300] = prints ^ np.uint64(0b101 << 30)
+    got = set()
+    for which, item in decontaminate._candidates(decontaminate._slots(prints, 4, decontaminate._near()), found):
+        got |= set(zip(which.tolist(), item.tolist()))
+    far = np.bitwise_count(found[:, None].view(np.uint16).reshape(400, 1, 4) ^ prints[:, None].view(np.uint16).reshape(1, 300, 4))
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far.min(axis=2) <= decontaminate.RADIUS // 4))))
+
+
+def test_rules_are_not_limited_in_number(spark):
+    """Twelve kinds of bad rows, each a narrow range of one statistic, need more than eight rules."""
+    rows = [(int(k % 10 == 3), *([float(k * 100)] + [1.0] * (len(decision_list.FEATURES) - 1))) for k in range(120) for _ in range(6)]
+    df = spark.createDataFrame(rows, "bad int, " + ", ".join(f"{c} double" for c in decision_list.FEATURES))
+    rules = decision_list.learn(df, cuts=130)
+    kept, _ = decision_list.verdict(rules)
+    assert len(rules) > 8 and df.where((F.col("bad") == 1) & kept).count() == 0 == df.where((F.col("bad") == 0) & ~kept).count()
+    assert len(decision_list.learn(df, cuts=130, most_rules=2)) == 2
+
+
 def test_decontamination_of_odd_rows(spark):
     bench = spark.createDataFrame([(1, "one"), (2, None), (3, ""), (4, LONG[:4000]), (5, "a b c a b c a b")], "item_id long, text string")
     got = sorted({(r.doc_id, r.item_id) for r in decontaminate.find(odd(spark), bench).collect()}, key=str)
