@@ -222,7 +222,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             seen = seen.unionByName(part)
         bins = seen.where("kind = 2").groupBy("a").agg(F.sum("n")).collect()  # at most 101 rows
         # Many links of high similarity in one hot group must not end the search for those near the threshold elsewhere.
-        if all(chance(max(threshold, b / 100), trees, depth) >= target for b, _ in bins):
+        if bins and all(chance(max(threshold, b / 100), trees, depth) >= target for b, _ in bins):
             break
 
     roots = components(seen.where("kind = 1").select("a", "b"))
