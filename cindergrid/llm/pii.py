@@ -2,7 +2,8 @@
 
 The patterns give the base spans of whole texts: kind, start, end (code points, end exclusive), leftmost and not
 overlapping within a kind. The tagger learns from such spans of a bounded, documented sample of texts, with their digits
-and separators varied so that it also knows what the patterns miss, and adds spans that overlap no base span.
+and separators varied so that it also knows what the patterns miss, and adds spans that overlap no base span and keep the
+rules of their kind (parts of an address at most 255, check sum of a card, number of digits).
 
 Tagging covers whole texts: every kind holds a digit or an at sign, so every stretch of text within ``MARGIN`` of such
 a cue is cut into windows of ``WIDTH`` characters that overlap by half; a window without a cue has no span by
@@ -221,13 +222,38 @@ class Tagger:
         return self
 
 
+def plausible(kind: str, text: str) -> bool:
+    """Whether a candidate span could be personal data of its kind, whatever its separators: the rules that the patterns
+    check after matching hold for the tagger's spans too."""
+    numbers = re.findall("[0-9]+", text)
+    size = sum(map(len, numbers))
+    if kind == "email":
+        return "@" in text.strip("@") and "." in text
+    if kind == "ip":
+        return len(numbers) == 4 and all(int(n[:20]) <= 255 for n in numbers)
+    if kind == "card":
+        return 16 <= size <= 19 and luhn("".join(numbers))
+    return 8 <= size <= 15
+
+
+def with_check(text: str) -> str:
+    """The text with its last digit set so that its digits pass Luhn."""
+    at = max(i for i, c in enumerate(text) if c in "0123456789")
+    others = "".join(c for c in text if c in "0123456789")[:-1]
+    (last,) = (d for d in "0123456789" if luhn(others + d))
+    return text[:at] + last + text[at + 1 :]
+
+
 def varied(text: str, spans, random) -> tuple[str, list]:
-    """A copy of a text whose spans have other digits, and sometimes separators that the patterns don't know."""
+    """A copy of a text whose spans have other digits (cards such that pass Luhn), and sometimes separators that the
+    patterns don't know."""
     out, moved, at, size = [], [], 0, 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
         new = "".join(str(random.integers(0, 10)) if c in "0123456789" else c for c in text[a:b])
+        if kind == "card":
+            new = with_check(new)
         if random.random() < 0.4:
             if kind in ("card", "phone"):
                 new = new.replace(" ", "-").replace("-", str(random.choice([".", "/", " "])))
@@ -398,7 +424,7 @@ def added_spans(tagger: Tagger, texts: list[str], bases: list, least: float) ->
                     cut.setdefault(row, []).append((a + s, a + e, kind, (a, b)))
                     continue
                 closed[row].append((a + s, a + e, kind))
-                if e - s >= 6 and score >= least * (e - s):
+                if e - s >= 6 and score >= least * (e - s) and plausible(KINDS[kind], texts[row][a + s : a + e]):
                     found[row].append((a + s, a + e, kind, score))
         todo = [(row, a, b) for row, some in cut.items() for a, b in wider(some, closed[row], len(texts[row]))]
     return [reconcile(f, base) if f else [] for f, base in zip(found, bases)]

@@ -380,3 +380,67 @@ def test_katz_discounts_and_normalisation():
     d = katz.discounts(np.array([100, 40, 22, 14, 10, 7, 5] + [0] * 24), 5)
     assert ((0 < d[1:6]) & (d[1:6] < 1)).all() and d[6] == 1
     assert (katz.discounts(np.zeros(31, int), 5)[1:6] < 1).all()
+
+
+def planted(texts, seed=11):
+    """Texts with one span each that no pattern finds whole: spaced at signs, cards and phones with dots or slashes; and
+    numbers that fail the check sum as decoys. Returns texts and wanted spans."""
+    random = np.random.default_rng(seed)
+    digits = lambda n: "".join(map(str, random.integers(0, 10, n)))
+    out, want = [], []
+    for i, text in enumerate(texts):
+        sep = str(random.choice([".", "/"]))
+        if i % 3 == 0:
+            kind, span = "email", f"{''.join(random.choice(list('aeinrst'), 5))}{digits(2)} @ example{digits(1)}.com"
+        elif i % 3 == 1:
+            kind, span = "card", pii.with_check(sep.join(digits(4) for _ in range(4)))
+        else:
+            kind, span = "phone", f"+{random.integers(1, 99)}{sep}{digits(3)}{sep}{digits(4)}"
+        decoy = digits(16)
+        while pii.luhn(decoy):
+            decoy = digits(16)
+        at = text.find(" ", len(text) // 2) + 1
+        out.append(f"{text[:at]}{span} {text[at:]} {decoy} end")
+        want.append((kind, at, at + len(span)))
+    return out, want
+
+
+def test_pii_added_spans_keep_the_rules_and_find_planted_variants(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = pii.train(docs.where("doc_id % 2 = 0"))
+    plain = [r.text for r in docs.where("doc_id % 2 = 1 and n_chars between 200 and 2000 and not text rlike '[0-9@]'").orderBy("doc_id").limit(300).collect()]
+    texts, want = planted(plain)
+    bases = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(tagger, texts, bases, 0.5)
+    close = lambda a, b: a[0] == b[0] and abs(a[1] - b[1]) <= 1 and abs(a[2] - b[2]) <= 1
+    # A phone whose dots a base pattern takes as its own is found already.
+    right = sum(any(close(s, w) for s in [*a, *b]) for a, b, w in zip(added, bases, want))
+    false = sum(not (s[1] < w[2] and w[1] < s[2]) for a, w in zip(added, want) for s in a)
+    total = sum(map(len, added))
+    assert right >= 0.9 * len(texts) and total - false >= 0.9 * total, (right, len(texts), false, total)
+    assert all(pii.plausible(k, t[a:b]) for t, s in zip(texts, added) for k, a, b in s)
+    assert not pii.plausible("card", "1234567812345678") and pii.plausible("card", "4111/1111/1111/1111") and not pii.plausible("ip", "1.2.3.256")
+
+
+def test_toxic_words_are_learned_and_rates_spare_long_texts(spark):
+    random = np.random.default_rng(4)
+    word = lambda: "w" + "".join(random.choice(list("abcdef"), 3))
+    rows = []
+    for i in range(300):
+        toxic = i % 5 == 0
+        w = [word() for _ in range(60)]
+        if toxic:
+            for j in random.integers(0, 60, 3):
+                w[j] = str(random.choice(["Nasty!", "vile,", "NASTY"]))
+        rows.append((i, " ".join(w), "s", int(toxic)))
+    passage = " ".join(["copied", *(word() for _ in range(30))])
+    rows += [(300 + i, passage, "s", 1) for i in range(40)]
+    held_out = [(400, "a vile and nasty thing", 1), (401, "copied thing here", 0), (402, " ".join(word() for _ in range(4000)) + " vile", 0), (403, None, 0), (404, "", 0)]
+    texts = [(i, t, s) for i, t, s, _ in rows] + [(i, t, "s") for i, t, _ in held_out]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    known = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_classifier.classify(df, known, F.col("source"), F.lit("x")).collect()}
+    assert all(got[i].kept == (not y) for i, _, _, y in rows if i < 300)
+    assert all(got[i].kept == (not y) for i, _, y in held_out)
+    kept = {r.doc_id for r in quality_classifier.keep(df, known, F.col("source"), F.lit("x")).collect()}
+    assert kept == {i for i, r in got.items() if r.kept}
