@@ -204,7 +204,7 @@ class Tagger:
         np.add.at(g["vec"], ids.T, g_x)
         return float((whole - path).mean()), g
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = 300, batch: int = 48, rate: float = 0.02) -> Tagger:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, steps: int = 500, batch: int = 48, rate: float = 0.02) -> Tagger:
         """Adam on seeded batches; then single precision."""
         random = np.random.Generator(np.random.PCG64(9))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in "mv")
@@ -245,20 +245,35 @@ def with_check(text: str) -> str:
 
 
 def varied(text: str, spans, random) -> tuple[str, list]:
-    """A copy of a text whose spans have other digits (cards such that pass Luhn), and sometimes separators that the
-    patterns don't know."""
+    """A copy of a text whose spans have other digits (cards such that pass Luhn) and addresses other letters; more than half
+    get separators that the patterns don't know, and some addresses a shorter name or domain, or a digit in it."""
+    def drawn(c):
+        if c in "0123456789":
+            return str(random.integers(0, 10))
+        return chr(97 + random.integers(0, 26)) if "a" <= c <= "z" else c
+
     out, moved, at, size = [], [], 0, 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         if a < at:
             continue
-        new = "".join(str(random.integers(0, 10)) if c in "0123456789" else c for c in text[a:b])
+        new = "".join(c if kind != "email" and not c.isdigit() else drawn(c) for c in text[a:b])
+        odd = random.random() < 0.6
         if kind == "card":
             new = with_check(new)
-        if random.random() < 0.4:
-            if kind in ("card", "phone"):
-                new = new.replace(" ", "-").replace("-", str(random.choice([".", "/", " "])))
-            elif kind == "email":
-                new = new.replace("@", str(random.choice([" @ ", "@ ", " at@ "])), 1)
+            if odd:
+                digits = re.sub("[^0-9]", "", new)
+                new = str(random.choice([".", "/", " ", "-"])).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        elif kind == "phone" and odd:
+            new = re.sub("[() -]+", str(random.choice([".", "/", " "])), new)
+        elif kind == "email":
+            name, _, host = new.partition("@")
+            if host.count(".") > 1 and random.random() < 0.5:
+                host = host.partition(".")[2]
+            if random.random() < 0.3:
+                name = name.replace(".", "")
+            if random.random() < 0.3:
+                host = host[: host.rfind(".")] + str(random.integers(0, 10)) + host[host.rfind(".") :]
+            new = name + (str(random.choice([" @ ", "@ ", " at@ "])) if odd else "@") + host
         out += [text[at:a], new]
         size += a - at
         moved.append((kind, size, size + len(new)))
@@ -273,7 +288,7 @@ def training_windows(texts: list[str], most: int = 3000) -> tuple[np.ndarray, np
     ids, tags = [], []
     for text in texts:
         spans = base_spans(text)
-        for turn in range(1 + 2 * bool(spans)):
+        for turn in range(1 + 4 * bool(spans)):
             own, marks = (text, spans) if not turn else varied(text, spans, random)
             code, tag = codes(own), np.zeros(len(own), np.int64)
             for kind, a, b in sorted(marks, key=lambda s: -KINDS.index(s[0])):
