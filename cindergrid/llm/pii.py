@@ -417,9 +417,10 @@ def wider(cut: list, closed: list, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def added_spans(tagger: Tagger, texts: list[str], bases: list, least: float) -> list[list[tuple[str, int, int]]]:
+def added_spans(tagger: Tagger, texts: list[str], bases: list, least: float, valid=None) -> list[list[tuple[str, int, int]]]:
     """Reconciled spans of the tagger for each text; equal windows are decoded once per round. Windows around candidates
-    that touch a cut edge are decoded again, wider each round, until the candidates end inside."""
+    that touch a cut edge are decoded again, wider each round, until the candidates end inside. Candidates for which
+    ``valid(kind, text)`` does not hold are left out."""
     found, closed, code = [[] for _ in texts], [[] for _ in texts], {}
     todo = [(row, a, b) for row, text in enumerate(texts) for a, b in stretches(text)]
     while todo:
@@ -439,7 +440,7 @@ def added_spans(tagger: Tagger, texts: list[str], bases: list, least: float) ->
                     cut.setdefault(row, []).append((a + s, a + e, kind, (a, b)))
                     continue
                 closed[row].append((a + s, a + e, kind))
-                if e - s >= 6 and score >= least * (e - s) and plausible(KINDS[kind], texts[row][a + s : a + e]):
+                if e - s >= 6 and score >= least * (e - s) and (valid is None or valid(KINDS[kind], texts[row][a + s : a + e])):
                     found[row].append((a + s, a + e, kind, score))
         todo = [(row, a, b) for row, some in cut.items() for a, b in wider(some, closed[row], len(texts[row]))]
     return [reconcile(f, base) if f else [] for f, base in zip(found, bases)]
@@ -476,7 +477,7 @@ def find(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
             for texts in _rows(batch.column(1)):
                 own = [base_spans(t) for t in texts]
                 base += own
-                added += added_spans(sharing.use(shared), texts, own, least)
+                added += added_spans(sharing.use(shared), texts, own, least, plausible)
 
             def pack(rows):
                 return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows], arrow)
@@ -508,7 +509,7 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", least: float
             out = []
             for texts in _rows(batch.column(at)):
                 own = [base_spans(t) for t in texts]
-                more = added_spans(sharing.use(shared), texts, own, least)
+                more = added_spans(sharing.use(shared), texts, own, least, plausible)
                 out += [mask(t, [*a, *b]) for t, a, b in zip(texts, own, more)]
             empty = batch.column(at).is_null().to_pylist()
             text = pa.array([None if e else t for t, e in zip(out, empty)], pa.string())
