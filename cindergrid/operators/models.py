@@ -6,8 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cindergrid.operators.aggregates import with_class_weight
 from cindergrid.operators.gram import ridge  # noqa: F401  a regressor like the others here
 from cindergrid.operators.metrics import model_report
+from cindergrid.operators.perceptron import Perceptron
 from cindergrid.operators.sampling import with_fold
 
 def as_features(df: DataFrame, columns: Sequence[str] | str, name: str = "features") -> DataFrame:
@@ -87,13 +87,9 @@ def boosted(rounds: int = 100, rate: float = 0.1, depth: int = 6, subsample: flo
 
 
 def perceptron(layers: Sequence[int] = (128, 64, 32), max_iter: int = 100, seed: int = 42,
-               label: str = "label") -> Weighted:
+               label: str = "label") -> Perceptron:
     """Dense network; it takes no weights, so balance the rows beforehand."""
-    def make(df: DataFrame) -> Estimator:
-        width = df.select(F.size(vector_to_array("features"))).first()[0]
-        return MultilayerPerceptronClassifier(labelCol=label, layers=[width, *layers, 2],
-                                              maxIter=max_iter, seed=seed)
-    return Weighted(make, weighted=False)
+    return Perceptron(tuple(layers), max_iter, seed, label=label)
 
 
 def score(model: Model, df: DataFrame, name: str = "risk_score") -> DataFrame:
