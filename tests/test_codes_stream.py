@@ -58,3 +58,14 @@ def test_goes_on_from_the_batch_fold_and_leaves_out_late_days(spark, tmp_path):
     whole = table(fire_weather(spark.createDataFrame(rows, SCHEMA), season="on"))
     same(table(got), {k: v for k, v in whole.items() if k[1] >= dt.date(2024, 5, 15)})
     assert got.count() == len(whole) - len(old)
+
+
+def test_cells_share_a_state(spark, tmp_path):
+    """Forty cells in two states, over a restart and from the batch fold; some of them come only later."""
+    rows = [r for r in days(8, dt.date(2024, 5, 1), 12, cells=40) if r[1] < 30 or r[0] > dt.date(2024, 5, 6)]
+    cut = [dt.date(2024, 5, 5), dt.date(2024, 5, 8), dt.date(2024, 6, 1)]
+    batch = fire_weather(spark.createDataFrame([r for r in rows if r[0] < cut[0]], SCHEMA), season="on", dry_start=True)
+    files = [[r for r in rows if a <= r[0] < b] for a, b in zip(cut, cut[1:])]
+    got = run(spark, tmp_path, files, initial=last_codes(batch), dry_start=True, buckets=2)
+    whole = table(fire_weather(spark.createDataFrame(rows, SCHEMA), season="on", dry_start=True))
+    same(table(got), {k: v for k, v in whole.items() if k[1] >= cut[0]})
