@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -19,6 +21,16 @@ from cindergrid.operators.metrics import model_report
 from cindergrid.operators.perceptron import Perceptron
 from cindergrid.operators.sampling import with_fold
 
+#: Jobs one call runs at the same time. A fit is hundreds of short jobs, most of whose time is scheduling.
+AT_ONCE = 8
+
+
+def together(jobs: Sequence[Callable]) -> list:
+    """Results of independent ``jobs``, some of which run at the same time; the order is theirs."""
+    with ThreadPool(min(AT_ONCE, len(jobs))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs], chunksize=1)
+
+
 def as_features(df: DataFrame, columns: Sequence[str] | str, name: str = "features") -> DataFrame:
     """A vector column from numeric columns, or from one array column."""
     if isinstance(columns, str):
@@ -110,12 +122,13 @@ def out_of_fold(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds:
                 label: str = "label") -> DataFrame:
     """``fold, label, probability`` of every row, predicted by the model fitted without its fold."""
     parts = with_fold(df, keys, folds, seed)
-    scored = []
-    for i in range(folds):
+
+    def held(i: int) -> DataFrame:
         fitted = estimator.fit(parts.filter(F.col("fold") != i).drop("fold"), label)
-        held = score(fitted, parts.filter(F.col("fold") == i), "probability")
-        scored.append(held.select("fold", F.col(label).alias("label"), "probability"))
-    return reduce(DataFrame.unionByName, scored)
+        rows = score(fitted, parts.filter(F.col("fold") == i), "probability")
+        return rows.select("fold", F.col(label).alias("label"), "probability")
+
+    return reduce(DataFrame.unionByName, together([partial(held, i) for i in range(folds)]))
 
 
 def cross_validate(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,

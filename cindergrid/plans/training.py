@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.grid import CELL, CELL_DAY
 from cindergrid.operators.metrics import model_report
-from cindergrid.operators.models import Weighted, as_features, out_of_fold, score
+from cindergrid.operators.models import Weighted, as_features, out_of_fold, score, together
 from cindergrid.operators.neighbors import knn_classify
 from cindergrid.operators.sampling import random_split, smote, with_fold
 from cindergrid.operators.windows import flatten_window, lookback_samples, season_split
@@ -80,10 +80,15 @@ def compare_models(df: DataFrame, id: str, vector: str, label: str, models: Mapp
         scored.append(rows.select(F.lit(name).alias("model"), fold.cast("int").alias("fold"),
                                   F.col("label").cast("int"), "probability"))
 
-    for name, estimator in models.items():
-        add(out_of_fold(estimator, fit_rows, [id], folds, seed, label), f"{name} (CV)", F.col("fold"))
-        held = score(estimator.fit(fit_rows, label), test_rows, "probability")
-        add(held.withColumn("label", F.col(label)), f"{name} (Test)", F.lit(0))
+    def whole(estimator: Weighted) -> DataFrame:
+        return score(estimator.fit(fit_rows, label), test_rows, "probability").withColumn("label", F.col(label))
+
+    jobs = [job for estimator in models.values() for job in (
+        partial(out_of_fold, estimator, fit_rows, [id], folds, seed, label), partial(whole, estimator))]
+    found = together(jobs)
+    for name, held_out, held in zip(models, found[::2], found[1::2]):
+        add(held_out, f"{name} (CV)", F.col("fold"))
+        add(held, f"{name} (Test)", F.lit(0))
     if neighbours:
         numbered = with_fold(train, [id], folds, seed)
         for i in range(folds):

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,22 @@ def test_model_report_query_has_all_four_models(spark, monkeypatch):
     assert names == {f"{m} ({k})" for m in ("Logistic Regression", "KNN", "Random Forest", "XGBoost") for k in ("CV", "Test")}
 
 
+class Meeting:
+    """An estimator whose fits wait for each other."""
+
+    def __init__(self, inner, parties):
+        self.inner, self.barrier = inner, threading.Barrier(parties)
+
+    def fit(self, df, label="label"):
+        self.barrier.wait(30)
+        return self.inner.fit(df, label)
+
+
+def test_models_are_fitted_at_the_same_time(spark):
+    report = training.compare_models(separable(spark), "id", "vector", "label", {"Tree": Meeting(models.forest(5, 4), 3)}, folds=2, neighbours=None)
+    assert {r.model for r in report.collect()} == {"Tree (CV)", "Tree (Test)"}
+
+
 @pytest.mark.parametrize("estimator", [models.logistic(), models.boosted(rounds=5), models.perceptron((8, 4), 60)])
 def test_classifiers_learn(spark, estimator):
     df = models.as_features(separable(spark), "vector")
