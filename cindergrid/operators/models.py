@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +16,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.aggregates import with_class_weight
+from cindergrid.operators.bagging import Forest
 from cindergrid.operators.gram import ridge  # noqa: F401  a regressor like the others here
 from cindergrid.operators.metrics import model_report
 from cindergrid.operators.perceptron import Perceptron
@@ -86,9 +87,8 @@ def logistic(c: float = 1.0, max_iter: int = 1000, label: str = "label") -> Weig
 
 
 def forest(trees: int = 100, depth: int = 30, seed: int = 42, label: str = "label") -> Weighted:
-    """Random forest, balanced weights; 30 is the deepest MLlib grows, standing in for no limit."""
-    return Weighted(lambda df: RandomForestClassifier(
-        labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed))
+    """Random forest, balanced weights; 30 levels stand in for no limit."""
+    return Weighted(lambda df: Forest(trees, depth, seed, label))
 
 
 def boosted(rounds: int = 100, rate: float = 0.1, depth: int = 6, subsample: float = 0.8,
