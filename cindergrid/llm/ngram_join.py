@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 from cindergrid.llm import arrays
 from cindergrid.session import cut_lineage
 
+#: Rows of a task, where the rows of a table are known. The driver keeps an account of every task, so small tables aren't dealt
+#: over as many tasks as the session has shuffle partitions.
+PIECE = 200_000
+
 _random = np.random.Generator(np.random.PCG64(8111))
 
 
@@ -142,6 +146,11 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "kind int, a long, b long, n long")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most about ``rows`` rows, in no more tasks than these need; large tables stay as they are."""
+    return df.coalesce(rows // PIECE + 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member ``root`` of each node ``v`` of the undirected edges (a, b); alternating large and small stars.
 
@@ -153,14 +162,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        before = state
+        before, n = state, state[0]  # the rows of a round are no more than twice the edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        edges = cut_lineage(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = _few(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), n)
+        edges = cut_lineage(_few(large.distinct(), n))
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         linked = edges.join(low, "a")
-        edges = cut_lineage(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-                            .where("a <> b").distinct())
+        small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+        edges = cut_lineage(_few(_few(small, 2 * n).distinct(), n))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
@@ -187,6 +197,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     home = tries.groupBy("class").agg(F.max(F.struct("members", "bucket", "mass", "n")).alias("home"))
     block = F.xxhash64("home.bucket", F.expr(f"pmod(xxhash64(class), cast(ceil(greatest(home.mass / {volume}, home.members / {most})) as bigint))"))
     home = cut_lineage(home.select("class", block.alias("block")))
+    entries = tries.count()
     member = home.join(classes.select("class", "copies", "digest"), "class")
 
     def gather(batches):
@@ -204,7 +215,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = tries.select("class", "tree", "label").join(home, "class")
     done, found = None, []
     for depth in range(deepest, shortest - 1, -1):
-        placed = rows.select(prefix(depth).alias("bucket"), "block").distinct()
+        placed = _few(_few(rows, entries).select(prefix(depth).alias("bucket"), "block").distinct(), entries)
         met = placed.join(placed.withColumnRenamed("block", "other"), "bucket").where("block < other").select("block", "other").distinct()
         if depth == deepest:
             met = met.unionByName(home.select("block", F.col("block").alias("other")).distinct())

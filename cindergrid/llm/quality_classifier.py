@@ -64,13 +64,17 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
     """Weights (last: constant), means and scales of a ridge logistic regression, by Newton steps; the constant is that
     of balanced classes, so that the score is a log-likelihood ratio."""
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    z = np.ones((len(x), x.shape[1] + 1))
+    np.subtract(x, mean, out=z[:, :-1])
+    z[:, :-1] /= scale
+    weighted = np.empty_like(z)
     w = np.zeros(z.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        np.multiply(z, (p * (1 - p))[:, None], out=weighted)
+        step = np.linalg.solve(weighted.T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -103,9 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     y = np.asarray(sample.column("y"), float)
     if len(np.unique(y)) < 2:
         return None
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(len(y), FEATURES).astype(float)
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(len(y), FEATURES)
     order = np.lexsort((y, *x.T[:3]))
-    return fit(x[order], y[order])
+    x = x[order].astype(float)
+    del sample
+    model = fit(x, y[order])
+    del x
+    arrays.give_back()
+    return model
 
 
 def letter_words(column):
