@@ -65,12 +65,25 @@ class Nodes:
         return at
 
 
-def times(hashes: np.ndarray, n: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """How often ``n`` equal rows are drawn for a tree: Poisson numbers of mean ``n``, which depend on the rows' hashes only."""
-    h = hashes.view(np.uint64) ^ np.random.default_rng([seed, tree]).integers(0, 1 << 63, dtype=np.uint64)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A hash of each number."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
+    return h ^ (h >> np.uint64(31))
+
+
+def key(seed: int, tree: int, what: int) -> np.ndarray:
+    return np.random.default_rng([seed, tree, what]).integers(0, 1 << 63, 1, dtype=np.uint64)
+
+
+def below_keys(keys: np.ndarray, right: np.ndarray | int) -> np.ndarray:
+    """Keys of the nodes on one side below those of ``keys``: they depend on the way from the root only."""
+    return mixed(keys + np.uint64(1) + np.asarray(right, np.uint64))
+
+
+def times(hashes: np.ndarray, n: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """How often ``n`` equal rows are drawn for a tree: Poisson numbers of mean ``n``, which depend on the rows' hashes only."""
+    h = mixed(hashes.view(np.uint64) ^ key(seed, tree, 0))
     share, out = (h >> np.uint64(11)) / float(1 << 53), np.zeros(len(n), np.int64)
     for mean in np.unique(n):
         some = np.flatnonzero(n == mean)
@@ -83,10 +96,10 @@ def times(hashes: np.ndarray, n: np.ndarray, seed: int, tree: int) -> np.ndarray
     return out
 
 
-def chosen(width: int, nodes: int, random: np.random.Generator) -> np.ndarray:
-    """The features each node looks at: the square root of their number, rounded up, in order."""
-    k = math.ceil(math.sqrt(width))
-    return np.sort(np.argpartition(random.random((nodes, width)), k - 1, axis=1)[:, :k], axis=1)
+def chosen(width: int, keys: np.ndarray) -> np.ndarray:
+    """The features each node looks at: the square root of their number, rounded up, in an order drawn with them."""
+    drawn = mixed(keys[:, None] ^ mixed(np.arange(1, width + 1, dtype=np.uint64)))
+    return np.argsort(drawn, axis=1)[:, : math.ceil(math.sqrt(width))]
 
 
 def sums(at: np.ndarray, features: np.ndarray, bins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -101,7 +114,8 @@ def sums(at: np.ndarray, features: np.ndarray, bins: np.ndarray, y: np.ndarray,
 def best(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place of the best feature, its cut, and the gain times the weight for each node; a gain of 0 is none.
 
-    Gains that differ by rounding only count as equal: the first feature, then the lowest cut wins."""
+    Gains that differ by rounding only count as equal: the feature drawn first, then the lowest cut wins. In small nodes many are
+    equal, so an order by number would favour the first features."""
     left = np.cumsum(total, 2)
     whole = left[:, :, -1:]
     left = left[:, :, :-1]
@@ -117,22 +131,23 @@ def best(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place // (BINS - 1), place % (BINS - 1), np.where(top > LEAST_GAIN * weight, top, 0.0)
 
 
-def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, depth: int, random: np.random.Generator) -> tuple[Nodes, np.ndarray]:
-    """A tree of at most ``depth`` levels of splits on these rows, and the gain of each feature."""
+def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, depth: int, root: np.ndarray) -> tuple[Nodes, np.ndarray]:
+    """A tree of at most ``depth`` levels of splits on these rows below the key ``root``, and the gain of each feature."""
     gains, levels, first = np.zeros(bins.shape[1]), [], 0
     rows, at, size = np.arange(len(y)), np.zeros(len(y), np.int64), 1
+    keys = root
     while size:
         both = np.bincount(at * 2 + y[rows], weight[rows], 2 * size).reshape(-1, 2)
         feature, cut, child = np.full(size, -1, np.int32), np.zeros(size, np.uint8), np.zeros(size, np.int32)
-        mixed = np.flatnonzero(both.min(1) > 0) if len(levels) < depth else np.zeros(0, np.int64)
+        impure = np.flatnonzero(both.min(1) > 0) if len(levels) < depth else np.zeros(0, np.int64)
         order = np.argsort(at, kind="stable")
-        for a in range(0, len(mixed), MOST):
-            part = mixed[a : a + MOST]
+        for a in range(0, len(impure), MOST):
+            part = impure[a : a + MOST]
             some = order[np.searchsorted(at[order], part[0]) : np.searchsorted(at[order], part[-1], "right")]
             place = np.full(size, -1)
             place[part] = np.arange(len(part))
             some = some[place[at[some]] >= 0]
-            looked, r = chosen(bins.shape[1], len(part), random), rows[some]
+            looked, r = chosen(bins.shape[1], keys[part]), rows[some]
             k, c, gain = best(sums(place[at[some]], looked, bins[r], y[r], weight[r]))
             hit = gain > 0
             feature[part[hit]], cut[part[hit]] = looked[np.arange(len(part)), k][hit], c[hit]
@@ -143,7 +158,7 @@ def grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, depth: int, random
         kept = inner[at]
         rows, at = rows[kept], at[kept]
         at = child[at] + (bins[rows, feature[at]] > cut[at]) - first - size
-        first, size = first + size, 2 * int(inner.sum())
+        first, size, keys = first + size, 2 * int(inner.sum()), below_keys(np.repeat(keys[inner], 2), np.tile([0, 1], int(inner.sum())))
     return Nodes(*(np.concatenate(x) for x in zip(*levels))), gains
 
 
@@ -208,25 +223,25 @@ class Forest:
                 out[j] = (v[1:] + v[:-1]) / 2
         return out
 
-    def _upper(self, blocks: DataFrame, width: int) -> tuple[list[Nodes], np.ndarray, list[tuple[int, int, int]]]:
-        """The nodes above those that one task takes on; of these, (tree, node, levels left)."""
+    def _upper(self, blocks: DataFrame, width: int) -> tuple[list[Nodes], np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """The nodes above those that one task takes on; of these, (tree, levels left, key)."""
         upper, gains, below = [Nodes() for _ in range(self.trees)], np.zeros((self.trees, width)), []
         total = blocks.agg(F.sum(F.octet_length("y"))).first()[0]
-        nodes = [(t, 0, total) for t in range(self.trees)]
+        nodes = [(t, 0, total, key(self.seed, t, 1)) for t in range(self.trees)]
         for level in range(self.depth + 1):
             large = []
-            for t, node, n in nodes:
+            for t, node, n, own in nodes:
                 if n <= SMALL or level == self.depth:
                     upper[t].group[node] = len(below)
-                    below.append((t, node, self.depth - level))
+                    below.append((t, self.depth - level, own))
                 else:
-                    large.append((t, node))
+                    large.append((t, node, own))
             nodes = []
             for a in range(0, len(large), MOST):
                 part = large[a : a + MOST]
-                looked = np.concatenate([chosen(width, 1, np.random.default_rng([self.seed, t, node])) for t, node in part])
+                looked = chosen(width, np.concatenate([own for *_, own in part]))
                 found = self._sums(blocks, width, upper, part, looked)
-                for (t, node), f, k, c, gain, held in zip(part, looked, *best(found), found):
+                for (t, node, own), f, k, c, gain, held in zip(part, looked, *best(found), found):
                     both = held[0].sum(0)
                     if not gain:
                         upper[t].p[node] = both[1] / both[:2].sum()
@@ -234,13 +249,13 @@ class Forest:
                     child, left = upper[t].split(node, int(f[k]), int(c)), held[k, : c + 1].sum(0)
                     gains[t, f[k]] += gain
                     for i, side in enumerate((left, held[k].sum(0) - left)):
-                        nodes.append((t, child + i, int(side[2])))
+                        nodes.append((t, child + i, int(side[2]), below_keys(own, i)))
         return upper, gains, below
 
     def _sums(self, blocks, width, upper, part, looked) -> np.ndarray:
         """:func:`sums` of the nodes ``part`` over all blocks."""
         at_tree = {}
-        for i, (t, node) in enumerate(part):
+        for i, (t, node, _) in enumerate(part):
             at_tree.setdefault(t, []).append((node, i))
         shape, seed = (*looked.shape, BINS, 3), self.seed
         trees = {t: upper[t] for t in at_tree}
@@ -267,7 +282,7 @@ class Forest:
         out[rows["i"].to_numpy()] = np.column_stack([rows[c].to_numpy() for c in "abn"])
         return out.reshape(shape)
 
-    def _lower(self, blocks: DataFrame, width: int, upper: list[Nodes], below: list[tuple[int, int, int]]) -> DataFrame:
+    def _lower(self, blocks: DataFrame, width: int, upper: list[Nodes], below: list[tuple[int, int, np.ndarray]]) -> DataFrame:
         """What is grown below the upper nodes, a row each."""
         seed = self.seed
 
@@ -283,12 +298,12 @@ class Forest:
                         if out:
                             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["group", "hash", "bins", "y", "weight"])
 
-        def grown(key, table):
-            group = key[0].as_py()
+        def grown(by, table):
+            group = by[0].as_py()
             h, bins, y, weight = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (
                 ("hash", np.int64), ("bins", np.uint8), ("y", np.uint8), ("weight", np.float64)))
-            order, (tree, node, depth) = np.argsort(h, kind="stable"), below[group]
-            nodes, gains = grow(bins.reshape(-1, width)[order], y[order], weight[order], depth, np.random.default_rng([seed, tree, node, 1]))
+            order, (tree, depth, root) = np.argsort(h, kind="stable"), below[group]
+            nodes, gains = grow(bins.reshape(-1, width)[order], y[order], weight[order], depth, root)
             return pa.table([pa.array([group], pa.int32()), pa.array([tree], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (
                 nodes.feature, nodes.cut, nodes.child, nodes.p)), pa.array([gains.tolist()])], ["group", "tree", "feature", "cut", "child", "p", "gain"])
 

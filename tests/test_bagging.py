@@ -52,10 +52,11 @@ def plain(bins, y, weight, depth):
 
 
 @pytest.mark.parametrize("depth", [1, 3, 30])
-def test_trees_by_definition(depth):
+def test_trees_by_definition(depth, monkeypatch):
+    monkeypatch.setattr(bagging, "chosen", lambda width, keys: np.tile(np.arange(width), (len(keys), 1)))
     random = np.random.default_rng(5)
     bins, y, weight = random.integers(0, 8, (150, 2)).astype(np.uint8), random.integers(0, 2, 150), random.integers(1, 4, 150).astype(float)
-    nodes, gains = bagging.grow(bins, y, weight, depth, random)  # of two features both are looked at
+    nodes, gains = bagging.grow(bins, y, weight, depth, bagging.key(1, 2, 3))
     assert np.allclose(nodes.p[nodes.reached(bins)], plain(bins, y, weight, depth))
     assert gains.sum() > 0
 
@@ -85,6 +86,15 @@ def test_large_nodes_are_split_by_passes(spark, monkeypatch):
     assert cut.featureImportances.toArray() == pytest.approx(whole.featureImportances.toArray())
 
 
+def test_no_feature_is_favoured_by_its_place():
+    """Of many features that split a small node equally well, any may be taken."""
+    random = np.random.default_rng(3)
+    gains = np.zeros(16)
+    for t in range(300):
+        gains += bagging.grow(random.integers(0, 32, (30, 16)).astype(np.uint8), random.integers(0, 2, 30), np.ones(30), 30, bagging.key(4, t, 1))[1]
+    assert gains[:8].sum() == pytest.approx(gains[8:].sum(), rel=0.1)
+
+
 def test_equal_rows_count(spark):
     df = frame(spark, [[0.0, 1.0]] * 90 + [[1.0, 1.0]] * 30, [0] * 60 + [1] * 30 + [1] * 30)
     model = models.forest(40).fit(df)
