@@ -148,7 +148,8 @@ def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of at most about ``rows`` rows, in no more tasks than these need; large tables stay as they are."""
-    return df.coalesce(rows // PIECE + 1)
+    most = rows // PIECE + 1
+    return df.coalesce(most) if most < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,10 +165,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
         before, n = state, state[0]  # the rows of a round are no more than twice the edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = _few(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), n)
         large = _few(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), n)
         edges = cut_lineage(_few(large.distinct(), n))
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        low = _few(edges.groupBy("a").agg(F.min("b").alias("m")), n)
         linked = edges.join(low, "a")
         small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
         edges = cut_lineage(_few(_few(small, 2 * n).distinct(), n))

@@ -87,3 +87,27 @@ def test_many_short_nearly_equal_texts(spark):
     rows = [(i, f"page {i % 40} not {i // 40} found here at all today") for i in range(160)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(op.ngram_join(df, most=16)) == brute(rows)
+
+
+def tasks(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, getattr(spark._jvm.scala, "Array").emptyDoubleArray(), None)
+    return sum(stages.apply(i).numCompleteTasks() for i in range(stages.size()))
+
+
+def test_few_edges_take_few_tasks(spark):
+    """The driver keeps an account of every task; a handful of edges needs no task for every shuffle partition."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(20, 21)], "a long, b long")
+    settings = {"spark.sql.shuffle.partitions": "101", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        before = tasks(spark)
+        got = {r.v: r.root for r in op.components(edges).collect()}
+        taken = tasks(spark) - before
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 21: 20}
+    assert taken < 700
