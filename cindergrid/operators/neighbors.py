@@ -7,8 +7,8 @@ no task holds more than one block and one chunk, whatever the skew; each returns
 query. Copies of one vector are reduced to the ``k`` that can matter before anything moves.
 
 Where a sample of the queries shows that pruning leaves most cells, as in many dimensions, all pairs of packed blocks are
-compared instead: blocks are read from the shared folder as a cartesian product, so that no vector is shuffled, and what
-leaves a task is ``k`` rows per query.
+compared instead: a task holds a few blocks of queries and passes over the blocks of base rows, which it reads from the shared
+folder; each query's vector is shuffled once, and what leaves a task is ``k`` rows per query.
 """
 
 from __future__ import annotations
@@ -28,6 +28,12 @@ from cindergrid.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 4096
+#: Queries and base rows compared at once, and pairs measured at once.
+ROWS, COLUMNS, MEASURED = 512, 1024, 1 << 15
+#: Blocks of queries a task holds.
+HELD = 4
+#: No row's number.
+NONE = np.iinfo(np.int64).max
 MAX_PIVOTS = 1024
 #: Queries on which pruning is judged, and the share of rows visited above which all blocks are compared.
 JUDGED = 1024
@@ -46,26 +52,89 @@ def _pivot_distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+class Best:
+    """The ``k`` nearest rows of some queries among the rows seen so far, by exact squared distance, then number.
+
+    Inner products in single precision, with a bound of their error, leave out rows that are farther than the ``k`` found; the
+    others are measured exactly."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k = q, k
+        self.d2, self.ids = np.full((len(q), k), np.inf), np.full((len(q), k), NONE)
+        plain = np.isfinite((q**2).sum(axis=1))
+        self.odd = np.flatnonzero(~plain)
+        self.centre = q[plain].mean(axis=0) if plain.any() else np.zeros(q.shape[1])
+        self.moved = np.where(plain[:, None], q, self.centre) - self.centre
+        self.square = (self.moved**2).sum(axis=1)
+        self.size, self.shift = np.sqrt(self.square), np.sqrt((self.centre**2).sum())
+        self.square[self.odd] = np.nan  # these are measured with every row
+        self.left = {}
+
+    def add(self, b: np.ndarray, ids: np.ndarray) -> None:
+        for at in range(0, len(b), COLUMNS):
+            self._add(b[at : at + COLUMNS], ids[at : at + COLUMNS])
+
+    def _add(self, b: np.ndarray, ids: np.ndarray) -> None:
+        everyone = np.arange(len(self.q))
+        plain = np.isfinite((b**2).sum(axis=1))
+        if not plain.all():
+            odd = np.flatnonzero(~plain)
+            self._measure(np.repeat(everyone, len(odd)), np.tile(odd, len(everyone)), b, ids)
+        if len(self.odd):
+            self._measure(np.repeat(self.odd, plain.sum()), np.tile(np.flatnonzero(plain), len(self.odd)), b, ids)
+        b, ids = b[plain], ids[plain]
+        if not len(b):
+            return
+        c = b - self.centre
+        half = (c * c).sum(axis=1) / 2
+        size = math.sqrt(2 * half.max())
+        largest = max(size, self.size.max())
+        kind = np.float32 if 1e-12 < largest < 1e15 else np.float64
+        if kind not in self.left:
+            self.left[kind] = np.column_stack([self.moved, np.ones(len(self.q))]).astype(kind)
+        left, right = self.left[kind], np.column_stack([c, -half]).astype(kind).T
+        # Bounds of the rounding of sums and factors, of numbers too small for the kind, and of moving to the centre.
+        slack = (4 * (b.shape[1] + 8) * np.finfo(kind).eps * (self.size * size + half.max())
+                 + b.shape[1] * float(np.finfo(kind).tiny) * 16 * (1 + self.size + size) + 2.0**-48 * (self.shift + largest) * (self.size + size))
+        for at in range(0, len(left), ROWS):
+            rows = slice(at, at + ROWS)
+            near = left[rows] @ right  # rises as the distance falls
+            least = (self.square[rows] - self.d2[rows, -1]) / 2 - slack[rows]
+            some = np.flatnonzero(near.max(axis=1) >= least.astype(kind))
+            if len(some) < len(near):
+                near, least = near[some], least[some]
+            r, i = np.nonzero(near >= least.astype(kind)[:, None])
+            if len(r) > 8 * self.k * len(near) and len(b) > self.k:  # little is known yet
+                least = np.maximum(least, np.partition(near, len(b) - self.k, axis=1)[:, len(b) - self.k] - 2 * slack[rows][some])
+                r, i = np.nonzero(near >= least.astype(kind)[:, None])
+            self._measure(some[r] + at, i, b, ids)
+
+    def _measure(self, r: np.ndarray, c: np.ndarray, b: np.ndarray, ids: np.ndarray) -> None:
+        for at in range(0, len(r), MEASURED):
+            rr, cc = r[at : at + MEASURED], c[at : at + MEASURED]
+            d = ((self.q[rr] - b[cc]) ** 2).sum(axis=1)
+            kept = d <= self.d2[rr, -1]  # nan is no distance
+            rr, cc, d = rr[kept], cc[kept], d[kept]
+            changed = np.unique(rr)
+            rr = np.concatenate([np.repeat(changed, self.k), rr])
+            d, i = np.concatenate([self.d2[changed].ravel(), d]), np.concatenate([self.ids[changed].ravel(), ids[cc]])
+            order = np.lexsort((i, d, rr))
+            rr = rr[order]
+            order = order[np.arange(len(rr)) - np.searchsorted(rr, rr) < self.k]
+            self.d2[changed], self.ids[changed] = d[order].reshape(-1, self.k), i[order].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, numbers and squared distances."""
+        rows, places = np.nonzero(self.ids != NONE)
+        return rows, self.ids[rows, places], self.d2[rows, places]
+
+
 def _nearest_in_block(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int):
     """Rows, base positions and exact squared distances of the k nearest base rows per query."""
-    rows, cols, dist = [], [], []
-    nb = (b * b).sum(axis=1)
-    for start in range(0, len(q), 256):
-        part = q[start:start + 256]
-        nq = (part * part).sum(axis=1)
-        rough = nq[:, None] + nb[None, :] - 2 * part @ b.T
-        slack = 1e-9 * (nq[:, None] + nb.max() + 1e-300)
-        cut = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1][:, None] + slack
-        r, c = np.nonzero(rough <= cut)
-        d = ((part[r] - b[c]) ** 2).sum(axis=1)
-        order = np.lexsort((ids[c], d, r))
-        r, c, d = r[order], c[order], d[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = place < k
-        rows.append(r[keep] + start)
-        cols.append(c[keep])
-        dist.append(d[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    best, order = Best(q, k), np.argsort(ids, kind="stable")
+    best.add(b, ids)
+    rows, found, d2 = best.found()
+    return rows, order[np.searchsorted(ids[order], found)], d2
 
 
 def prepared(queries: DataFrame, base: DataFrame, k: int, id: str, vector: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,12 +161,23 @@ def give_back(queries: DataFrame, asked: DataFrame, best: DataFrame, k: int, exc
 
 def _packed(df: DataFrame, id: str, block: int) -> DataFrame:
     """``block, ids, v``: up to ``block`` rows in a row, as the bytes of their numbers."""
+    def record(ids, v):
+        return pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "v"])
+
     def pack(batches):
+        ids, v = [], []
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), block):
-                part = _matrix(batch.column(1).slice(at, block).to_pandas())
-                yield pa.record_batch([pa.array([ids[at : at + block].tobytes()], pa.binary()), pa.array([part.tobytes()], pa.binary())], ["ids", "v"])
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            while len(own):
+                n = block - sum(map(len, ids))
+                ids.append(own[:n])
+                v.append(_matrix(batch.column(1).slice(batch.num_rows - len(own), n).to_pandas()))
+                own = own[n:]
+                if sum(map(len, ids)) == block:
+                    yield record(np.concatenate(ids), np.concatenate(v))
+                    ids, v = [], []
+        if ids:
+            yield record(np.concatenate(ids), np.concatenate(v))
 
     return cut_lineage(df.select(id, "v").mapInArrow(pack, "ids binary, v binary").withColumn("block", F.monotonically_increasing_id()))
 
@@ -105,38 +185,32 @@ def _packed(df: DataFrame, id: str, block: int) -> DataFrame:
 def compare_all(asked: DataFrame, points: DataFrame, k: int, block: int) -> DataFrame:
     """``q, neighbour_id, d2`` of the ``k`` nearest of some parts of the points for each query; among them are the ``k`` nearest of all."""
     spark, schema = asked.sparkSession, "q bigint, neighbour_id bigint, d2 double"
-    left = _packed(asked, "q", block).select("block", F.col("ids").alias("qs"), F.col("v").alias("qv"))
-    right = _packed(points, "id", block).select("ids", "v")
+    queries = _packed(asked, "q", block).select("block", F.col("ids").alias("qs"), F.col("v").alias("qv"))
+    base = _packed(points, "id", block).select("ids", "v")
+    # A task holds few blocks of queries and reads all base blocks, so it returns k rows a query; with few queries the base is cut too.
+    wanted, blocks = 8 * spark.sparkContext.defaultParallelism, queries.count()
+    groups = max(min(wanted, blocks), math.ceil(blocks / HELD))
+    parts = math.ceil(wanted / max(1, groups))
 
     def match(batches):
-        def out():
-            return pa.record_batch([pa.array(qs[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())],
-                                   ["q", "neighbour_id", "d2"])
-
-        # The pairs of one query block follow each other.
-        current, qs, q, best = None, None, None, None
+        held = {}
         for batch in batches:
-            for at, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != current:
-                    if current is not None:
-                        yield out()
-                    current, qs = at, np.frombuffer(packed[0], np.int64)
-                    q, best = np.frombuffer(packed[1]).reshape(len(qs), -1), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                ids = np.frombuffer(packed[2], np.int64)
-                r, c, d = _nearest_in_block(q, np.frombuffer(packed[3]).reshape(len(ids), -1), ids, k)
-                r, c, d = (np.concatenate(x) for x in zip(best, (r, ids[c], d)))
-                order = np.lexsort((c, d, r))
-                r, c, d = r[order], c[order], d[order]
-                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                best = r[keep], c[keep], d[keep]
-        if current is not None:
-            yield out()
-
-    pairs = left.hint("shuffle_replicate_nl").crossJoin(right.hint("shuffle_replicate_nl")).select("block", "qs", "qv", "ids", "v")
+            for ids, v, at, qs, qv in zip(*(c.to_pylist() for c in batch.columns)):
+                if at not in held:
+                    qs = np.frombuffer(qs, np.int64)
+                    held[at] = qs, Best(np.frombuffer(qv).reshape(len(qs), -1), k)
+                ids = np.frombuffer(ids, np.int64)
+                held[at][1].add(np.frombuffer(v).reshape(len(ids), -1), ids)
+        for qs, best in held.values():
+            r, i, d = best.found()
+            yield pa.record_batch([pa.array(qs[r], pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["q", "neighbour_id", "d2"])
+
+    # The right side's part is held, the left one's rows pass by once.
+    pairs = base.coalesce(parts).hint("shuffle_replicate_nl").crossJoin(queries.repartition(groups).hint("shuffle_replicate_nl"))
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, "4")  # a row is two blocks
     try:
-        return cut_lineage(pairs.mapInArrow(match, schema))
+        return cut_lineage(pairs.select("ids", "v", "block", "qs", "qv").mapInArrow(match, schema))
     finally:
         spark.conf.set(ARROW_ROWS, before)
 

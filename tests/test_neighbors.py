@@ -148,3 +148,41 @@ def test_unpruned_search_shuffles_no_vectors(spark, monkeypatch, hot):
     for i, expected in want.items():
         assert [j for j, _ in got[i]] == [j for j, _ in expected]
         assert [x for _, x in got[i]] == pytest.approx([x for _, x in expected])
+
+
+@pytest.mark.parametrize("scale,offset,dims", [(1, 0, 6), (1e-20, 0, 6), (1e18, 0, 6), (1, 1e6, 6), (1e-3, 1e9, 6), (1, 0, 1)])
+def test_single_precision_only_leaves_out_what_is_farther(scale, offset, dims):
+    """Numbers of any size, far from zero, with ties, nan and infinity: as if every pair were measured."""
+    rng = np.random.default_rng(1)
+    q, b = (np.round(rng.normal(size=(n, dims)), 2) * scale + offset for n in (600, 2500))
+    q[3, 0], q[5, 0], b[7, 0], b[9] = np.nan, np.inf, np.inf, np.nan
+    ids = rng.permutation(len(b))
+    best = neighbors.Best(q, 4)
+    best.add(b[:1500], ids[:1500])
+    best.add(b[1500:], ids[1500:])
+    rows, found, d2 = best.found()
+    with np.errstate(all="ignore"):
+        for i, x in enumerate(q):
+            d = ((x - b) ** 2).sum(axis=1)
+            known = np.flatnonzero(~np.isnan(d))
+            order = known[np.lexsort((ids[known], d[known]))][:4]
+            assert found[rows == i].tolist() == ids[order].tolist() and d2[rows == i].tolist() == d[order].tolist()
+
+
+def test_later_rows_are_not_measured_one_by_one(monkeypatch):
+    """Once near rows are known, far ones are left out by their inner products."""
+    rng = np.random.default_rng(2)
+    measured, real = [], neighbors.Best._measure
+    monkeypatch.setattr(neighbors.Best, "_measure", lambda self, r, *a: measured.append(len(r)) or real(self, r, *a))
+    best = neighbors.Best(rng.normal(size=(1000, 32)), 4)
+    for i in range(10):
+        best.add(rng.normal(size=(1000, 32)), np.arange(1000) + 1000 * i)
+    assert sum(measured) < 1000 * 40
+
+
+def test_each_query_leaves_the_comparison_once(spark):
+    """With more blocks of queries than tasks, what is returned is k rows a query, however many base blocks there are."""
+    v, df = points(spark, 1500, 24)
+    rows = df.select(F.col("id").alias("q"), F.col("vector").alias("v"))
+    out = neighbors.compare_all(rows, rows.withColumnRenamed("q", "id"), 4, 10)
+    assert out.count() == 4 * len(v)
