@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cindergrid.operators.aggregates import with_class_weight
 from cindergrid.operators.bagging import Forest
 from cindergrid.operators.gram import ridge  # noqa: F401  a regressor like the others here
+from cindergrid.operators.gradient import GradientBoosted
 from cindergrid.operators.metrics import model_report
 from cindergrid.operators.perceptron import Perceptron
 from cindergrid.operators.sampling import with_fold
@@ -92,10 +93,8 @@ def forest(trees: int = 100, depth: int = 30, seed: int = 42, label: str = "labe
 
 
 def boosted(rounds: int = 100, rate: float = 0.1, depth: int = 6, subsample: float = 0.8,
-            positive_weight: float = 5.0, seed: int = 42, label: str = "label") -> Weighted:
-    return Weighted(lambda df: GBTClassifier(
-        labelCol=label, weightCol="weight", maxIter=rounds, stepSize=rate, maxDepth=depth,
-        subsamplingRate=subsample, seed=seed), positive=positive_weight)
+            positive_weight: float = 5.0, seed: int = 42) -> GradientBoosted:
+    return GradientBoosted(rounds, rate, depth, subsample, positive_weight, seed)
 
 
 def perceptron(layers: Sequence[int] = (128, 64, 32), max_iter: int = 100, seed: int = 42,
@@ -118,17 +117,31 @@ def importances(model: Model, names: Sequence[str], spark) -> DataFrame:
         F.desc("importance"), "feature")
 
 
+def fold_models(estimator: Weighted, parts: DataFrame, left_out: Sequence[int | None], label: str = "label") -> list[Model]:
+    """A model fitted without each fold of ``left_out``, None leaves out nothing; by the same passes where the estimator can."""
+    if hasattr(estimator, "fit_without"):
+        return estimator.fit_without(parts, "fold", left_out, label)
+
+    def fitted(i: int | None) -> Model:
+        return estimator.fit((parts if i is None else parts.filter(F.col("fold") != i)).drop("fold"), label)
+
+    return together([partial(fitted, i) for i in left_out])
+
+
+def held_out(fitted: Sequence[Model], parts: DataFrame, label: str = "label") -> DataFrame:
+    """``fold, label, probability`` of every row, predicted by the model of its fold."""
+    def scored(i: int, model: Model) -> DataFrame:
+        rows = score(model, parts.filter(F.col("fold") == i), "probability")
+        return rows.select("fold", F.col(label).alias("label"), "probability")
+
+    return reduce(DataFrame.unionByName, together([partial(scored, i, model) for i, model in enumerate(fitted)]))
+
+
 def out_of_fold(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,
                 label: str = "label") -> DataFrame:
     """``fold, label, probability`` of every row, predicted by the model fitted without its fold."""
     parts = with_fold(df, keys, folds, seed)
-
-    def held(i: int) -> DataFrame:
-        fitted = estimator.fit(parts.filter(F.col("fold") != i).drop("fold"), label)
-        rows = score(fitted, parts.filter(F.col("fold") == i), "probability")
-        return rows.select("fold", F.col(label).alias("label"), "probability")
-
-    return reduce(DataFrame.unionByName, together([partial(held, i) for i in range(folds)]))
+    return held_out(fold_models(estimator, parts, range(folds), label), parts, label)
 
 
 def cross_validate(estimator: Weighted, df: DataFrame, keys: Sequence[str], folds: int = 5, seed: int = 42,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cindergrid.operators.grid import CELL, CELL_DAY
 from cindergrid.operators.metrics import model_report
-from cindergrid.operators.models import Weighted, as_features, out_of_fold, score, together
+from cindergrid.operators.models import Weighted, as_features, fold_models, held_out, score, together
 from cindergrid.operators.neighbors import knn_classify
 from cindergrid.operators.sampling import random_split, smote, with_fold
 from cindergrid.operators.windows import flatten_window, lookback_samples, season_split
@@ -80,14 +80,14 @@ def compare_models(df: DataFrame, id: str, vector: str, label: str, models: Mapp
         scored.append(rows.select(F.lit(name).alias("model"), fold.cast("int").alias("fold"),
                                   F.col("label").cast("int"), "probability"))
 
-    def whole(estimator: Weighted) -> DataFrame:
-        return score(estimator.fit(fit_rows, label), test_rows, "probability").withColumn("label", F.col(label))
+    fit_parts = with_fold(fit_rows, [id], folds, seed)
 
-    jobs = [job for estimator in models.values() for job in (
-        partial(out_of_fold, estimator, fit_rows, [id], folds, seed, label), partial(whole, estimator))]
-    found = together(jobs)
-    for name, held_out, held in zip(models, found[::2], found[1::2]):
-        add(held_out, f"{name} (CV)", F.col("fold"))
+    def scores(estimator: Weighted) -> tuple[DataFrame, DataFrame]:
+        *parts, whole = fold_models(estimator, fit_parts, [*range(folds), None], label)
+        return held_out(parts, fit_parts, label), score(whole, test_rows, "probability").withColumn("label", F.col(label))
+
+    for name, (cross, held) in zip(models, together([partial(scores, estimator) for estimator in models.values()])):
+        add(cross, f"{name} (CV)", F.col("fold"))
         add(held, f"{name} (Test)", F.lit(0))
     if neighbours:
         numbered = with_fold(train, [id], folds, seed)
