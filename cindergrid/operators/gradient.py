@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
@@ -114,22 +114,30 @@ class GradientBoosted:
                 *parts, np.zeros((models, len(parts[1])))))], ["n", "bins", "y", "fold", "margin"])
 
         even = rows.repartition(max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // LEAST_ROWS))))
-        blocks = cut_lineage(even.mapInArrow(pack, "n long, bins binary, y binary, fold binary, margin binary")
-                             .withColumn("block", F.monotonically_increasing_id()))
+        table = cut_lineage(even.mapInArrow(pack, "n long, bins binary, y binary, fold binary, margin binary")
+                            .withColumn("block", F.monotonically_increasing_id()))
+        # Hundreds of short passes: without a query's plan each, they take a third of the time.
+        blocks = table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
         trees: list[list[Tree]] = [[] for _ in left_out]
         written = 0  # trees the margins hold
-        for turn in range(self.rounds):
-            if turn - written == REFRESH:
-                blocks, written = cut_lineage(self._with_margins(blocks, [own[written:] for own in trees], written)), turn
-            # Only the trees that the margins lack go to the tasks.
-            for own, tree in zip(trees, self._grow(blocks, width, [own[written:] for own in trees], written, left_out, turn)):
-                own.append(tree)
+        try:
+            for turn in range(self.rounds):
+                fresh = [own[written:] for own in trees]  # only the trees that the margins lack go to the tasks
+                if turn - written == REFRESH:
+                    old, blocks = blocks, self._with_margins(blocks, fresh, written).persist(StorageLevel.MEMORY_AND_DISK)
+                    blocks.count()
+                    old.unpersist()
+                    written, fresh = turn, [[] for _ in trees]
+                for own, tree in zip(trees, self._grow(blocks, width, fresh, written, left_out, turn)):
+                    own.append(tree)
+        finally:
+            blocks.unpersist()
         return [GradientBoostedModel(own, cuts, self.rate) for own in trees]
 
     def _margin(self, margin: np.ndarray, bins: np.ndarray, fresh: list[Tree], written: int) -> np.ndarray:
         return margin + sum((1.0 if i == 0 else self.rate) * t.values(bins) for i, t in enumerate(fresh, written))
 
-    def _grow(self, blocks: DataFrame, width: int, fresh: list[list[Tree]], written: int, left_out: Sequence[int | None], turn: int) -> list[Tree]:
+    def _grow(self, blocks: RDD, width: int, fresh: list[list[Tree]], written: int, left_out: Sequence[int | None], turn: int) -> list[Tree]:
         """The next tree of every model."""
         new = [Tree() for _ in fresh]
         asked, sums, others = [(m, 0) for m in range(len(new))], {}, {}
@@ -164,43 +172,39 @@ class GradientBoosted:
         own = {}
         for i, (m, node) in enumerate(asked):
             own.setdefault(m, []).append((node, i))
-        def run(batches):
+        def run(rows):
             total = np.zeros((2, len(asked), width, BINS))
-            for batch in batches:
-                for n, bins, y, fold, margin, block in zip(*(c.to_pylist() for c in batch.columns)):
-                    bins, fold, margin = np.frombuffer(bins, np.uint8).reshape(n, -1), np.frombuffer(fold, np.int8), np.frombuffer(margin).reshape(-1, n)
-                    y = 2.0 * np.frombuffer(y, np.int8) - 1
-                    weight = np.where(y > 0, self.positive_weight, 1.0)
-                    second = bins[:, 1::2] if width % 2 == 0 else np.pad(bins[:, 1::2], ((0, 0), (0, 1)))
-                    pairs = np.ascontiguousarray((bins[:, ::2].astype(np.int64) * BINS + second).T)
-                    drawn = np.random.default_rng([self.seed, turn, block]).random(n) < self.subsample
-                    for m, held in own.items():
-                        place = np.full(len(new[m].feature), -1)
-                        place[[node for node, _ in held]] = np.arange(len(held))
-                        used = np.flatnonzero(drawn if left_out[m] is None else drawn & (fold != left_out[m]))
-                        slot = place[new[m].nodes(bins[used])]
-                        used, slot = used[slot >= 0], slot[slot >= 0]
-                        now = self._margin(margin[m][used], bins[used], fresh[m], written) if turn else None
-                        w = weight[used]
-                        total[:, [i for _, i in held]] += bin_sums(bins, pairs, used, slot, w, w * residuals(y[used], now), len(held))
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        parts = blocks.select("n", "bins", "y", "fold", "margin", "block").coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+            for n, bins, y, fold, margin, block in rows:
+                bins, fold, margin = np.frombuffer(bins, np.uint8).reshape(n, -1), np.frombuffer(fold, np.int8), np.frombuffer(margin).reshape(-1, n)
+                y = 2.0 * np.frombuffer(y, np.int8) - 1
+                weight = np.where(y > 0, self.positive_weight, 1.0)
+                second = bins[:, 1::2] if width % 2 == 0 else np.pad(bins[:, 1::2], ((0, 0), (0, 1)))
+                pairs = np.ascontiguousarray((bins[:, ::2].astype(np.int64) * BINS + second).T)
+                drawn = np.random.default_rng([self.seed, turn, block]).random(n) < self.subsample
+                for m, held in own.items():
+                    place = np.full(len(new[m].feature), -1)
+                    place[[node for node, _ in held]] = np.arange(len(held))
+                    used = np.flatnonzero(drawn if left_out[m] is None else drawn & (fold != left_out[m]))
+                    slot = place[new[m].nodes(bins[used])]
+                    used, slot = used[slot >= 0], slot[slot >= 0]
+                    now = self._margin(margin[m][used], bins[used], fresh[m], written) if turn else None
+                    w = weight[used]
+                    total[:, [i for _, i in held]] += bin_sums(bins, pairs, used, slot, w, w * residuals(y[used], now), len(held))
+            yield total.tobytes()
+
         found = np.zeros((2, len(asked), width, BINS))
-        for part in parts.mapInArrow(run, "sums binary").toArrow()["sums"]:
-            found += np.frombuffer(part.as_buffer()).reshape(found.shape)
+        for part in blocks.mapPartitions(run).collect():
+            found += np.frombuffer(part).reshape(found.shape)
         return np.moveaxis(found, 0, 1)
 
-    def _with_margins(self, blocks: DataFrame, fresh: list[list[Tree]], written: int) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                margins = []
-                for n, bins, margin in zip(*(batch.column(c).to_pylist() for c in ("n", "bins", "margin"))):
-                    bins, margin = np.frombuffer(bins, np.uint8).reshape(n, -1), np.frombuffer(margin).reshape(-1, n)
-                    margins.append(np.stack([self._margin(old, bins, own, written) for old, own in zip(margin, fresh)]).tobytes())
-                yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margins, pa.binary()))
+    def _with_margins(self, blocks: RDD, fresh: list[list[Tree]], written: int) -> RDD:
+        def run(block):
+            n, bins, y, fold, margin, number = block
+            own = np.frombuffer(bins, np.uint8).reshape(n, -1)
+            now = np.stack([self._margin(old, own, t, written) for old, t in zip(np.frombuffer(margin).reshape(-1, n), fresh)])
+            return n, bins, y, fold, now.tobytes(), number
 
-        return blocks.mapInArrow(run, blocks.schema)
+        return blocks.map(run)
 
 
 @dataclass
